@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that make a sentence relevant; 2 points for a verb or noun, 1 for a term.
 ATTACK_VERBS = (
@@ -272,7 +273,7 @@ def _path_role(path: str) -> str:
     return f"{role} {bare}" if bare else role
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _name_paths(texts: pd.Series) -> pd.Series:
     pattern = re.compile(FILE_PATTERN)
     return texts.map(lambda t: None if t is None else pattern.sub(lambda m: _path_role(m.group(0)), t))

@@ -15,25 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provloom.operators import ordered
 from provloom.session import cut_lineage
 
 
-def fold(ts: np.ndarray, width: int, anchor: int | None = None) -> np.ndarray:
-    """Anchor of every event of a sorted series, given the anchor open at its start."""
-    out = np.empty(len(ts), dtype=np.int64)
-    i = 0
-    if anchor is not None:
-        i = int(np.searchsorted(ts, anchor + width, side="right"))
-        out[:i] = anchor
-    while i < len(ts):
-        j = int(np.searchsorted(ts, ts[i] + width, side="right"))
-        out[i:j] = ts[i]
-        i = j
-    return out
-
-
 def end_steps(ts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(upper, last): when the open window ends before event time ``upper`` (and not before the
     previous step's), the slice leaves the anchor ``last`` open."""
@@ -67,38 +54,46 @@ def anchored_windows(
     marked = runs.join(span, rk)
     cols = [*df.columns, out]
     short = marked.filter(F.col("_hi") - F.col("_lo") <= width).withColumn(out, F.col("_lo")).select(*cols)
-    long_ = marked.filter(F.col("_hi") - F.col("_lo") > width)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.select(*rk).schema)
-    series = long_.select(*rk, F.col(ts).cast("long").alias("_t")).distinct()
-    rows = ordered.with_slices(series, rk, "_t", target_rows)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        o = pdf["_open"].iloc[0]
-        pdf[out] = fold(pdf["_t"].to_numpy(), width, None if pd.isna(o) else int(o))
-        return pdf[[*rk, "_t", out]]
-
+    long_ = marked.filter(F.col("_hi") - F.col("_lo") > width).select(*df.columns, "_run")
+    rows = ordered.with_slices(long_, rk, ts, target_rows)
     if rows.hot:
-        opened = _open_anchors(rows, rk, key_schema, width)
-        with_open = rows.df.join(F.broadcast(opened), [*rk, ordered.SLICE], "left")
+        rows = rows.with_df(
+            rows.df.join(F.broadcast(_open_anchors(rows, rk, ts, width)), [*rk, ordered.SLICE], "left")
+        )
     else:
-        with_open = rows.df.withColumn("_open", F.lit(None).cast("long"))
-    anchors = with_open.groupBy(*rows.by).applyInPandas(assign, key_schema + f", _t long, `{out}` long")
-    folded = long_.join(anchors.withColumnRenamed("_t", ts), [*rk, ts]).select(*cols)
+        rows = rows.with_df(rows.df.withColumn("_open", F.lit(None).cast("long")))
+    by = rows.by
+
+    def assign(batches):
+        key = anchor = None
+        for pdf in batches:
+            anchors = []
+            for k, t, o in zip(zip(*(pdf[c] for c in by)), pdf[ts], pdf["_open"]):
+                if k != key:
+                    key, anchor = k, None if pd.isna(o) else int(o)
+                if anchor is None or t > anchor + width:
+                    anchor = t
+                anchors.append(anchor)
+            yield pdf[df_columns].assign(**{out: anchors})
+
+    df_columns = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
+    folded = ordered.sorted_stream(rows, order).mapInPandas(assign, schema)
     return short.unionByName(folded)
 
 
-def _open_anchors(rows: ordered.Sliced, rk: list[str], key_schema: str, width: int) -> DataFrame:
+def _open_anchors(rows: ordered.Sliced, rk: list[str], ts: str, width: int) -> DataFrame:
     """(run, slice, _open): the anchor still open when a slice of a cut run starts."""
     sl = ordered.SLICE
-    schema = key_schema + f", {sl} long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.df.select(*rk, sl).schema)
+    times = rows.df.filter(F.col(sl) >= 0).select(*rk, sl, F.col(ts).cast("long").alias("_t")).distinct()
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         upper, last = end_steps(np.sort(pdf["_t"].to_numpy()), width)
         res = pd.concat([pdf[[*rk, sl]].iloc[:1]] * len(upper), ignore_index=True)
         return res.assign(_upper=upper, _last=last)
 
-    table = rows.df.filter(F.col(sl) >= 0).groupBy(*rk, sl).applyInPandas(steps, schema + ", _upper long, _last long")
+    table = times.groupBy(*rk, sl).applyInPandas(steps, schema + ", _upper long, _last long")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         found, anchor = [], None

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
+from provloom.session import cut_lineage
 
 
 def merge_names(primary: DataFrame, extra: DataFrame) -> DataFrame:
@@ -88,14 +89,19 @@ def parallel_edges(edges: DataFrame, g: Sequence[str] = (), target_rows: int | N
     return out.withColumn("edge_key", F.col("edge_key") - 1).drop("first_type")
 
 
-def build_graph(edges: DataFrame, g: Sequence[str] = (), target_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the property multigraph; edges carry the node ids of both ends."""
+def build_graph(
+    edges: DataFrame, g: Sequence[str] = (), target_rows: int | None = None, stage: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the property multigraph; edges carry the node ids of both ends. Reductions,
+    partitioning and reach all read both tables several times, so ``stage`` writes them once."""
     g = list(g)
     nodes = number_nodes(edges, g, target_rows)
+    nodes = cut_lineage(nodes) if stage else nodes
     kept = parallel_edges(edges, g, target_rows)
     s = nodes.select(*g, F.col("uuid").alias("src"), F.col("node_id").alias("src_id"))
     d = nodes.select(*g, F.col("uuid").alias("dst"), F.col("node_id").alias("dst_id"))
-    return nodes, kept.join(s, [*g, "src"]).join(d, [*g, "dst"])
+    joined = kept.join(s, [*g, "src"]).join(d, [*g, "dst"])
+    return nodes, cut_lineage(joined) if stage else joined
 
 
 def earliest_edges(edges: DataFrame, g: Sequence[str] = ()) -> DataFrame:

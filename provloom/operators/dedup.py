@@ -22,18 +22,6 @@ from provloom.session import cut_lineage
 THRESHOLD = 0.7
 
 
-def _greedy(texts: list[str], threshold: float) -> list[int]:
-    """Index of the first kept sentence each one matches; its own index when it stays."""
-    kept: list[int] = []
-    found = []
-    for i, t in enumerate(texts):
-        hit = next((k for k in kept if reaches(t, texts[k], threshold)), i)
-        if hit == i:
-            kept.append(i)
-        found.append(hit)
-    return found
-
-
 def deduplicate(
     sents: DataFrame,
     keys: Sequence[str],
@@ -44,31 +32,37 @@ def deduplicate(
     """(keys, pos, text, kept, matched, similarity) for every sentence of ``sents`` (keys, pos, text)."""
     keys = list(keys)
     distinct = sents.groupBy(*keys, "text").agg(F.min("pos").alias("pos"))
-    numbered = ordered.scan(distinct, keys, ["pos"], index="i")
     kt = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sents.select(*keys).schema)
     schema = f"{kt}, pos long, text string, matched string, similarity double"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        texts = pdf["text"].tolist()
-        hit = _greedy(texts, threshold)
-        pdf["matched"] = [None if h == i else texts[h] for i, h in enumerate(hit)]
-        pdf["similarity"] = [None if h == i else round(ratio(texts[i], texts[h]), 3) for i, h in enumerate(hit)]
-        return pdf[[*keys, "pos", "text", "matched", "similarity"]]
+    def fold(batches):
+        key, kept = None, []
+        for pdf in batches:
+            hits = []
+            for k, t in zip(zip(*(pdf[c] for c in keys)), pdf["text"]):
+                if k != key:
+                    key, kept = k, []
+                hit = next((s for s in kept if reaches(t, s, threshold)), None)
+                if hit is None:
+                    kept.append(t)
+                hits.append(hit)
+            sims = [None if h is None else round(ratio(t, h), 3) for t, h in zip(pdf["text"], hits)]
+            yield pdf[[*keys, "pos", "text"]].assign(matched=hits, similarity=pd.array(sims, dtype="float64"))
+
+    def folded(rows: DataFrame) -> DataFrame:
+        whole = ordered.Sliced(rows.select(*keys, "pos", "text"), tuple(keys), False)
+        return ordered.sorted_stream(whole, ["pos"]).mapInPandas(fold, schema)
 
     sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    long_keys = sizes.filter(F.col("_n") > block).select(*keys)
-    rows = numbered.join(sizes, keys)
-    done = rows.filter(F.col("_n") <= block).select(*keys, "pos", "text").groupBy(*keys).applyInPandas(fold, schema)
-
-    left = rows.filter(F.col("_n") > block).select(*keys, "pos", "text")
-    if long_keys.limit(1).count():
-        left = cut_lineage(left)
-        while left.limit(1).count():
+    long_keys = cut_lineage(sizes.filter(F.col("_n") > block).select(*keys))
+    if long_keys.isEmpty():
+        done = folded(distinct)
+    else:
+        done = folded(distinct.join(long_keys, keys, "left_anti"))
+        left = cut_lineage(distinct.join(long_keys, keys, "left_semi").select(*keys, "pos", "text"))
+        while not left.isEmpty():
             front_rows = ordered.scan(left, keys, ["pos"], index="i")
-            front = cut_lineage(
-                front_rows.filter(F.col("i") <= block).select(*keys, "pos", "text").groupBy(*keys).applyInPandas(fold, schema)
-            )
+            front = cut_lineage(folded(front_rows.filter(F.col("i") <= block)))
             done = done.unionByName(front)
             later = (
                 front_rows.filter(F.col("i") > block)
@@ -82,9 +76,8 @@ def deduplicate(
             def against(lp: pd.DataFrame, kp: pd.DataFrame) -> pd.DataFrame:
                 kept_texts = kp.sort_values("pos")["text"].tolist() if len(kp) else []
                 hits = [next((k for k in kept_texts if reaches(t, k, threshold)), None) for t in lp["text"]]
-                lp["matched"] = hits
-                lp["similarity"] = [None if h is None else round(ratio(t, h), 3) for t, h in zip(lp["text"], hits)]
-                return lp[[*keys, "pos", "text", "matched", "similarity"]]
+                sims = [None if h is None else round(ratio(t, h), 3) for t, h in zip(lp["text"], hits)]
+                return lp[[*keys, "pos", "text"]].assign(matched=hits, similarity=pd.array(sims, dtype="float64"))
 
             checked = cut_lineage(
                 later.groupBy(*keys, "_share").cogroup(kept.groupBy(*keys, "_share")).applyInPandas(against, schema)

@@ -176,6 +176,12 @@ def gap_sessions(
     return running_sum_sliced(flagged, order, "_new", out).plain().drop("_new")
 
 
+def sorted_stream(rows: Sliced, order: Sequence[str]) -> DataFrame:
+    """Rows of a (key, slice) together and in order, for a ``mapInPandas`` that folds batch after
+    batch. One Python call serves many small groups, and a long one streams through in batches."""
+    return rows.df.repartition(*rows.by).sortWithinPartitions(*rows.by, *order)
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key with their rank. Spark puts a group limit below the shuffle, so at
     most ``k`` rows per key and map task travel."""

@@ -53,7 +53,7 @@ def component_edges(nodes: DataFrame, edges: DataFrame, owner: DataFrame | None
     own = owner.select(F.col("node_id").alias("src_id"), F.col("owner").alias("seed"))
     dst_own = owner.select(F.col("node_id").alias("dst_id"), F.col("owner").alias("dst_owner"))
     mine = edges.join(own, "src_id")
-    boundary = (
+    boundary = cut_lineage(
         mine.select("seed", "dst_id")
         .distinct()
         .join(dst_own, "dst_id")
@@ -69,12 +69,14 @@ def component_edges(nodes: DataFrame, edges: DataFrame, owner: DataFrame | None
     by_src = both.filter("src_load <= dst_load").join(at_src, "src_id").join(at_dst, ["seed", "dst_id"], "left_semi")
     by_dst = both.filter("src_load > dst_load").join(at_dst, "dst_id").join(at_src, ["seed", "src_id"], "left_semi")
     extra = by_src.unionByName(by_dst).drop("src_load", "dst_load")
-    return mine.unionByName(extra)
+    return cut_lineage(mine.unionByName(extra))
 
 
 def segment_edges(comp_edges: DataFrame, theta_ns: int = THETA_NS, target_rows: int | None = None) -> DataFrame:
     """Add ``segment``: a component is cut where two consecutive edges lie theta or more apart."""
-    return ordered.gap_sessions(comp_edges, ["seed"], ["ts_ns", "line_no"], theta_ns, target_rows=target_rows)
+    return cut_lineage(
+        ordered.gap_sessions(comp_edges, ["seed"], ["ts_ns", "line_no"], theta_ns, target_rows=target_rows)
+    )
 
 
 def segment_nodes(seg_edges: DataFrame, keys=("seed", "segment")) -> DataFrame:
@@ -103,8 +105,10 @@ def valid_segments(
         .groupBy("seed", "segment")
         .agg(F.sum("c").alias("n_nodes"), F.count(F.lit(1)).alias("n_types"))
     )
-    ok = e.join(n, ["seed", "segment"]).filter(
-        (F.col("n_nodes") >= min_nodes) & (F.col("n_edges") >= min_edges) & (F.col("n_types") >= min_types)
+    ok = cut_lineage(
+        e.join(n, ["seed", "segment"]).filter(
+            (F.col("n_nodes") >= min_nodes) & (F.col("n_edges") >= min_edges) & (F.col("n_types") >= min_types)
+        )
     )
     parts = ordered.scan(ok, ["seed"], ["segment"], index="part_idx", target_rows=target_rows)
     totals = ok.groupBy("seed").agg(F.count(F.lit(1)).alias("total_parts"))

@@ -278,22 +278,28 @@ def similar_parents(
         )
         rows = rows.unionByName(halo)
 
-    def earliest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ns", "node_id"])
-        recent: deque = deque()
-        found = []
-        for node, ts, base, is_halo in zip(pdf["node_id"], pdf["ts_ns"], pdf["base"], pdf["halo"]):
-            while recent and ts - recent[0][1] > window_ns:
-                recent.popleft()
-            if not is_halo:
-                for other, ots, obase in recent:
-                    if reaches(obase, base, threshold, strict=True):
-                        found.append((node, other, ots))
-                        break
-            recent.append((node, ts, base))
-        return pd.DataFrame(found, columns=["node_id", "parent_id", "parent_ts"])
-
-    per_process = rows.groupBy(*cut.by).applyInPandas(
+    by = cut.by
+
+    def earliest(batches):
+        key, recent = None, deque()
+        for pdf in batches:
+            found = []
+            for k, node, ts, base, is_halo in zip(
+                zip(*(pdf[c] for c in by)), pdf["node_id"], pdf["ts_ns"], pdf["base"], pdf["halo"]
+            ):
+                if k != key:
+                    key, recent = k, deque()
+                while recent and ts - recent[0][1] > window_ns:
+                    recent.popleft()
+                if not is_halo:
+                    for other, ots, obase in recent:
+                        if reaches(obase, base, threshold, strict=True):
+                            found.append((node, other, ots))
+                            break
+                recent.append((node, ts, base))
+            yield pd.DataFrame(found, columns=["node_id", "parent_id", "parent_ts"])
+
+    per_process = ordered.sorted_stream(cut.with_df(rows), ["ts_ns", "node_id"]).mapInPandas(
         earliest, "node_id long, parent_id long, parent_ts long"
     )
     return per_process.groupBy("node_id").agg(F.min(F.struct("parent_ts", "parent_id")).alias("p")).select(

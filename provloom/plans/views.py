@@ -144,6 +144,17 @@ VIEWS: dict[str, str] = {
                     ELSE 'EVENT_READ' END AS edge_type,
                ts_ns // 3600 AS ts_ns, event_id AS line_no
         FROM host_event""",
+    # temporary, log and cache files of a few directories, touched by a few processes
+    "temp_edge": """
+        SELECT concat('s', CAST(suppkey % 40 AS STRING)) AS src, 'SUBJECT_PROCESS' AS src_type,
+               CASE l_linenumber % 4
+                    WHEN 0 THEN concat('/tmp/w', CAST(partkey % 3 AS STRING), '/item_', CAST(partkey AS STRING), '.tmp')
+                    WHEN 1 THEN concat('/var/log/', 'daemon', CAST(l_orderkey % 400 AS STRING), '.log')
+                    WHEN 2 THEN concat('/srv/x/', CAST(partkey AS STRING), '.lock')
+                    ELSE concat('/srv/x/notes-', CAST(partkey AS STRING), '.md') END AS dst, 'FILE' AS dst_type,
+               CASE WHEN l_orderkey % 2 = 0 THEN 'EVENT_WRITE' ELSE 'EVENT_READ' END AS edge_type,
+               l_orderkey * 7000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 AS ts_ns, l_orderkey * 10 + l_linenumber AS line_no
+        FROM ship_line WHERE quantity > 10""",
     # flagged ids: users with an error on a key divisible by nine
     "flagged": """
         SELECT DISTINCT concat('p', CAST(user_id AS STRING)) AS uuid FROM host_event

@@ -91,8 +91,8 @@ def count_totals(counts: DataFrame) -> DataFrame:
 
 def unresolved_paths(nodes: DataFrame, file_type: str = "FILE") -> DataFrame:
     """(path, n): file nodes no lifting rule changes."""
-    lifted = paths.lift_path(F.col("name"))
-    f = nodes.filter((F.col("type") == file_type) & (lifted.isNull() | (lifted == F.col("name"))))
+    unchanged = F.coalesce(paths.lift_path(F.col("name")), F.col("name")) == F.col("name")
+    f = nodes.filter((F.col("type") == file_type) & unchanged)
     return f.groupBy(F.col("name").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,10 +105,11 @@ def generalize_nodes(nodes: DataFrame, file_type: str = "FILE") -> DataFrame:
     say what happened."""
     ip = network.address_of(F.col("name"))
     lift = F.when(F.col("type") == file_type, paths.lift_path(F.col("name")))
+    new = F.when(F.col("ip").isNotNull(), network.address_class(F.col("ip"))).otherwise(F.coalesce(lift, F.col("name")))
     return (
         nodes.withColumn("ip", ip)
-        .withColumn("lifted", lift.isNotNull() & (lift != F.col("name")) & ip.isNull())
-        .withColumn("new_name", F.when(ip.isNotNull(), network.address_class(ip)).otherwise(F.coalesce(lift, F.col("name"))))
+        .withColumn("new_name", new)
+        .withColumn("lifted", F.col("ip").isNull() & (F.col("new_name") != F.col("name")))
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from provloom.functions.similarity import ratio, reaches
 from provloom.operators import ordered
-from provloom.session import cut_lineage
+from provloom.session import cut_lineage, own_columns
 
 THRESHOLD = 0.7
 
@@ -70,7 +70,7 @@ def deduplicate(
                 .withColumn("_share", F.pmod(F.xxhash64("pos"), F.lit(shares)))
             )
             kept = front.filter(F.col("matched").isNull()).select(
-                *keys, "pos", "text", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long").alias("_share")
+                *keys, "pos", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("_share")
             )
 
             def against(lp: pd.DataFrame, kp: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +80,9 @@ def deduplicate(
                 return lp[[*keys, "pos", "text"]].assign(matched=hits, similarity=pd.array(sims, dtype="float64"))
 
             checked = cut_lineage(
-                later.groupBy(*keys, "_share").cogroup(kept.groupBy(*keys, "_share")).applyInPandas(against, schema)
+                own_columns(later).groupBy(*keys, "_share")
+                .cogroup(own_columns(kept).groupBy(*keys, "_share"))
+                .applyInPandas(against, schema)
             )
             done = done.unionByName(checked.filter(F.col("matched").isNotNull()))
             left = checked.filter(F.col("matched").isNull()).select(*keys, "pos", "text")

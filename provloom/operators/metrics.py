@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
+from provloom.session import own_columns
 
 
 def truth_table(scores: DataFrame, membership: DataFrame) -> DataFrame:
@@ -136,7 +137,8 @@ def uniformity(vectors: DataFrame, t: float = 2.0, rows_per_block: int = 4_000)
             return pd.DataFrame({"s": [(e.sum() - np.trace(e)) / 2.0], "n": [n * (n - 1) // 2]})
         return pd.DataFrame({"s": [e.sum()], "n": [e.size]})
 
-    parts = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(meet, "s double, n long")
+    met = own_columns(left).groupBy("b", "o").cogroup(own_columns(right).groupBy("b", "o"))
+    parts = met.applyInPandas(meet, "s double, n long")
     return parts.agg(F.log(F.sum("s") / F.sum("n")).alias("uniformity"))
 
 

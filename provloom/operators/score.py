@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
+from provloom.session import own_columns
 
 MAX_BROADCAST_FLOATS = 20_000_000
 
@@ -86,7 +87,7 @@ def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool
     )
     rkey = [c for c in ("ref", "label") if c in refs.columns]
     r = refs.select(*rkey, "v", F.pmod(F.xxhash64(*rkey), F.lit(n_r)).cast("int").alias("rb")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).cast("long")
+        "tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_t - 1).cast("long")))
     )
     name = "label" if per_label else "ref"
     ref_type = refs.schema[name].dataType.simpleString()
@@ -102,7 +103,8 @@ def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool
             return _top_rows(tp["id"], sims, labels, len(labels)).rename(columns={"ref": name})
         return _top_rows(tp["id"], sims, rp[name].to_numpy(), k)
 
-    return t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(meet, f"id {id_type}, {name} {ref_type}, score double")
+    met = own_columns(t).groupBy("tb", "rb").cogroup(own_columns(r).groupBy("tb", "rb"))
+    return met.applyInPandas(meet, f"id {id_type}, {name} {ref_type}, score double")
 
 
 def top_references(texts: DataFrame, refs: DataFrame, k: int = 3, id_type: str = "long") -> DataFrame:
@@ -136,7 +138,7 @@ def late_interaction(rows: DataFrame, columns: DataFrame, pairs: DataFrame) -> D
     chunks = col.select("ref", "chunk").distinct()
     want = rows.join(pairs.select("id", "ref").distinct(), "id")
     want = want.join(chunks, "ref").withColumn("share", F.pmod(F.xxhash64("id", "pos"), F.lit(16)))
-    cols = col.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
+    cols = col.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
     id_t, ref_t = rows.schema["id"].dataType.simpleString(), columns.schema["ref"].dataType.simpleString()
 
     def best(rp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
@@ -147,8 +149,8 @@ def late_interaction(rows: DataFrame, columns: DataFrame, pairs: DataFrame) -> D
         return pd.DataFrame({"id": rp["id"], "pos": rp["pos"], "ref": rp["ref"], "best": out[0]})
 
     per_chunk = (
-        want.groupBy("ref", "chunk", "share")
-        .cogroup(cols.groupBy("ref", "chunk", "share"))
+        own_columns(want).groupBy("ref", "chunk", "share")
+        .cogroup(own_columns(cols).groupBy("ref", "chunk", "share"))
         .applyInPandas(best, f"id {id_t}, pos long, ref {ref_t}, best double")
     )
     per_row = per_chunk.groupBy("id", "pos", "ref").agg(F.max("best").alias("best"))
@@ -183,10 +185,14 @@ def best_sentence_pairs(
     share = 256
     r = rows.withColumn("rb", F.floor(F.col("pos") / F.lit(share)).cast("long"))
     c = columns.withColumn("cb", F.floor(F.col("pos") / F.lit(share)).cast("long"))
-    r = r.join(pairs.select("id", "ref").distinct(), "id").join(c.select("ref", "cb").distinct(), "ref")
-    c = c.join(
-        r.select("id", "ref", "rb", "cb").distinct(), ["ref", "cb"]
+    # which row blocks of a text meet which column blocks of a reference
+    met = (
+        pairs.select("id", "ref").distinct()
+        .join(r.select("id", "rb").distinct(), "id")
+        .join(c.select("ref", "cb").distinct(), "ref")
     )
+    r = r.join(met, ["id", "rb"])
+    c = c.join(met, ["ref", "cb"])
     keys = ["id", "ref", "rb", "cb"]
     id_t, ref_t = rows.schema["id"].dataType.simpleString(), columns.schema["ref"].dataType.simpleString()
 
@@ -206,7 +212,7 @@ def best_sentence_pairs(
             }
         )
 
-    best = r.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
+    best = own_columns(r).groupBy(*keys).cogroup(own_columns(c).groupBy(*keys)).applyInPandas(
         cells, f"id {id_t}, ref {ref_t}, row_text string, ref_text string, score double, row_pos long, ref_pos long"
     )
     pooled = ordered.top_k(best, ["id", "ref"], [F.desc("score"), F.asc("row_pos"), F.asc("ref_pos")], pool, "_r")

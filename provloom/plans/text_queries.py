@@ -333,19 +333,22 @@ def formatted_document_lines(spark, sf):
     return sequences.formatted_sentences(query(spark, sf, _SHORT), ["seq_id"])
 
 
+_BY_USER = _SHORT.replace("user_id % 10 AS user_id", "user_id")
+
+
 @named(
     "narrative_issues",
-    f"""WITH p AS (SELECT seq_id, pos, string_split(rtrim(text, '. '), ' ') AS w FROM ({_SHORT})),
+    f"""WITH p AS (SELECT seq_id, pos, string_split(rtrim(text, '. '), ' ') AS w FROM ({_BY_USER})),
     t AS (SELECT seq_id, pos, w[3] AS op, coalesce(w[5], '') AS dst FROM p WHERE len(w) >= 4),
-    n AS (SELECT doc_id AS seq_id, lower(text) AS low FROM documents WHERE doc_id < 10)
+    n AS (SELECT doc_id AS seq_id, lower(text) AS low FROM documents)
     SELECT t.seq_id, t.pos, concat('Missing target ''', dst, ''' for operation ''', op, '''') AS issue FROM t JOIN n ON n.seq_id = t.seq_id
     WHERE dst <> '' AND NOT contains(low, dst)
     UNION ALL SELECT t.seq_id, t.pos, concat('Operation ''', op, ''' not reflected in narrative') FROM t JOIN n ON n.seq_id = t.seq_id
     WHERE dst <> '' AND ((op = 'read' AND NOT regexp_matches(low, 'read')) OR (op = 'write' AND NOT regexp_matches(low, 'wrote|write|written')))""",
 )
 def narrative_issues(spark, sf):
-    n = query(spark, sf, "SELECT doc_id AS seq_id, text AS narrative FROM documents WHERE doc_id < 10")
-    return sequences.narrative_issues(query(spark, sf, _SHORT), n, ["seq_id"])
+    n = query(spark, sf, "SELECT doc_id AS seq_id, text AS narrative FROM documents")
+    return sequences.narrative_issues(query(spark, sf, _BY_USER), n, ["seq_id"])
 
 
 @named(
@@ -461,12 +464,6 @@ def indel_ratio_native(spark, sf):
 # --- near duplicates, relevance, reports -------------------------------------------------------
 
 
-def _turns(spark, sf):
-    return query(spark, sf, "SELECT source AS seq_id, doc_id, text FROM documents").select(
-        "seq_id", F.posexplode(tx.split_period(F.col("text"))).alias("i", "text"), (F.col("doc_id") * 10000).alias("base")
-    ).select("seq_id", (F.col("base") + F.col("i")).alias("pos"), "text")
-
-
 @named("near_duplicate_sentences")
 def near_duplicate_sentences(spark, sf):
     """Greedy near-duplicate removal inside each conversation, whole table (checked in the tests)."""
@@ -516,7 +513,7 @@ def relevant_sentences(spark, sf):
 )
 def listed_verb_test(spark, sf):
     s = query(spark, sf, _BM_SENT).withColumn("stems", F.regexp_extract_all(F.lower("text"), F.lit("([a-zA-Z]+)"), F.lit(1)))
-    verbs = query(spark, sf, "SELECT DISTINCT word AS stem FROM (SELECT explode(array('urgent', 'bolt', 'ring')) AS word FROM region)")
+    verbs = spark.createDataFrame([("urgent",), ("bolt",), ("ring",)], "stem string")
     return bm25.has_listed_verb(s, verbs, "id").select("id", "has_verb")
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_CHECKPOINTS: dict[str, str] = {}
 
@@ -61,3 +62,9 @@ def stage_table(df_fn, spark: SparkSession, path: str, refresh: bool = False) ->
     if refresh or not fs.exists(marker):
         df_fn().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def own_columns(df: DataFrame) -> DataFrame:
+    """The same columns under ids of their own, so that two sides derived from one input can meet in
+    a cogroup."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -227,9 +227,9 @@ def template_focus(text: Column) -> Column:
 
 
 def linux_section(text: Column) -> Column:
-    """Body under the Linux heading up to the next rule line; the whole text without the heading."""
+    """Body under the Linux heading up to the rule line after it; the rule and the blank lines right
+    under the heading do not count. The whole text where there is no heading."""
     marker = "LINUX DETECTION STRATEGIES"
-    after = F.substring_index(text, marker, -1)
     after = F.when(F.instr(text, marker) > 0, F.substring(text, F.instr(text, marker) + len(marker), F.length(text)))
     lines = F.split(after, r"\r\n|\n|\r")
     is_rule = lambda l: F.trim(l).startswith("===") | F.trim(l).startswith("---")
@@ -237,7 +237,9 @@ def linux_section(text: Column) -> Column:
         lines,
         F.struct(F.array().cast("array<string>").alias("body"), F.lit(False).alias("done")),
         lambda s, l: F.struct(
-            F.when(s["done"] | is_rule(l), s["body"]).otherwise(F.concat(s["body"], F.array(l))).alias("body"),
+            F.when(s["done"] | is_rule(l) | ((F.size(s["body"]) == 0) & (F.trim(l) == "")), s["body"])
+            .otherwise(F.concat(s["body"], F.array(l)))
+            .alias("body"),
             (s["done"] | (is_rule(l) & (F.size(s["body"]) > 0))).alias("done"),
         ),
         lambda s: s["body"],

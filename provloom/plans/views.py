@@ -222,5 +222,6 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def _named(sql: str, args: dict) -> str:
-    """Mark the relation names of a FROM or JOIN as parameters."""
+    """Mark the relation names of a FROM or JOIN as parameters; other braces are literal."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m.group(1)} {{{m.group(2)}}}" if m.group(2) in args else m.group(0), sql)

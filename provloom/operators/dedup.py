@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from provloom.functions.similarity import ratio, reaches
 from provloom.operators import ordered
-from provloom.session import cut_lineage, own_columns
+from provloom.session import cut_lineage, no_rows, own_columns
 
 THRESHOLD = 0.7
 
@@ -74,6 +74,8 @@ def deduplicate(
             )
 
             def against(lp: pd.DataFrame, kp: pd.DataFrame) -> pd.DataFrame:
+                if not len(lp):
+                    return no_rows(*keys, "pos", "text", "matched", "similarity")
                 kept_texts = kp.sort_values("pos")["text"].tolist() if len(kp) else []
                 hits = [next((k for k in kept_texts if reaches(t, k, threshold)), None) for t in lp["text"]]
                 sims = [None if h is None else round(ratio(t, h), 3) for t, h in zip(lp["text"], hits)]

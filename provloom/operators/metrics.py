@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
-from provloom.session import own_columns
+from provloom.session import no_rows, own_columns
 
 
 def truth_table(scores: DataFrame, membership: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def uniformity(vectors: DataFrame, t: float = 2.0, rows_per_block: int = 4_000)
 
     def meet(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(lp) or not len(rp):
-            return pd.DataFrame({"s": [], "n": []})
+            return no_rows("s", "n")
         e = np.exp(-t * np.maximum(2.0 - 2.0 * (_matrix(lp["v"]) @ _matrix(rp["v"]).T), 0.0))
         if lp["b"].iloc[0] == lp["o"].iloc[0]:
             n = len(lp)

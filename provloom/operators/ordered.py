@@ -108,27 +108,27 @@ def scan_sliced(
         if index:
             new[index] = F.row_number().over(w).cast("long")
         return rows.with_df(rows.df.withColumns(new))
-    new["_rn"] = F.row_number().over(w).cast("long")
+    new["__rn"] = F.row_number().over(w).cast("long")
     at = F.struct(*[F.col(c) for c in order])
-    aggs: dict[str, Column] = {"_m": F.count(F.lit(1))}
-    carried = {"_before": lambda ww: F.sum("_m").over(ww.rowsBetween(Window.unboundedPreceding, -1))}
+    aggs: dict[str, Column] = {"__m": F.count(F.lit(1))}
+    carried = {"__before": lambda ww: F.sum("__m").over(ww.rowsBetween(Window.unboundedPreceding, -1))}
     for name, source in lag.items():
-        aggs[f"_last_{name}"] = F.max_by(F.struct(F.col(source).alias("v")), at)
-        carried[f"_prev_{name}"] = lambda ww, n=name: F.lag(f"_last_{n}").over(ww)
+        aggs[f"__last_{name}"] = F.max_by(F.struct(F.col(source).alias("v")), at)
+        carried[f"__prev_{name}"] = lambda ww, n=name: F.lag(f"__last_{n}").over(ww)
     for name, source in first.items():
-        aggs[f"_head_{name}"] = F.min_by(F.struct(F.col(source).alias("v")), at)
-        carried[f"_start_{name}"] = lambda ww, n=name: F.first(f"_head_{n}").over(ww)
+        aggs[f"__head_{name}"] = F.min_by(F.struct(F.col(source).alias("v")), at)
+        carried[f"__start_{name}"] = lambda ww, n=name: F.first(f"__head_{n}").over(ww)
     out = _attach_carry(rows.df.withColumns(new), rows, aggs, carried)
     final = {}
     for name in lag:
-        before = F.col(f"_prev_{name}")
-        final[name] = F.when((F.col("_rn") == 1) & before.isNotNull(), before["v"]).otherwise(F.col(name))
+        before = F.col(f"__prev_{name}")
+        final[name] = F.when((F.col("__rn") == 1) & before.isNotNull(), before["v"]).otherwise(F.col(name))
     for name in first:
-        head = F.col(f"_start_{name}")
+        head = F.col(f"__start_{name}")
         final[name] = F.when(head.isNotNull(), head["v"]).otherwise(F.col(name))
     if index:
-        final[index] = F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))
-    return rows.with_df(out.withColumns(final).drop("_rn", *carried))
+        final[index] = F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))
+    return rows.with_df(out.withColumns(final).drop("__rn", *carried))
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, target_rows: int | None = None, **wanted) -> DataFrame:
@@ -143,9 +143,9 @@ def running_sum_sliced(rows: Sliced, order: Sequence[str], value: str, out: str)
     w = Window.partitionBy(*rows.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = rows.df.withColumn(out, F.sum(value).over(w).cast("long"))
     if rows.hot:
-        before = {"_before": lambda ww: F.sum("_m").over(ww.rowsBetween(Window.unboundedPreceding, -1))}
-        total = _attach_carry(total, rows, {"_m": F.sum(value)}, before)
-        total = total.withColumn(out, (F.col(out) + F.coalesce(F.col("_before"), F.lit(0))).cast("long")).drop("_before")
+        before = {"__before": lambda ww: F.sum("__m").over(ww.rowsBetween(Window.unboundedPreceding, -1))}
+        total = _attach_carry(total, rows, {"__m": F.sum(value)}, before)
+        total = total.withColumn(out, (F.col(out) + F.coalesce(F.col("__before"), F.lit(0))).cast("long")).drop("__before")
     return rows.with_df(total)
 
 

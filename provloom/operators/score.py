@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
-from provloom.session import own_columns
+from provloom.session import no_rows, own_columns
 
 MAX_BROADCAST_FLOATS = 20_000_000
 
@@ -94,7 +94,7 @@ def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool
 
     def meet(tp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(tp) or not len(rp):
-            return pd.DataFrame({"id": [], name: [], "score": []})
+            return no_rows("id", name, "score")
         rp = rp.sort_values(name, kind="stable")
         sims = _matrix(tp["v"]) @ _matrix(rp["v"]).T
         if per_label:
@@ -143,10 +143,11 @@ def late_interaction(rows: DataFrame, columns: DataFrame, pairs: DataFrame) -> D
 
     def best(rp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if not len(rp) or not len(cp):
-            return pd.DataFrame({"id": [], "pos": [], "ref": [], "best": []})
+            return no_rows("id", "pos", "ref", "best")
         m = _matrix(cp["v"]).T
-        out = [np.concatenate([(_matrix(rp["v"].iloc[i : i + 4096]) @ m).max(axis=1) for i in range(0, len(rp), 4096)])]
-        return pd.DataFrame({"id": rp["id"], "pos": rp["pos"], "ref": rp["ref"], "best": out[0]})
+        step = 4096
+        out = np.concatenate([(_matrix(rp["v"].iloc[i : i + step]) @ m).max(axis=1) for i in range(0, len(rp), step)])
+        return rp[["id", "pos", "ref"]].assign(best=out)
 
     per_chunk = (
         own_columns(want).groupBy("ref", "chunk", "share")
@@ -197,9 +198,8 @@ def best_sentence_pairs(
     id_t, ref_t = rows.schema["id"].dataType.simpleString(), columns.schema["ref"].dataType.simpleString()
 
     def cells(rp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "ref", "row_text", "ref_text", "score", "row_pos", "ref_pos"]
         if not len(rp) or not len(cp):
-            return pd.DataFrame({n: [] for n in names})
+            return no_rows("id", "ref", "row_text", "ref_text", "score", "row_pos", "ref_pos")
         rp, cp = rp.sort_values("pos"), cp.sort_values("pos")
         sims = _matrix(rp["v"]) @ _matrix(cp["v"]).T
         flat = np.argsort(-sims, axis=None, kind="stable")[:pool]

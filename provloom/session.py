@@ -68,3 +68,10 @@ def own_columns(df: DataFrame) -> DataFrame:
     """The same columns under ids of their own, so that two sides derived from one input can meet in
     a cogroup."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def no_rows(*names):
+    """An empty pandas frame that converts to any column type."""
+    import pandas as pd
+
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})

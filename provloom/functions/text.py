@@ -283,9 +283,9 @@ def _name_paths(texts: pd.Series) -> pd.Series:
 
 def abstract_report(text: Column) -> Column:
     """Report text with URLs, file paths, addresses and domains replaced by class names. Only texts
-    that hold a slash cross into Python, for the path callback; the rest stays in the JVM."""
+    that hold a slash are sent to Python, for the path callback; the others travel as nulls."""
     t = F.regexp_replace(text, "(?U)" + URL_PATTERN, "public_netflow")
-    t = F.when(t.contains("/"), _name_paths(t)).otherwise(t)
+    t = F.coalesce(_name_paths(F.when(t.contains("/"), t)), t)
     # one left-to-right pass brackets the addresses, then each class is named inside the brackets
     t = F.regexp_replace(t, "(?U)" + ADDRESS_PATTERN, "\u0001$1.$2.$3.$4\u0002")
     t = F.regexp_replace(t, "\u0001127\\.[^\u0002]*\u0002", "local_connection")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provloom.session import cut_lineage
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 THRESHOLD = 5.0
+MAX_WEIGHTS = 2_000_000
 
 
 def _weights(phrases: DataFrame) -> DataFrame:
@@ -30,14 +37,55 @@ def _weights(phrases: DataFrame) -> DataFrame:
     return tf.join(idf, "term").select("term", "phrase_id", "phrase", (F.col("idf") * gain).alias("w"))
 
 
-def best_phrase(sentences: DataFrame, phrases: DataFrame, key: str, tokens: Column | None = None) -> DataFrame:
-    """(key, phrase, score): best phrase of each sentence that shares a term with some phrase.
-    Copies of a term inside a sentence are counted before the join."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-zA-Z]+)"), F.lit(1)) if tokens is None else tokens
+def best_phrase(sentences: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """(key, phrase, score): best phrase of each sentence that shares a term with some phrase, the
+    first phrase on a tie.
+
+    The phrase list is a lexicon: while its weights fit ``MAX_WEIGHTS`` every task holds them and a
+    sentence is scored where it lies, without a shuffle and without a row per (sentence, phrase).
+    A larger list goes through an inverted-index join."""
+    weights = cut_lineage(_weights(phrases))
+    if weights.limit(MAX_WEIGHTS + 1).count() > MAX_WEIGHTS:
+        return _joined_best(sentences, weights, key)
+    rows = weights.collect()  # size checked above
+    names = sorted({(r["phrase_id"], r["phrase"]) for r in rows})
+    at = {pid: i for i, (pid, _) in enumerate(names)}
+    index: dict = {}
+    for r in rows:
+        index.setdefault(r["term"], []).append((at[r["phrase_id"]], r["w"]))
+    index = {t: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for t, v in index.items()}
+    shared = sentences.sparkSession.sparkContext.broadcast((index, [n for _, n in names]))
+    key_type = sentences.schema[key].dataType.simpleString()
+
+    def run(batches):
+        terms, phrase_names = shared.value
+        word = re.compile("[a-zA-Z]+")
+        for pdf in batches:
+            keys, best, scores = [], [], []
+            for k, text in zip(pdf[key], pdf["text"]):
+                if text is None:
+                    continue
+                hits = [terms[t] for t in word.findall(text.lower()) if t in terms]
+                if not hits:
+                    continue
+                total = np.zeros(len(phrase_names))
+                for i, w in hits:
+                    total[i] += w
+                total = total.round(9)
+                j = int(total.argmax())
+                keys.append(k)
+                best.append(phrase_names[j])
+                scores.append(total[j])
+            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf[key].dtype), "phrase": pd.Series(best, dtype=object), "score": pd.Series(scores, dtype="float64")})
+
+    return sentences.select(key, "text").mapInPandas(run, f"`{key}` {key_type}, phrase string, score double")
+
+
+def _joined_best(sentences: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-zA-Z]+)"), F.lit(1))
     bag = sentences.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
-    # phrases are a fixed lexicon; its size does not follow the data
     scored = (
-        bag.join(_weights(phrases), "term")
+        bag.join(weights, "term")
         .groupBy(key, "phrase_id", "phrase")
         .agg(F.round(F.sum(F.col("c") * F.col("w")), 9).alias("score"))
     )

@@ -53,11 +53,8 @@ def first_appearance(
     ).select(*g, *at, "e.*")
     at = [*at, "_role"]
     rest = [n for n in src if n != "uuid"]
-    firsts = ends.groupBy(*g, "uuid").agg(
-        F.min_by(F.struct(*rest), F.struct(*at)).alias("v"), F.min(F.struct(*at)).alias("f")
-    )
-    flat = firsts.select(*g, "uuid", "v.*", "f.*")
-    numbered = ordered.scan(flat, g, at, index="node_id", target_rows=target_rows)
+    firsts = ends.groupBy(*g, "uuid").agg(F.min(F.struct(*at, *rest)).alias("f")).select(*g, "uuid", "f.*")
+    numbered = ordered.scan(firsts, g, at, index="node_id", target_rows=target_rows)
     return numbered.withColumn("node_id", F.col("node_id") - 1).drop(*at)
 
 

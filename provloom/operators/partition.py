@@ -18,27 +18,24 @@ def owners(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Data
     the seed whose depth-first walk visits it first. Min-label propagation with shortcutting; each
     round is one join and one partially aggregated min, checkpointed."""
     hops = cut_lineage(edges.select("src_id", "dst_id").filter("src_id <> dst_id").distinct())
-    state = cut_lineage(nodes.select("node_id", F.col("node_id").alias("owner")))
+    state = cut_lineage(nodes.select("node_id", F.col("node_id").alias("owner"), F.lit(True).alias("fresh")))
     for _ in range(max_rounds):
-        # only labels that can still lower a neighbour travel
+        # only labels that fell in the last round can still lower a neighbour
         offers = (
-            hops.join(state, hops.src_id == state.node_id)
+            hops.join(state.filter("fresh"), hops.src_id == state.node_id)
             .groupBy("dst_id")
             .agg(F.min("owner").alias("offer"))
         )
         stepped = state.join(offers, state.node_id == offers.dst_id, "left").select(
-            "node_id",
-            F.least("owner", "offer").alias("next"),
-            F.col("owner").alias("was"),
+            "node_id", F.least("owner", "offer").alias("next"), F.col("owner").alias("was")
         )
         roots = state.select(F.col("node_id").alias("next"), F.col("owner").alias("root"))
-        state2 = cut_lineage(
-            stepped.join(roots, "next").select("node_id", F.least("next", "root").alias("owner"), "was")
+        owner = F.least("next", "root")
+        state = cut_lineage(
+            stepped.join(roots, "next").select("node_id", owner.alias("owner"), (owner < F.col("was")).alias("fresh"))
         )
-        changed = state2.filter("owner < was").limit(1).count()
-        state = state2.select("node_id", "owner")
-        if changed == 0:
-            return state
+        if state.filter("fresh").isEmpty():
+            return state.select("node_id", "owner")
     raise RuntimeError("label propagation did not settle")
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provloom.functions import vectors as vec
 from provloom.operators import ordered
 from provloom.session import no_rows, own_columns
 
@@ -258,6 +259,31 @@ def mean_pool(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def token_means(token_vectors: DataFrame) -> DataFrame:
+    """(id, token, v): mean vector of each token over the chunks that cover it. ``token_vectors``:
+    id, start of the chunk, offset inside it (0 is the lead token, left out), v."""
+    at = token_vectors.filter("offset > 0").withColumn("token", F.col("start") + F.col("offset") - 1)
+    return mean_pool(at, ["id", "token"])
+
+
+def hashed_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
+    """(id, v): the built-in embedder, a unit vector of hashed word counts. Any producer of (id, v)
+    can stand in for it. Words are counted before they meet, so long texts spread."""
+    words = texts.select("id", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''")
+    bucket = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("long") % dim
+    n = words.groupBy("id", bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # at most ``dim`` entries per text
+    m = n.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    zero = F.lit(0.0)
+    v = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), zero))
+    return m.select("id", v.alias("v")).select("id", vec.unit(F.col("v")).alias("v"))
+
+
+def write_embeddings(meta: DataFrame, vectors: DataFrame, path: str) -> None:
+    """Embedding table: metadata and vector per row."""
+    meta.join(vectors, "id").write.mode("overwrite").parquet(path)
+
+
 def softmax_scores(scores: DataFrame, scale: float) -> DataFrame:
     """Scaled softmax over the labels of each text, rounded to 6 decimals."""
     w = Window.partitionBy("id")  # one row per label

@@ -8,6 +8,7 @@ from provloom.functions.timeid import NS
 from provloom.operators import build, label, ordered, partition
 from provloom.plans.registry import named
 from provloom.plans.views import query, view
+from provloom.session import cut_lineage
 
 HOUR = 3600 * NS
 THETA = 12 * HOUR
@@ -188,7 +189,7 @@ _REACH_SQL = f"""{_nodes_sql('trade_edge')},
 
 
 def trade_graph(spark, sf):
-    return build.build_graph(view(spark, sf, "trade_edge"))
+    return build.build_graph(cut_lineage(view(spark, sf, "trade_edge")))
 
 
 @named("seed_owners", f"WITH {_REACH_SQL} SELECT node_id, owner FROM owner")

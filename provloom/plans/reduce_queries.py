@@ -10,6 +10,7 @@ from provloom.operators.anchored import anchored_windows
 from provloom.plans.graph_queries import _kept_sql, _nodes_sql
 from provloom.plans.registry import named
 from provloom.plans.views import view
+from provloom.session import cut_lineage
 
 # --- directory cascade -------------------------------------------------------------------------
 
@@ -31,8 +32,7 @@ _CASCADE_SQL = f"""{_nodes_sql('walk_edge')}, {_kept_sql('walk_edge')},
 
 
 def walk_graph(spark, sf):
-    e = view(spark, sf, "walk_edge")
-    nodes, edges = build.build_graph(e)
+    nodes, edges = build.build_graph(cut_lineage(view(spark, sf, "walk_edge")))
     return nodes.withColumn("name", F.col("uuid")), edges
 
 
@@ -153,7 +153,7 @@ _FLOW_SQL = f"""RECURSIVE {_nodes_sql('burst_edge')}, {_kept_sql('burst_edge')},
 
 
 def burst_graph(spark, sf):
-    nodes, edges = build.build_graph(view(spark, sf, "burst_edge"))
+    nodes, edges = build.build_graph(cut_lineage(view(spark, sf, "burst_edge")))
     return nodes.withColumn("name", F.col("uuid")), edges
 
 
@@ -228,7 +228,7 @@ _SIMILAR_SQL = f"""RECURSIVE {_nodes_sql('temp_edge')}, {_kept_sql('temp_edge')}
 
 
 def temp_graph(spark, sf):
-    nodes, edges = build.build_graph(view(spark, sf, "temp_edge"))
+    nodes, edges = build.build_graph(cut_lineage(view(spark, sf, "temp_edge")))
     return nodes.withColumn("name", F.col("uuid")), edges
 
 

@@ -409,3 +409,19 @@ def merged_graph(ev: DataFrame, keys: list[str], id_parts: list[str]) -> tuple[D
     )
     n_edges = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"))
     return spans.join(n_edges, keys), nodes, edges
+
+
+def primary_events(lines: DataFrame) -> DataFrame:
+    """Events of the logs chosen per step, with the path columns and host tag. One parse serves the
+    choice of hosts and the result."""
+    ev = parse_events(lines)
+    counts = ev.groupBy("file").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_no").alias("first"))
+    tagged = host_tags(path_columns(counts))
+    chosen = tagged.join(primary_hosts(tagged), ["tactic", "technique", "step", "host_tag"], "left_semi")
+    return ev.join(chosen.select("file", "tactic", "technique", "step", "host", "host_tag"), "file")
+
+
+def write_events(ev: DataFrame, path: str) -> None:
+    """Events as JSON lines by tactic and technique; nulls and empty path lists are left out."""
+    out = ev.withColumn("paths", F.when(F.size("paths") > 0, F.col("paths")))
+    out.write.mode("overwrite").partitionBy("tactic", "technique").json(path)

@@ -84,8 +84,9 @@ SUBGRAPH_HEADER = (
 )
 
 
-def parse_subgraphs(docs: DataFrame, value: str = "value") -> DataFrame:
-    """Subgraph documents to rows (header fields, nodes array<string>, edges array<string>).
+def parse_subgraphs(docs: DataFrame, value: str = "value", max_subgraphs: int | None = None) -> DataFrame:
+    """Subgraph documents to rows (header fields, nodes array<string>, edges array<string>), at most
+    ``max_subgraphs`` of a document when that is given.
 
     ``docs`` holds one JSON document a row: one subgraph, a list of them, or {'subgraphs': [...]}."""
     schema = f"struct<{', '.join(c.strip().replace(' ', ':') for c in SUBGRAPH_HEADER.split(','))}, nodes:array<string>, edges:array<string>>"
@@ -93,7 +94,9 @@ def parse_subgraphs(docs: DataFrame, value: str = "value") -> DataFrame:
     many = F.from_json(F.col(value), f"struct<subgraphs:array<{schema}>>")["subgraphs"]
     listed = F.when(F.ltrim(value).startswith("["), F.from_json(F.col(value), f"array<{schema}>"))
     rest = [c for c in docs.columns if c != value]
-    return docs.select(*rest, F.posexplode(F.coalesce(listed, many, F.array(one))).alias("idx", "sg")).select(
+    found = F.coalesce(listed, many, F.array(one))
+    found = found if max_subgraphs is None else F.slice(found, 1, max_subgraphs)
+    return docs.select(*rest, F.posexplode(found).alias("idx", "sg")).select(
         *rest, F.col("idx").cast("long").alias("idx"), "sg.*"
     )
 

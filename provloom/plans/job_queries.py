@@ -76,9 +76,29 @@ def subgraph_sentences(spark, sf):
     return _subgraph_sentences(spark, sf)
 
 
-@named("evaluation_texts")
+# longest common subsequence of short sentences, a bit per character
+_FAR = """2.0 * (len(k) - bit_count(list_reduce(list_transform(string_split(s, ''),
+      lambda c: list_sum(list_transform(generate_series(1, len(k)), lambda i: CASE WHEN k[i] = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT),
+      lambda r, m: ((r + (r & m)) | (r & xor(m, -1::HUGEINT))) & ((1::HUGEINT << len(k)::INT) - 1), (1::HUGEINT << len(k)::INT) - 1)))
+      / (len(k) + len(s)) < 0.7"""
+
+
+@named(
+    "evaluation_texts",
+    f"""WITH RECURSIVE {_MEMBERS}, {_LABEL_SQL.replace('r AS (', 'r0 AS (').replace('FROM r)', 'FROM r0)')},
+    st AS (SELECT e.dep_id, e.part_idx, row_number() OVER (PARTITION BY e.dep_id, e.part_idx ORDER BY e.ts_ns, e.line_no) AS pos,
+      concat(s.label, ' ', lower(replace(e.edge_type, 'EVENT_', '')), ' ', d.label, '.') AS text
+      FROM sub_edge e JOIN lab s ON s.uuid = e.src JOIN lab d ON d.uuid = e.dst),
+    keepers AS (
+      SELECT dep_id, part_idx, pos, [text] AS kept, TRUE AS stays, text FROM st WHERE pos = 1
+      UNION ALL
+      SELECT n.dep_id, n.part_idx, n.pos, CASE WHEN far THEN list_append(n.kept, n.s) ELSE n.kept END, far, n.s FROM (
+        SELECT t.dep_id, t.part_idx, t.pos, k0.kept, t.text AS s, len(list_filter(list_transform(k0.kept, lambda k: {_FAR.replace('(s,', '(t.text,').replace('len(s)', 'len(t.text)')}), lambda ok: NOT ok)) = 0 AS far
+        FROM keepers k0 JOIN st t ON t.dep_id = k0.dep_id AND t.part_idx = k0.part_idx AND t.pos = k0.pos + 1) n)
+    SELECT dep_id, part_idx, pos, text FROM keepers WHERE stays""",
+)
 def evaluation_texts(spark, sf):
-    """Abstract, build, deduplicate: the kept sentences of every subgraph (checked in the tests)."""
+    """Abstract, build, deduplicate: the kept sentences of every subgraph."""
     d = dedup.deduplicate(_subgraph_sentences(spark, sf), ["dep_id", "part_idx"])
     return d.filter("kept").select("dep_id", "part_idx", "pos", "text")
 

@@ -327,9 +327,18 @@ def template_sentences(spark, sf):
     return t.select("seq_id", "pos", tx.template_sentence(F.col("t")).alias("sentence"))
 
 
-@named("formatted_document_lines")
+_FORMATTED = f"""w AS (SELECT seq_id, pos, string_split(rtrim(text, '. '), ' ') AS w FROM ({_SHORT})),
+    tmpl AS (SELECT seq_id, pos, CASE WHEN w[4] LIKE '%file' THEN concat(w[1], ' ', w[2], ' ', w[3], ' ', w[4], ' ', coalesce(w[5], ''))
+      ELSE concat(w[1], ' ', w[2], ' ', CASE WHEN w[3] = 'connect' THEN 'connect to' ELSE w[3] END, ' ', w[4]) END AS text FROM w WHERE len(w) >= 4)"""
+
+
+@named(
+    "formatted_document_lines",
+    f"WITH RECURSIVE {_FORMATTED}, {_ALT.replace(f'({_SHORT})', 'tmpl')}, ln AS (SELECT seq_id, text, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS line FROM alt) "
+    "SELECT seq_id, line, concat(CAST(line AS STRING), '. ', text) AS text FROM ln",
+)
 def formatted_document_lines(spark, sf):
-    """Numbered template sentences without repeats and alternations (checked in the tests)."""
+    """Numbered template sentences without repeats and alternations."""
     return sequences.formatted_sentences(query(spark, sf, _SHORT), ["seq_id"])
 
 
@@ -429,11 +438,17 @@ def attack_sentences(spark, sf):
     return s.groupBy("id", "sentence", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-@named("report_sentences")
+@named(
+    "report_sentences",
+    """WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[.]\\s+([A-Z])', chr(1) || '\\1', 'g'), chr(1))) AS s FROM documents),
+    q AS (SELECT doc_id, rtrim(trim(s), '.') AS sentence FROM p)
+    SELECT doc_id, sentence, count(*) AS n FROM q WHERE len(sentence) > 10 GROUP BY ALL""",
+)
 def report_sentences(spark, sf):
-    """Report splitter on whole texts (its rules are checked in the tests)."""
+    """Report splitter on whole texts (names with dots are checked in the tests)."""
     d = query(spark, sf, "SELECT doc_id, text FROM documents")
-    return d.select("doc_id", F.posexplode(tx.split_report(F.col("text"))).alias("pos", "sentence"))
+    s = d.select("doc_id", F.explode(tx.split_report(F.col("text"))).alias("sentence"))
+    return s.groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @named(
@@ -532,7 +547,18 @@ def abstracted_reports(spark, sf):
     return query(spark, sf, "SELECT page_id, html AS text FROM pages").withColumn("text", tx.abstract_report(F.col("text")))
 
 
-@named("report_line_changes")
+_ABSTRACTED = """x AS (SELECT doc_id AS key, text, regexp_replace(text, '\\b([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})(:[0-9]+)?\\b', chr(1) || '\\1.\\2.\\3.\\4' || chr(2), 'g') AS a FROM documents),
+    y AS (SELECT key, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '\\x01127[.][^\\x02]*\\x02', 'local_connection', 'g'),
+      '\\x01(0?10[.]|172[.]0?(1[6-9]|2[0-9]|3[01])[.]|192[.]168[.])[^\\x02]*\\x02', 'private_netflow', 'g'), '\\x01[^\\x02]*\\x02', 'public_netflow', 'g'),
+      '\\b([a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?[.])+[a-zA-Z]{2,}(:[0-9]+)?\\b', 'public_netflow', 'g') AS after FROM x)"""
+
+
+@named(
+    "report_line_changes",
+    f"""WITH {_ABSTRACTED}, z AS (SELECT key, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no, unnest(string_split(text, chr(10))) AS b,
+      unnest(string_split(after, chr(10))) AS a FROM y WHERE text <> after)
+    SELECT key, line_no, trim(b) AS before, trim(a) AS after FROM z WHERE a <> b""",
+)
 def report_line_changes(spark, sf):
     """Lines of the documents the report abstraction changes."""
     return sequences.report_changes(query(spark, sf, "SELECT doc_id AS key, text FROM documents"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
+from provloom.session import cut_lineage
 
 PART = ["dep_id", "part_idx"]
 MIN_FLAGGED = 2
@@ -126,8 +127,8 @@ def filter_segments(
     Nodes stay when an edge that stayed touches them or when they are flagged in some part of their
     component; listed ids inside the segment always stay. For segments whose seed has ``seed_name``
     only edges that touch a listed id stay."""
-    labelled = label_segments(segments, sub_nodes, flagged).select(*PART)
-    own = sub_nodes.join(labelled, PART, "left_semi")
+    labelled = cut_lineage(label_segments(segments, sub_nodes, flagged).select(*PART))
+    own = cut_lineage(sub_nodes.join(labelled, PART, "left_semi"))
     mal = flagged_nodes(own, flagged).select("dep_id", "uuid").distinct()
     edges = in_window(sub_edges.join(labelled, PART, "left_semi"), start_ns, end_ns)
     if seed_name is not None:
@@ -136,12 +137,13 @@ def filter_segments(
         edges = e.filter(~F.col("_special") | F.col("src_flag") | F.col("dst_flag")).drop(
             "_special", "src_flag", "dst_flag"
         )
+    edges = cut_lineage(edges)
     live = edges.select(*PART).distinct()
     touched = edges.select(*PART, F.explode(F.array("src", "dst")).alias("uuid"))
     listed = own.join(flagged.select("uuid").distinct(), "uuid", "left_semi").select(*PART, "uuid")
     of_dep = own.join(mal, ["dep_id", "uuid"], "left_semi").select(*PART, "uuid")
     keep = touched.unionByName(listed).unionByName(of_dep).distinct().join(live, PART, "left_semi")
-    nodes = own.join(keep, [*PART, "uuid"], "left_semi")
+    nodes = cut_lineage(own.join(keep, [*PART, "uuid"], "left_semi"))
     n_mal = nodes.join(mal, ["dep_id", "uuid"], "left_semi").groupBy(*PART).agg(
         F.countDistinct("uuid").alias("n_flagged")
     )

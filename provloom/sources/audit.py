@@ -5,11 +5,12 @@ file, so groups are as small as the kernel makes them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.timeid import decimal_seconds_to_ns, uuid5
 from provloom.operators import build
+from provloom.session import cut_lineage
 
 # Record families, host preference, loader path.
 PAM = ("USER_ACCT", "CRED_ACQ", "USER_START", "USER_END", "CRED_REFR", "CRED_DISP")
@@ -142,7 +143,8 @@ def parse_events(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
         *last,
     )
     ev = ev.withColumn("type", F.coalesce("type", F.lit("SYSCALL")))
-    return _named(_kept(ev), keys)
+    # the naming joins the events with themselves; the lines are parsed once
+    return _named(cut_lineage(_kept(ev)), keys)
 
 
 def _kept(ev: DataFrame) -> DataFrame:

@@ -66,13 +66,9 @@ def edges(scanned: DataFrame, target_rows: int | None = None) -> DataFrame:
     """Edge rows of the kept lines with target ids, names and whether the target was resolved. A
     registry event without a key name gets a running number per sample."""
     a = F.col("j.args")
-    kept = scanned.filter("status = 'kept'").withColumn(
-        "_nokey", (F.col("kind") == "registry") & (F.coalesce(a["KeyName"], F.lit("")) == "")
-    )
-    numbered = ordered.scan(
-        kept.filter("_nokey").select("tag", "line_no"), ["tag"], ["line_no"], index="_i", target_rows=target_rows
-    )
-    e = kept.join(numbered, ["tag", "line_no"], "left")
+    nameless = (F.col("kind") == "registry") & (F.coalesce(a["KeyName"], F.lit("")) == "")
+    kept = scanned.filter("status = 'kept'").withColumn("_one", F.when(nameless, 1).otherwise(0))
+    e = ordered.running_sum(kept, ["tag"], ["line_no"], "_one", "_i", target_rows)
     pid = F.coalesce("j.PID", F.lit("None"))
     path = F.nullif(F.when(F.col("event") == OPEN_PATH_EVENT, a["OpenPath"]).otherwise(a["FileName"]), F.lit(""))
     key, obj = F.nullif(a["FileKey"], F.lit("")), F.nullif(a["FileObject"], F.lit(""))

@@ -9,10 +9,18 @@ from provloom.functions import text as tx
 from provloom.operators import build
 from provloom.plans.registry import named
 from provloom.plans.views import query, view
+from provloom.session import cut_lineage
 from provloom.sources import audit, cdm, etw, knowledge, lines, reports
 
 NS = cdm.NS
 
+
+
+def as_log(derived, spark):
+    """Derived lines stand for log files: spread as file splits are, and made once."""
+    return cut_lineage(derived.repartition(spark.sparkContext.defaultParallelism))
+
+
 # --- edge files and id lists -------------------------------------------------------------------
 
 _EDGE_LINE = """SELECT line_no, CASE line_no % 10 WHEN 3 THEN concat(src, chr(9), src_type, chr(9), dst, chr(9), dst_type, chr(9), edge_type)
@@ -141,7 +149,7 @@ _CDM_ENT = f"""ent AS (
 
 
 def cdm_lines(spark, sf):
-    return query(spark, sf, _CDM).withColumn("file_key", lines.natural_key(F.col("file_name")))
+    return as_log(query(spark, sf, _CDM), spark).withColumn("file_key", lines.natural_key(F.col("file_name")))
 
 
 @named("log_entities", f"WITH {_CDM_ENT} SELECT uuid, type, name FROM ent")
@@ -259,7 +267,7 @@ _ETW_SQL = f"""raw AS (SELECT *, concat('sample', CAST(user_id % 20 AS STRING))
 
 
 def etw_scan(spark, sf):
-    return etw.scan(etw.with_tag(query(spark, sf, _ETW)))
+    return etw.scan(etw.with_tag(as_log(query(spark, sf, _ETW), spark)))
 
 
 @named("kernel_event_edges", f"WITH {_ETW_SQL} SELECT tag, line_no, src, dst, edge_type, ts_ns, resolved FROM e")
@@ -353,7 +361,7 @@ _AUDIT_SQL = f"""a AS (SELECT *, {_FILE} AS file, event_id % 10 AS m, {_PID} AS
 
 
 def audit_lines(spark, sf):
-    return query(spark, sf, _AUDIT)
+    return as_log(query(spark, sf, _AUDIT), spark)
 
 
 @named(

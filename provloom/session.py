@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_CHECKPOINTS: dict[str, str] = {}
+# folders of our own for local sessions, removed when the interpreter ends
+_LOCAL_CHECKPOINTS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def get_spark(app: str = "provloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -23,6 +24,7 @@ def get_spark(app: str = "provloom", master: str | None = None, shuffle_partitio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.compress", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -44,7 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        conf = _LOCAL_CHECKPOINTS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="provloom-ckpt-"))
+        if sc.applicationId not in _LOCAL_CHECKPOINTS:
+            _LOCAL_CHECKPOINTS[sc.applicationId] = tempfile.TemporaryDirectory(
+                prefix="provloom-ckpt-", ignore_cleanup_errors=True
+            )
+        conf = _LOCAL_CHECKPOINTS[sc.applicationId].name
     sc.setCheckpointDir(conf)
     return conf
 

@@ -371,7 +371,7 @@ def single_and_multi_label_counts(spark, sf):
     return catalog.single_multi(catalog.label_sets(query(spark, sf, _MEMBER).withColumnRenamed("id", "step")))
 
 
-_STEP = "SELECT DISTINCT concat('step', CAST(l_suppkey AS STRING)) AS step, concat('T', CAST(l_partkey % 50 AS STRING)) AS technique FROM lineitem WHERE l_partkey % 7 = 0"
+_STEP = "SELECT DISTINCT concat('step', CAST(l_suppkey AS STRING)) AS step, concat('T', CAST(l_partkey % 50 AS STRING)) AS technique FROM lineitem"
 _TECH = "SELECT DISTINCT concat('T', CAST(p_partkey % 50 AS STRING)) AS technique, p_type AS label FROM part"
 
 
@@ -415,7 +415,7 @@ def variant_report(spark, sf):
 
 
 _CONTENT = """SELECT concat('step', CAST(l_partkey % 300 AS STRING)) AS name, l_linestatus AS grp, l_returnflag AS part,
-    concat('v', CAST(l_partkey % 2 AS STRING), CASE WHEN l_suppkey % 50 = 0 THEN 'x' ELSE '' END) AS content FROM lineitem WHERE l_quantity < 20"""
+    concat('v', CAST(l_partkey % 2 AS STRING), CASE WHEN l_suppkey % 50 = 0 THEN 'x' ELSE '' END) AS content FROM lineitem"""
 
 
 @named(

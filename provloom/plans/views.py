@@ -133,7 +133,7 @@ VIEWS: dict[str, str] = {
                concat('/data/', CAST(o_custkey AS STRING), '/', CAST(o_orderkey AS STRING), '/',
                       CAST(l_linenumber AS STRING)), 'FILE', 'EVENT_WRITE',
                {TS_NS:o_orderdate} + 1000 * l_linenumber + 5, o_orderkey * 40 + 2 + l_linenumber
-        FROM ship_line JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 <> 0""",
+        FROM ship_line JOIN orders ON l_orderkey = o_orderkey""",
     # flows of processes: short bursts, so that anchored windows merge
     "burst_edge": """
         SELECT concat('p', CAST(user_id % 20 AS STRING)) AS src, 'SUBJECT_PROCESS' AS src_type,
@@ -154,7 +154,7 @@ VIEWS: dict[str, str] = {
                     ELSE concat('/srv/x/notes-', CAST(partkey AS STRING), '.md') END AS dst, 'FILE' AS dst_type,
                CASE WHEN l_orderkey % 2 = 0 THEN 'EVENT_WRITE' ELSE 'EVENT_READ' END AS edge_type,
                l_orderkey * 7000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 AS ts_ns, l_orderkey * 10 + l_linenumber AS line_no
-        FROM ship_line WHERE quantity > 10""",
+        FROM ship_line""",
     # flagged ids: users with an error on a key divisible by nine
     "flagged": """
         SELECT DISTINCT concat('p', CAST(user_id AS STRING)) AS uuid FROM host_event

@@ -53,7 +53,8 @@ def first_appearance(
     ).select(*g, *at, "e.*")
     at = [*at, "_role"]
     rest = [n for n in src if n != "uuid"]
-    firsts = ends.groupBy(*g, "uuid").agg(F.min(F.struct(*at, *rest)).alias("f")).select(*g, "uuid", "f.*")
+    # the numbering reads the nodes more than once, the edges are aggregated once
+    firsts = cut_lineage(ends.groupBy(*g, "uuid").agg(F.min(F.struct(*at, *rest)).alias("f")).select(*g, "uuid", "f.*"))
     numbered = ordered.scan(firsts, g, at, index="node_id", target_rows=target_rows)
     return numbered.withColumn("node_id", F.col("node_id") - 1).drop(*at)
 

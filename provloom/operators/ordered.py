@@ -59,7 +59,8 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, target_rows: int
     """Cut the keys above the target: ``_slice`` is the equal-width slice of ``order``, -1 elsewhere."""
     if target_rows is None and _estimated_bytes(df) <= SMALL_BYTES:
         return Sliced(df, tuple(keys), False)
-    target = target_rows or TARGET_ROWS
+    # without keys everything is one key, so smaller pieces keep more than one task busy
+    target = target_rows or (TARGET_ROWS if keys else TARGET_ROWS // 8)
     share = min(1.0, SAMPLE_PER_TARGET / target)
     rows = df.select(*keys, F.col(order).alias("_o"))
     sampled = rows if share == 1.0 else rows.sample(share, seed=17)

@@ -57,9 +57,9 @@ def lexicon(docs: DataFrame, most_share: float = MOST_SHARE, least_docs: int = L
 def with_fingerprint(df: DataFrame, text: Column, band: Column, name: str) -> DataFrame:
     """Adds the fingerprint of ``text`` under ``name``: ``thinning:h,h,...;h,h,...``."""
     in_band = lambda t: F.getbit(
-        F.element_at(band, (F.shiftright(bucket(t), 6) + 1).cast("int")), bucket(t).bitwiseAND(F.lit(63)).cast("int")
+        F.element_at(F.col("__lexicon"), (F.shiftright(bucket(t), 6) + 1).cast("int")), bucket(t).bitwiseAND(F.lit(63)).cast("int")
     ) == 1
-    df = df.withColumn("__terms", terms(text))
+    df = df.withColumn("__lexicon", band).withColumn("__terms", terms(text))
     df = df.withColumn("__band", F.filter("__terms", in_band))
     df = df.withColumn("__band", F.when(F.size("__band") == 0, F.col("__terms")).otherwise(F.col("__band")))
     thin = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size("__band"), F.lit(1)) / CELLS))).cast("int")
@@ -78,7 +78,7 @@ def with_fingerprint(df: DataFrame, text: Column, band: Column, name: str) -> Da
 
     df = df.withColumn("__a", thinned(F.col("__thin"))).withColumn("__b", thinned(F.col("__thin") + 1))
     return df.withColumn(name, F.concat(F.col("__thin").cast("string"), F.lit(":"), hashed("__a"), F.lit(";"), hashed("__b"))).drop(
-        "__terms", "__band", "__thin", "__a", "__b"
+        "__lexicon", "__terms", "__band", "__thin", "__a", "__b"
     )
 
 

@@ -75,7 +75,7 @@ def position(done, target, slope) -> F.Column:
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), slopes: tuple[float, ...] = (0.5, 0.0, -0.5), share: float = 1.5,
-    passes: int = 2, slice_rows: int = 100_000,
+    passes: int = 2, slice_rows: int = 4_000,
 ) -> DataFrame:
     """One row per document: size, source_size, target, taken (words, all passes) and the training
     positions of its first and second reading (null where it is not read)."""

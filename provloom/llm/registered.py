@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provloom.llm import chat, imatch, mixing
+from provloom.llm import chat, decontaminate, htmltext, imatch, languages, mixing, secrets, tokenfiles
 from provloom.llm.shared import small_batches, table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -42,3 +46,29 @@ def chat_examples(spark, sf):
 @named("op9_imatch_fingerprints")
 def imatch_fingerprints(spark, sf):
     return imatch.fingerprints(table(spark, sf, "documents"))
+
+
+@named("op1_decontamination")
+def decontamination(spark, sf):
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@named("op3_language_id")
+def language_id(spark, sf):
+    found = languages.identify(table(spark, sf, "documents"))
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rate")
+
+
+@named("op5_secret_scan")
+def secret_scan(spark, sf):
+    return secrets.scan(table(spark, sf, "documents"))
+
+
+@named("op8_token_files")
+def token_files(spark, sf, vocabulary=VOCABULARY):
+    return tokenfiles.encoded(table(spark, sf, "documents"), vocabulary).drop("found_by_key")
+
+
+@named("op10_page_text")
+def page_text(spark, sf):
+    return htmltext.extract(table(spark, sf, "pages"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.llm import chat, decontaminate, htmltext, imatch, languages, mixing, secrets, tokenfiles
+from provloom.llm import chat, decontaminate, htmltext, imatch, languages, mixing, ngramjoin, passages, secrets, tokenfiles
 from provloom.llm.shared import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,16 @@ def decontamination(spark, sf):
     return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@named("op2_repeated_passages")
+def repeated_passages(spark, sf):
+    return passages.repeated_passages(table(spark, sf, "documents"))
+
+
+@named("op4_ngram_join")
+def ngram_join(spark, sf):
+    return ngramjoin.join_components(table(spark, sf, "documents"))
+
+
 @named("op3_language_id")
 def language_id(spark, sf):
     found = languages.identify(table(spark, sf, "documents"))

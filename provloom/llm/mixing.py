@@ -111,18 +111,19 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix in training order, one row per reading. A document is read whole or not at
     all: the one that a source's target cuts is read when at least half of it is wanted."""
+    own = Window.partitionBy("doc_id").orderBy("size", "source_key", "text_key")
     keyed = docs.select(
-        "*", word_count(F.col("text")).alias("__size"), F.coalesce(F.col("source"), F.lit("")).alias("__source"),
-        F.xxhash64("text").alias("__text_key"),
-    ).withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("__size", "__source", "__text_key")))
+        F.struct(*docs.columns).alias("row"), "doc_id", word_count(F.col("text")).alias("size"),
+        F.coalesce("source", F.lit("")).alias("source_key"), F.xxhash64("text").alias("text_key"),
+    ).select("row", "doc_id", F.row_number().over(own).alias("nth"))
     readings = mix(docs, **options).select(
-        F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies"),
-        F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "position")).alias("__row2"),
-        F.array("position", "position_again").alias("__positions"),
-    ).where("__copies > 0")
-    joined = keyed.join(readings, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__row2")))
-    rows = joined.select(*docs.columns, F.explode(F.slice("__positions", F.lit(1), F.col("__copies"))).alias("__position"))
-    return rows.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+        F.col("doc_id").alias("id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"),
+        F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "position")).alias("mth"),
+        F.array("position", "position_again").alias("positions"),
+    ).where("copies > 0")
+    joined = keyed.join(readings, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("mth")))
+    rows = joined.select("row", "doc_id", F.explode(F.slice("positions", F.lit(1), F.col("copies"))).alias("position"))
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 SQL = r"""

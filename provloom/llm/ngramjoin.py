@@ -167,9 +167,11 @@ def described(docs: DataFrame, ranks, percent: int = PERCENT, width: int = WIDTH
 
 def among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on doc_id: the ids are broadcast while they are few, joined otherwise."""
-    right = ids.select(F.col("doc_id").alias("__id"))
     n = ids.count()
-    return docs.join(F.broadcast(right) if n <= BROADCAST_IDS else right, docs["doc_id"].eqNullSafe(F.col("__id")), how)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
+    ids = ids.select(F.col("doc_id").alias("id"))
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), how).select("row.*")
 
 
 # --- comparison below hubs ----------------------------------------------------------------------
@@ -327,9 +329,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = among(docs, gone, "left_anti")
     twice = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return kept
     # rows that share their id: the first by content stays
-    once = among(kept, twice, "left_anti").select(*docs.columns)
-    same = among(kept, twice, "left_semi").select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return once.union(same.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))
+    once = among(kept, twice, "left_anti")
+    same = among(kept, twice, "left_semi")
+    first = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row"))
+    same = same.select(F.struct(*docs.columns).alias("row")).withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return once.union(same.select("row.*"))

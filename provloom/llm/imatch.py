@@ -109,14 +109,23 @@ def fingerprints(docs: DataFrame, slices: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     band = lexicon(docs)
     slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = with_fingerprint(sliced(docs, slices), F.col("text"), band, "fingerprint")
+    docs = sliced(docs, slices)
+    order = F.struct("doc_id", F.xxhash64("text").alias("key"))
     inside = Window.partitionBy("slice").orderBy("doc_id", F.xxhash64("text"))
-    d = d.withColumn("rank", F.row_number().over(inside)).withColumn("next", F.lead(F.struct("text", "fingerprint")).over(inside))
-    heads = d.where("rank = 1").select("slice", F.struct("text", "fingerprint").alias("head"))
+    d = with_fingerprint(docs, F.col("text"), band, "fingerprint")
+    d = d.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(inside))
+    # the first document of every slice follows the last one of the slice before; one row per slice
+    first = docs.select("slice", order.alias("o")).groupBy("slice").agg(F.min("o").alias("o")).select("slice", "o.*")
+    heads = docs.join(
+        F.broadcast(first.select(F.col("slice").alias("s"), F.col("doc_id").alias("i"), "key")),
+        (F.col("slice") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("key")),
+    ).select("slice", "text").dropDuplicates(["slice"])
+    heads = with_fingerprint(heads, F.col("text"), band, "fingerprint")
     along = Window.orderBy("slice")
     every = Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("slice", F.struct("text", "fingerprint").alias("head"))
     heads = heads.select("slice", F.coalesce(F.lead("head").over(along), F.first("head").over(every)).alias("head"))
-    d = d.join(heads, "slice").withColumn("next", F.coalesce("next", "head")).drop("head", "rank", "slice")
+    d = d.join(heads, "slice").withColumn("next", F.coalesce("next", "head")).drop("head", "slice")
     n = F.length("text")
     moved = F.floor(n / 4).cast("int")
     d = d.select(

@@ -55,10 +55,10 @@ def anchored_windows(
     cols = [*df.columns, out]
     short = marked.filter(F.col("_hi") - F.col("_lo") <= width).withColumn(out, F.col("_lo")).select(*cols)
     long_ = marked.filter(F.col("_hi") - F.col("_lo") > width).select(*df.columns, "_run")
-    rows = ordered.with_slices(long_, rk, ts, target_rows)
+    rows = ordered.with_slices(long_, rk, order, target_rows)
     if rows.hot:
         rows = rows.with_df(
-            rows.df.join(F.broadcast(_open_anchors(rows, rk, ts, width)), [*rk, ordered.SLICE], "left")
+            rows.df.join(_open_anchors(rows, rk, ts, width), [*rk, ordered.SLICE], "left")
         )
     else:
         rows = rows.with_df(rows.df.withColumn("_open", F.lit(None).cast("long")))

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provloom.operators import ordered
 from provloom.session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 THRESHOLD = 5.0
-MAX_WEIGHTS = 2_000_000
 
 
 def _weights(phrases: DataFrame) -> DataFrame:
@@ -38,50 +34,13 @@ def _weights(phrases: DataFrame) -> DataFrame:
 
 
 def best_phrase(sentences: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """(key, phrase, score): best phrase of each sentence that shares a term with some phrase, the
-    first phrase on a tie.
+    """(key, phrase, score): the phrase with the largest score for each sentence that shares a term with
+    some phrase, the first phrase on a tie.
 
-    The phrase list is a lexicon: while its weights fit ``MAX_WEIGHTS`` every task holds them and a
-    sentence is scored where it lies, without a shuffle and without a row per (sentence, phrase).
-    A larger list goes through an inverted-index join."""
+    A phrase without a common term scores 0. Terms of more than half of the phrases weigh less than
+    nothing, so where no matching phrase scores above 0 the first phrase without a common term is
+    compared as well. Sentences are bags of terms that meet the weights by term."""
     weights = cut_lineage(_weights(phrases))
-    if weights.limit(MAX_WEIGHTS + 1).count() > MAX_WEIGHTS:
-        return _joined_best(sentences, weights, key)
-    rows = weights.collect()  # size checked above
-    names = sorted({(r["phrase_id"], r["phrase"]) for r in rows})
-    at = {pid: i for i, (pid, _) in enumerate(names)}
-    index: dict = {}
-    for r in rows:
-        index.setdefault(r["term"], []).append((at[r["phrase_id"]], r["w"]))
-    index = {t: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for t, v in index.items()}
-    shared = sentences.sparkSession.sparkContext.broadcast((index, [n for _, n in names]))
-    key_type = sentences.schema[key].dataType.simpleString()
-
-    def run(batches):
-        terms, phrase_names = shared.value
-        word = re.compile("[a-zA-Z]+")
-        for pdf in batches:
-            keys, best, scores = [], [], []
-            for k, text in zip(pdf[key], pdf["text"]):
-                if text is None:
-                    continue
-                hits = [terms[t] for t in word.findall(text.lower()) if t in terms]
-                if not hits:
-                    continue
-                total = np.zeros(len(phrase_names))
-                for i, w in hits:
-                    total[i] += w
-                total = total.round(9)
-                j = int(total.argmax())
-                keys.append(k)
-                best.append(phrase_names[j])
-                scores.append(total[j])
-            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf[key].dtype), "phrase": pd.Series(best, dtype=object), "score": pd.Series(scores, dtype="float64")})
-
-    return sentences.select(key, "text").mapInPandas(run, f"`{key}` {key_type}, phrase string, score double")
-
-
-def _joined_best(sentences: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-zA-Z]+)"), F.lit(1))
     bag = sentences.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
     scored = (
@@ -89,11 +48,25 @@ def _joined_best(sentences: DataFrame, weights: DataFrame, key: str) -> DataFram
         .groupBy(key, "phrase_id", "phrase")
         .agg(F.round(F.sum(F.col("c") * F.col("w")), 9).alias("score"))
     )
-    return (
-        scored.groupBy(key)
-        .agg(F.max_by(F.struct("phrase", "score"), F.struct("score", -F.col("phrase_id"))).alias("b"))
-        .select(key, "b.phrase", "b.score")
+    first = F.max_by(F.struct("phrase_id", "phrase", "score"), F.struct("score", -F.col("phrase_id")))
+    best = cut_lineage(scored.groupBy(key).agg(first.alias("b"), F.sort_array(F.collect_set(F.when(F.col("score") <= 0, F.col("phrase_id")))).alias("low")))
+    above = best.filter("b.score > 0").select(key, "b.phrase", "b.score")
+    # where all matching phrases are in ``low``, the first phrase that is not among them scores 0
+    numbered = ordered.scan(phrases.select("phrase_id", "phrase").distinct(), [], ["phrase_id"], index="place")
+    rest = best.filter("b.score <= 0")
+    places = (
+        rest.select(key, F.explode("low").alias("phrase_id")).join(numbered.select("phrase_id", "place"), "phrase_id")
+        .groupBy(key).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    )
+    ahead = F.size(F.filter(F.transform("places", lambda x, i: x == i + 1), lambda x: x))
+    free = places.select(key, (ahead + 1).cast("long").alias("place")).join(
+        numbered.select("place", F.col("phrase_id").alias("free_id"), F.col("phrase").alias("free")), "place", "left"
+    )
+    takes = F.col("free").isNotNull() & ((F.col("b.score") < 0) | (F.col("free_id") < F.col("b.phrase_id")))
+    below = rest.join(free, key).select(
+        key, F.when(takes, F.col("free")).otherwise(F.col("b.phrase")).alias("phrase"), F.when(takes, F.lit(0.0)).otherwise(F.col("b.score")).alias("score")
     )
+    return above.unionByName(below)
 
 
 def relevant(sentences: DataFrame, phrases: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:

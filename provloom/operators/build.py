@@ -1,4 +1,6 @@
-"""Graph construction from edge rows (src, src_type, dst, dst_type, edge_type, ts_ns, line_no).
+"""Graph construction from edge rows (src, src_type, dst, dst_type, edge_type, ts_ns, line_no[, file_key]).
+
+Edges are ordered by time, then file, then line; ``line_no`` of the results names an edge over all files.
 
 ``g`` names the columns that tell graphs apart (empty for one graph), so many sample graphs are
 built by one job.
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from provloom.operators import ordered
 from provloom.session import cut_lineage
+from provloom.sources import lines
 
 
 def merge_names(primary: DataFrame, extra: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def number_nodes(edges: DataFrame, g: Sequence[str] = (), target_rows: int | Non
     """(uuid, type, ts_ns, node_id): ids by first appearance over time-ordered edges; type and time
     are those of the first appearance."""
     return first_appearance(
-        edges,
+        lines.in_order(edges),
         g,
         ["ts_ns", "line_no"],
         {"uuid": "src", "type": "src_type", "ts_ns": "ts_ns"},
@@ -77,7 +80,7 @@ def parallel_edges(edges: DataFrame, g: Sequence[str] = (), target_rows: int | N
     a substring of the first edge's type. ``edge_key`` is the running index of the kept edges;
     ``pair_ts``/``pair_line`` locate the pair's first edge."""
     order = ["ts_ns", "line_no"]
-    rows = ordered.with_slices(edges, [*g, "src", "dst"], "ts_ns", target_rows)
+    rows = ordered.with_slices(lines.in_order(edges), [*g, "src", "dst"], order, target_rows)
     seen = ordered.scan_sliced(
         rows, order, first={"first_type": "edge_type", "pair_ts": "ts_ns", "pair_line": "line_no"}
     )
@@ -115,19 +118,13 @@ def repeat_edges(edges: DataFrame, g: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def event_id_lists(edges: DataFrame, g: Sequence[str] = (), chunk: int = 10_000) -> DataFrame:
-    """Comma-joined event ids per (src, type, dst) in time order, ``chunk`` ids a row (``part``), so
-    that no list grows with the data."""
-    keys = [*g, "src", "edge_type", "dst"]
-    at = ordered.scan(edges, keys, ["ts_ns", "line_no"], index="_i")
-    part = F.floor((F.col("_i") - 1) / F.lit(chunk)).cast("long")
-    return (
-        at.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(
-            F.count(F.lit(1)).alias("n_ids"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("event_ids"),
-        )
+def event_id_lists(edges: DataFrame, g: Sequence[str] = ()) -> DataFrame:
+    """Comma-joined event ids per (src, type, dst) in time order: one row, however many there are. The list is
+    the result that is asked for; where it would be too long to hold, :func:`repeat_edges` counts and the
+    edges themselves keep the ids."""
+    ids = F.array_sort(F.collect_list(F.struct("ts_ns", "line_no", F.col("event_id").cast("string").alias("id"))))
+    return lines.in_order(edges).groupBy(*g, "src", "edge_type", "dst").agg(
+        F.count(F.lit(1)).alias("n_ids"), F.array_join(F.transform(ids, lambda x: x["id"]), ",").alias("event_ids")
     )
 
 

@@ -16,13 +16,10 @@ def truth_table(scores: DataFrame, membership: DataFrame) -> DataFrame:
     return scores.join(m, ["id", "label"], "left").withColumn("truth", F.coalesce("_t", F.lit(0))).drop("_t")
 
 
-def label_matrix(ids: DataFrame, labels: DataFrame, membership: DataFrame, max_labels: int = 10_000) -> DataFrame:
-    """Long 0/1 matrix with every label present for every id. The label list travels as one array
-    whose size is checked; it does not grow with the texts."""
-    names = [r["label"] for r in labels.select("label").distinct().orderBy("label").limit(max_labels + 1).collect()]
-    if len(names) > max_labels:
-        raise ValueError("too many labels for a full matrix")
-    dense = ids.select("id").withColumn("label", F.explode(F.array(*[F.lit(n) for n in names])))
+def label_matrix(ids: DataFrame, labels: DataFrame, membership: DataFrame) -> DataFrame:
+    """Long 0/1 matrix with every label present for every id; the labels are one array value."""
+    names = labels.select("label").distinct().agg(F.sort_array(F.collect_list("label")).alias("_labels"))
+    dense = ids.select("id").join(names).select("id", F.explode("_labels").alias("label"))
     return truth_table(dense, membership)
 
 
@@ -49,7 +46,7 @@ def average_precision(scored: DataFrame, target_rows: int | None = None) -> Data
     thresholds. Rows collapse to thresholds before the running totals, which are sliced."""
     th = scored.groupBy("label", "score").agg(F.sum("truth").alias("tp"), F.count(F.lit(1)).alias("n"))
     th = th.withColumn("_o", -F.col("score"))
-    rows = ordered.with_slices(th, ["label"], "_o", target_rows)
+    rows = ordered.with_slices(th, ["label"], ["_o"], target_rows)
     run = ordered.running_sum_sliced(rows, ["_o"], "tp", "ctp")
     run = ordered.running_sum_sliced(run, ["_o"], "n", "cn").plain()
     pos = th.groupBy("label").agg(F.sum("tp").alias("p")).filter("p > 0")

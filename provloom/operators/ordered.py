@@ -1,16 +1,16 @@
 """Ordered scans that stay distributed when one key holds a large share of the rows.
 
-A plain window sends a whole key to one task. Here a key with more than ``target_rows`` rows is cut
-into equal-width slices of its order column; windows run inside (key, slice), and a summary with one
-row per slice of the hot keys carries the running state across slices.
+A plain window sends a whole key to one task. Here a key with more than ``target_rows`` rows is cut into
+slices; windows run inside (key, slice), and a summary with one row per slice of the hot keys carries the
+running state across slices.
 
 Hot keys are found in a sample of (key, order) that holds about 200 rows of a key at the target, so the
-search shuffles next to nothing. Where a slice starts does not matter for the result, only for balance,
-so the sample decides nothing but that. The search runs when the scan is built and its result is
-checkpointed: with no hot key the plan is the plain window, and with some the plan stays linear instead
-of reading its input once more per scan. Two tables are broadcast, both with a bound that follows from
-the target: the hot keys (at most 2 * rows / target_rows) and the slice summary (a few rows per piece).
-"""
+search shuffles next to nothing. Slices are cut at sampled places of the whole order, all of its columns,
+and rows are put into them by comparison: whatever the values are, outliers, hashes, a flag in front,
+slices hold about as many rows each. Where a slice starts does not matter for the result, only for
+balance. The search runs when the scan is built and its result is checkpointed: with no hot key the plan
+is the plain window, and with some the plan stays linear instead of reading its input once more per scan.
+``spark.provloom.targetRows`` sets the target for all scans of a session."""
 
 from __future__ import annotations
 
@@ -24,8 +24,11 @@ from provloom.session import cut_lineage
 
 TARGET_ROWS = 1_000_000
 SAMPLE_PER_TARGET = 200
-SMALL_BYTES = 32 << 20
+#: sampled places per slice from which its start is taken
+PLACES_PER_SLICE = 20
 SLICE = "_slice"
+#: cuts are searched through every so many of them, level by level
+FAN = 64
 
 
 @dataclass(frozen=True)
@@ -47,50 +50,60 @@ class Sliced:
         return self.df.drop(SLICE)
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate. It may be off, which costs balance and nothing else."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except ValueError:  # estimates multiply over joins, up to numbers too long to convert
-        return SMALL_BYTES + 1
+def target_of(df: DataFrame, keys: Sequence[str], target_rows: int | None) -> int:
+    """Rows of a key above which it is cut."""
+    if target_rows is None:
+        target_rows = int(df.sparkSession.conf.get("spark.provloom.targetRows", "0"))
+    # without keys everything is one key, so smaller pieces keep more than one task busy
+    return target_rows or (TARGET_ROWS if keys else TARGET_ROWS // 8)
 
 
-def with_slices(df: DataFrame, keys: Sequence[str], order: str, target_rows: int | None = None) -> Sliced:
-    """Cut the keys above the target: ``_slice`` is the equal-width slice of ``order``, -1 elsewhere."""
-    if target_rows is None and _estimated_bytes(df) <= SMALL_BYTES:
-        return Sliced(df, tuple(keys), False)
-    # without keys everything is one key, so smaller pieces keep more than one task busy
-    target = target_rows or (TARGET_ROWS if keys else TARGET_ROWS // 8)
+def _with_cuts_before(df: DataFrame, cuts: str, at: str, out: str) -> DataFrame:
+    """Adds the number of the sorted ``cuts`` that are not after ``at``: every FAN * FAN-th cut is looked at
+    first, then the FAN-th ones and the single ones of the stretch that is left."""
+    def every(step: int, count: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.get(cuts, F.col(out) + i * step - 1))
+        return F.slice(places, F.lit(1), count)
+
+    df = df.withColumn(out, F.lit(0))
+    for step in (FAN * FAN, FAN, 1):
+        room = F.floor((F.size(cuts) - F.col(out)) / step)
+        count = (room if step == FAN * FAN else F.least(room, F.lit(FAN))).cast("int")
+        passed = F.size(F.filter(every(step, count), lambda c: c <= F.col(at)))
+        df = df.withColumn(out, F.when(F.col(cuts).isNotNull(), F.col(out) + passed * step))
+    return df
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], target_rows: int | None = None) -> Sliced:
+    """Cut the keys above the target: ``_slice`` numbers the slices of ``order``, -1 elsewhere."""
+    order = [order] if isinstance(order, str) else list(order)
+    target = target_of(df, keys, target_rows)
     share = min(1.0, SAMPLE_PER_TARGET / target)
-    rows = df.select(*keys, F.col(order).alias("_o"))
+    place = F.struct(*order)
+    rows = df.select(*keys, place.alias("_o"))
     sampled = rows if share == 1.0 else rows.sample(share, seed=17)
     # half the target in the sample: a key above the target is all but sure to be seen
     limit = target if share == 1.0 else SAMPLE_PER_TARGET // 2
-    hot = (
-        sampled.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-        .filter(F.col("_n") > limit)
-        .select(
-            *[F.col(k).alias(f"_h_{k}") for k in keys],
-            F.col("_lo"),
-            F.ceil(F.col("_n") / F.lit(target * share)).alias("_pieces"),
-            (F.col("_hi") - F.col("_lo")).cast("double").alias("_span"),
-        )
+    thin = F.lit(True) if share == 1.0 else F.rand(17) < PLACES_PER_SLICE / SAMPLE_PER_TARGET
+    found = (
+        sampled.withColumn("_thin", thin)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_thin"), F.col("_o")))).alias("_s"))
+        .filter((F.col("_n") > limit) & (F.size("_s") > 0))
+        .withColumn("_pieces", F.least(F.ceil(F.col("_n") / F.lit(target * share)).cast("int"), F.size("_s")))
+    )
+    cut_at = F.transform(
+        F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_pieces")).cast("int"))
     )
+    hot = found.filter("_pieces > 1").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.array_distinct(cut_at).alias("_cuts"))
+    hot = cut_lineage(hot)
     if hot.isEmpty():
         return Sliced(df, tuple(keys), False)
-    hot = cut_lineage(hot)
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    # rows before the first or after the last sampled one go to the slices at the ends
-    at = (F.col(order) - F.col("_lo")).cast("double") * F.col("_pieces") / F.greatest("_span", F.lit(1e-9))
-    where = F.least(F.greatest(F.floor(at), F.lit(0)), F.col("_pieces")).cast("long")
-    cut = (
-        df.join(F.broadcast(hot), cond, "left")
-        .withColumn(SLICE, F.when(F.col("_pieces").isNotNull(), where).otherwise(F.lit(-1)))
-        .drop("_lo", "_pieces", "_span", *[f"_h_{k}" for k in keys])
-    )
+    cut = _with_cuts_before(df.join(hot, cond, "left").withColumn("_at", place), "_cuts", "_at", SLICE)
+    cut = cut.withColumn(SLICE, F.coalesce(SLICE, F.lit(-1)).cast("long")).drop("_cuts", "_at", *[f"_h_{k}" for k in keys])
     return Sliced(cut, tuple(keys), True)
 
 
@@ -109,7 +122,7 @@ def _attach_carry(out: DataFrame, rows: Sliced, aggs: dict[str, Column], carried
     cond = F.col(SLICE) == F.col("_c_slice")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    return out.join(F.broadcast(right), cond, "left").drop("_c_slice", *[f"_c_{k}" for k in keys])
+    return out.join(right, cond, "left").drop("_c_slice", *[f"_c_{k}" for k in keys])
 
 
 def scan_sliced(
@@ -156,8 +169,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, target_row
     """Per key in ``order``: a 1-based row number (``index``), values of the row before (``lag``)
     and of the first row (``first``); the last two map an output column to its source column.
 
-    ``order[0]`` must be numeric (the slices cut it) and ``order`` must be total."""
-    return scan_sliced(with_slices(df, keys, order[0], target_rows), order, **wanted).plain()
+    ``order`` must be total."""
+    return scan_sliced(with_slices(df, keys, order, target_rows), order, **wanted).plain()
 
 
 def running_sum_sliced(rows: Sliced, order: Sequence[str], value: str, out: str) -> Sliced:
@@ -174,7 +187,7 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, target_rows: int | None = None
 ) -> DataFrame:
     """Inclusive running total of ``value`` per key."""
-    return running_sum_sliced(with_slices(df, keys, order[0], target_rows), order, value, out).plain()
+    return running_sum_sliced(with_slices(df, keys, order, target_rows), order, value, out).plain()
 
 
 def gap_sessions(
@@ -190,7 +203,7 @@ def gap_sessions(
     it). Also leaves ``prev_ts``. ``session_window`` would merge a gap of exactly theta."""
     ts = order[0]
     gap = F.col(ts) - F.col("prev_ts")
-    rows = scan_sliced(with_slices(df, keys, ts, target_rows), order, lag={"prev_ts": ts})
+    rows = scan_sliced(with_slices(df, keys, order, target_rows), order, lag={"prev_ts": ts})
     flagged = rows.with_df(
         rows.df.withColumn("_new", F.when(gap > theta if strict else gap >= theta, 1).otherwise(0))
     )

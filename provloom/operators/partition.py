@@ -13,13 +13,13 @@ THETA_NS = 20 * 60 * NS
 MIN_NODES, MIN_EDGES, MIN_TYPES = 6, 1, 2
 
 
-def owners(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, owner): the smallest node id that reaches the node along directed edges, which is
     the seed whose depth-first walk visits it first. Min-label propagation with shortcutting; each
     round is one join and one partially aggregated min, checkpointed."""
     hops = cut_lineage(edges.select("src_id", "dst_id").filter("src_id <> dst_id").distinct())
     state = cut_lineage(nodes.select("node_id", F.col("node_id").alias("owner"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
+    while True:
         # only labels that fell in the last round can still lower a neighbour
         offers = (
             hops.join(state.filter("fresh"), hops.src_id == state.node_id)
@@ -36,7 +36,6 @@ def owners(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Data
         )
         if state.filter("fresh").isEmpty():
             return state.select("node_id", "owner")
-    raise RuntimeError("label propagation did not settle")
 
 
 def component_edges(nodes: DataFrame, edges: DataFrame, owner: DataFrame | None = None) -> DataFrame:

@@ -261,19 +261,20 @@ def similar_parents(
     runs = ordered.gap_sessions(touch, keys, ["ts_ns", "node_id"], window_ns, out="run", strict=True, target_rows=target_rows)
     blocks = [*keys, "run"]
     big_enough = runs.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    cut = ordered.with_slices(runs.join(big_enough, blocks).drop("prev_ts"), blocks, "ts_ns", target_rows)
+    cut = ordered.with_slices(runs.join(big_enough, blocks).drop("prev_ts"), blocks, ["ts_ns", "node_id"], target_rows)
     rows = cut.df.withColumn("halo", F.lit(False))
     if cut.hot:
         # the rows at most one window older than a slice's first row are copied into it
         pieces = cut.df.filter(F.col(ordered.SLICE) >= 0)
-        starts = cut_lineage(
-            pieces.groupBy(*blocks, F.col(ordered.SLICE).alias("_into")).agg(F.min("ts_ns").alias("_from"))
-        )
+        starts = pieces.groupBy(*blocks, ordered.SLICE).agg(F.min("ts_ns").alias("_from"))
+        starts = starts.groupBy(*blocks).agg(F.sort_array(F.collect_list(F.struct("_from", ordered.SLICE))).alias("_starts"))
+        # one row per block; a row goes on to the later slices that begin within its window, and to no others
+        reach = F.filter("_starts", lambda x: (x["_from"] <= F.col("ts_ns") + window_ns) & (x[ordered.SLICE] > F.col(ordered.SLICE)))
         halo = (
-            pieces.join(F.broadcast(starts), blocks)
-            .filter((F.col(ordered.SLICE) < F.col("_into")) & (F.col("_from") - F.col("ts_ns") <= window_ns))
-            .withColumn(ordered.SLICE, F.col("_into"))
-            .drop("_from", "_into")
+            pieces.join(cut_lineage(starts), blocks)
+            .withColumn("_into", F.explode(reach))
+            .withColumn(ordered.SLICE, F.col("_into")[ordered.SLICE])
+            .drop("_starts", "_into")
             .withColumn("halo", F.lit(True))
         )
         rows = rows.unionByName(halo)

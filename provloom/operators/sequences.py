@@ -141,19 +141,12 @@ def abstract_triples(triples: DataFrame, order: Sequence[str], keys: Sequence[st
     return ordered.scan(firsts, list(keys), list(order), index="pos").select(*keys, "pos", "text")
 
 
-def sequence_text(sents: DataFrame, keys: Sequence[str], sep: str = " ", max_sentences: int = 100_000) -> DataFrame:
-    """One text per sequence for the sink. Sequences longer than ``max_sentences`` are written in
-    parts (``part``), so no list grows with the data."""
-    part = F.floor((F.col("pos") - 1) / F.lit(max_sentences)).cast("long")
-    return (
-        sents.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(
-            F.count(F.lit(1)).alias("n_triples"),
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), sep
-            ).alias("sequence"),
-        )
+def sequence_text(sents: DataFrame, keys: Sequence[str], sep: str = " ") -> DataFrame:
+    """One text per sequence for the sink, however long. The text is the result that is asked for; the
+    operators before it work on the sentence rows."""
+    return sents.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_triples"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), sep).alias("sequence"),
     )
 
 

@@ -303,7 +303,7 @@ def repeat_edge_counts(spark, sf):
 
 @named(
     "repeat_edge_event_ids",
-    """SELECT src, edge_type, dst, CAST(0 AS BIGINT) AS part, count(*) AS n_ids,
+    """SELECT src, edge_type, dst, count(*) AS n_ids,
               string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY ts_ns, line_no) AS event_ids
     FROM host_edge GROUP BY src, edge_type, dst""",
 )

@@ -105,13 +105,13 @@ def evaluation_texts(spark, sf):
 
 @named(
     "benign_test_texts",
-    """WITH s AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user' AND text <> '') AS t FROM conversations GROUP BY conv_id)
+    """WITH s AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE text <> '') AS t FROM conversations GROUP BY conv_id)
     SELECT conv_id, md5(coalesce(t, 'empty subgraph')) AS digest FROM s""",
 )
 def benign_test_texts(spark, sf):
     """One text per sequence, a filler for those without sentences."""
     c = query(spark, sf, "SELECT conv_id, turn, role, text FROM conversations")
-    said = ordered.scan(c.filter("role = 'user' and text <> ''"), ["conv_id"], ["turn"], index="pos").select("conv_id", "pos", "text")
+    said = ordered.scan(c.filter("text <> ''"), ["conv_id"], ["turn"], index="pos").select("conv_id", "pos", "text")
     t = sequences.sequence_text(said, ["conv_id"]).select("conv_id", "sequence")
     full = c.select("conv_id").distinct().join(t, "conv_id", "left")
     return full.select("conv_id", F.md5(F.coalesce("sequence", F.lit("empty subgraph"))).alias("digest"))
@@ -131,12 +131,12 @@ def raw_tactic_sentences(spark, sf):
 
 @named(
     "sequence_batch_counters",
-    """WITH s AS (SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY c.c_custkey)
+    """WITH s AS (SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey)
     SELECT count(CASE WHEN n > 0 THEN 1 END) AS n_ok, count(CASE WHEN n = 0 THEN 1 END) AS n_empty, CAST(sum(n) AS BIGINT) AS n_triples FROM s""",
 )
 def sequence_batch_counters(spark, sf):
     """Graphs that gave sentences and graphs that gave none."""
-    o = query(spark, sf, "SELECT o_custkey AS g, o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+    o = query(spark, sf, "SELECT o_custkey AS g, o_orderkey FROM orders")
     n = o.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     all_ = query(spark, sf, "SELECT c_custkey AS g FROM customer").join(n, "g", "left").fillna(0, ["n"])
     return all_.agg(F.count_if(F.col("n") > 0).alias("n_ok"), F.count_if(F.col("n") == 0).alias("n_empty"), F.sum("n").alias("n_triples"))

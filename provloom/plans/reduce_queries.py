@@ -121,10 +121,11 @@ def consecutive_files(spark, sf):
 
 # --- anchored merge of network edges -----------------------------------------------------------
 
-_FLOW_SQL = f"""RECURSIVE {_nodes_sql('burst_edge')}, {_kept_sql('burst_edge')},
+def _flow_sql(edge: str) -> str:
+    return f"""RECURSIVE {_nodes_sql(edge)}, {_kept_sql(edge)},
     edge AS (SELECT k.edge_type, k.ts_ns, k.line_no, s.node_id AS src_id, d.node_id AS dst_id, k.src, k.dst AS flow,
                     min(k.ts_ns) OVER (PARTITION BY k.src, k.dst) AS pair_ts,
-                    min(k.line_no) OVER (PARTITION BY k.src, k.dst) AS pair_line
+                    first_value(k.line_no) OVER (PARTITION BY k.src, k.dst ORDER BY k.ts_ns, k.line_no) AS pair_line
              FROM kept k JOIN nodes s ON s.uuid = k.src JOIN nodes d ON d.uuid = k.dst),
     ev AS (SELECT *, split_part(flow, '_', 3) AS remote_ip, split_part(flow, '_', 4) AS port FROM edge
            WHERE edge_type IN ('EVENT_CONNECT', 'EVENT_SENDTO', 'EVENT_RECVFROM', 'EVENT_SENDMSG')),
@@ -152,6 +153,9 @@ _FLOW_SQL = f"""RECURSIVE {_nodes_sql('burst_edge')}, {_kept_sql('burst_edge')},
       UNION ALL SELECT src_id, dst_id, edge_type, anchor, line_no FROM merged)"""
 
 
+_FLOW_SQL = _flow_sql("burst_edge")
+
+
 def burst_graph(spark, sf):
     nodes, edges = build.build_graph(cut_lineage(view(spark, sf, "burst_edge")))
     return nodes.withColumn("name", F.col("uuid")), edges
@@ -169,6 +173,35 @@ def flow_merged_windows(spark, sf):
     return reduce.merge_windows(w).select("src_id", "remote_ip", "anchor", "n_events", "edge_type", "dst_id", "dst_name")
 
 
+def filed_graph(spark, sf):
+    nodes, edges = build.build_graph(cut_lineage(view(spark, sf, "filed_edge")))
+    return nodes.withColumn("name", F.col("uuid")), edges
+
+
+@named("files_node_numbering", f"WITH {_nodes_sql('filed_order')} SELECT uuid, type, ts_ns, node_id FROM nodes")
+def files_node_numbering(spark, sf):
+    """Numbering over several files: equal times are ordered by file, then by line."""
+    return build.number_nodes(view(spark, sf, "filed_edge"))
+
+
+@named("files_parallel_edges", f"WITH {_kept_sql('filed_order')} SELECT src, dst, edge_type, ts_ns, edge_key FROM kept")
+def files_parallel_edges(spark, sf):
+    """Parallel-edge rule where a time and a line number occur in several files."""
+    return build.parallel_edges(view(spark, sf, "filed_edge")).select("src", "dst", "edge_type", "ts_ns", "edge_key")
+
+
+@named("files_merged_windows", f"WITH {_flow_sql('filed_order')} SELECT src_id, remote_ip, anchor, n_events, edge_type, dst_id, dst_name FROM merged")
+def files_merged_windows(spark, sf):
+    w = reduce.flow_windows(*filed_graph(spark, sf))
+    return reduce.merge_windows(w).select("src_id", "remote_ip", "anchor", "n_events", "edge_type", "dst_id", "dst_name")
+
+
+@named("files_reduced_edges", f"WITH {_flow_sql('filed_order')} SELECT src_id, dst_id, edge_type, ts_ns FROM kept_edges")
+def files_reduced_edges(spark, sf):
+    """Network merge over several files: no edge of another file goes with a merged one."""
+    return reduce.reduce_flows(*filed_graph(spark, sf))[1].select("src_id", "dst_id", "edge_type", "ts_ns")
+
+
 @named("flow_reduced_edges", f"WITH {_FLOW_SQL} SELECT src_id, dst_id, edge_type, ts_ns, line_no FROM kept_edges")
 def flow_reduced_edges(spark, sf):
     return reduce.reduce_flows(*burst_graph(spark, sf))[1]

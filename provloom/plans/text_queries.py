@@ -264,7 +264,7 @@ def adjacency_order_sentences(spark, sf):
 
 @named(
     "sequence_texts",
-    """SELECT src, CAST(0 AS BIGINT) AS part, count(*) AS n_triples,
+    """SELECT src, count(*) AS n_triples,
     string_agg(concat(src, ' ', lower(replace(edge_type, 'EVENT_', '')), ' ', dst, '.'), ' ' ORDER BY ts_ns, line_no) AS sequence
     FROM host_edge GROUP BY src""",
 )
@@ -504,7 +504,11 @@ _BM_SQL = f"""ph AS ({_PHRASES}), pt AS (SELECT phrase_id, phrase, unnest(string
     sent AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-zA-Z]+')) AS term FROM ({_BM_SENT})),
     sc AS (SELECT s.id, tf.phrase_id, tf.phrase, round(sum(idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / n.avgdl))), 9) AS score
            FROM sent s JOIN tf ON tf.term = s.term JOIN idf ON idf.term = s.term, n GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, phrase_id) AS rn FROM sc)"""
+    low AS (SELECT id FROM sc GROUP BY id HAVING max(score) <= 0),
+    free AS (SELECT l.id, min(p.phrase_id) AS phrase_id FROM low l, ph p
+             WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.id = l.id AND sc.phrase_id = p.phrase_id) GROUP BY l.id),
+    every AS (SELECT * FROM sc UNION ALL SELECT f.id, f.phrase_id, p.phrase, 0.0 FROM free f JOIN ph p ON p.phrase_id = f.phrase_id),
+    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, phrase_id) AS rn FROM every)"""
 
 
 @named("best_object_phrase", f"WITH {_BM_SQL} SELECT id, phrase, round(score, 6) AS score FROM best WHERE rn = 1")

@@ -144,6 +144,14 @@ VIEWS: dict[str, str] = {
                     ELSE 'EVENT_READ' END AS edge_type,
                ts_ns // 3600 AS ts_ns, event_id AS line_no
         FROM host_event""",
+    # the same flows logged to three files: lines count anew in each, and times are whole seconds, equal across files
+    "filed_edge": """
+        SELECT src, src_type, dst, dst_type, edge_type, (ts_ns // 1000000000) * 1000000000 AS ts_ns,
+               concat('log.', CAST(line_no % 3 AS STRING)) AS file_key, line_no // 3 AS line_no
+        FROM burst_edge""",
+    "filed_order": """
+        SELECT src, src_type, dst, dst_type, edge_type, ts_ns, concat(file_key, ':', lpad(CAST(line_no AS STRING), 20, '0')) AS line_no
+        FROM filed_edge""",
     # temporary, log and cache files of a few directories, touched by a few processes
     "temp_edge": """
         SELECT concat('s', CAST(suppkey % 40 AS STRING)) AS src, 'SUBJECT_PROCESS' AS src_type,

@@ -33,6 +33,15 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     )
 
 
+def in_order(edges: DataFrame) -> DataFrame:
+    """Edges of several files in one order: ``line_no`` becomes the place over all files, by file, then by
+    line, which also tells edges of different files apart. Edges without ``file_key`` stay as they are."""
+    if "file_key" not in edges.columns:
+        return edges
+    place = F.concat(F.coalesce("file_key", F.lit("")), F.lit("\x00"), F.lpad(F.col("line_no").cast("string"), 20, "0"))
+    return edges.withColumn("line_no", place).drop("file_key")
+
+
 def is_provenance_log(file_name: Column) -> Column:
     """``*.json`` and ``*.json.N``, but not the ``._*`` companions."""
     return ~file_name.startswith("._") & file_name.rlike(r"\.json(\.\d+)?$")

@@ -102,3 +102,47 @@ def test_anchored_windows_match_the_greedy_pass(spark, target, width):
                 anchor = r[1]
             want[r[2]] = anchor
     assert got == want
+
+
+def slice_sizes(df, keys, order, target):
+    cut = ordered.with_slices(df, keys, order, target)
+    assert cut.hot
+    return [r["count"] for r in cut.df.filter("_slice >= 0").groupBy(*keys, "_slice").count().collect()]
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        "xxhash64(id)",  # the whole range of a long
+        "IF(id % 500 = 0, 0, 1700000000000000000 + id * 1000)",  # missing times counted as 0
+        "id % 2",  # a flag in front
+        "IF(id = 77, 9000000000000000000, id)",  # one clock far off
+        "5",
+        "CAST(NULL AS BIGINT)",
+    ],
+)
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_slices_hold_about_the_target(spark, value, keys):
+    df = spark.range(20_000).selectExpr("'a' AS k", f"{value} AS t", "id").repartition(4)
+    sizes = slice_sizes(df, keys, ["t", "id"], 1000)
+    assert sum(sizes) == 20_000 and max(sizes) <= 2000 and len(sizes) >= 15
+
+
+def test_many_slices(spark):
+    df = spark.range(30_000).selectExpr("id % 7 AS t", "id").repartition(4)
+    assert max(slice_sizes(df, [], ["t", "id"], 5)) <= 10
+    got = ordered.scan(df, [], ["t", "id"], index="i", target_rows=5).agg({"i": "max"}).head()[0]
+    assert got == 30_000
+
+
+def test_random_split_with_small_slices(spark):
+    from provloom.operators import splits
+
+    df = spark.range(500).selectExpr("CAST(id AS STRING) AS key")
+    whole = sorted(splits.random_split(df, "key").collect())
+    spark.conf.set("spark.provloom.targetRows", "20")
+    try:
+        assert sorted(splits.random_split(df, "key").collect()) == whole
+    finally:
+        spark.conf.unset("spark.provloom.targetRows")
+    assert sum(r["split"] == "test" for r in whole) == 100

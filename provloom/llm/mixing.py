@@ -117,7 +117,7 @@ def training_rows(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("source_key"), F.xxhash64("text").alias("text_key"),
     ).select("row", "doc_id", F.row_number().over(own).alias("nth"))
     readings = mix(docs, **options).select(
-        F.col("doc_id").alias("id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"),
+        F.col("doc_id").alias("id"), F.round(F.try_divide("taken", "size")).cast("int").alias("copies"),
         F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "position")).alias("mth"),
         F.array("position", "position_again").alias("positions"),
     ).where("copies > 0")

@@ -45,6 +45,7 @@ def test_chain_and_threshold(documents):
 
 def test_large_group_of_near_copies(documents, monkeypatch):
     monkeypatch.setattr(ngramjoin, "HUB_SETS", 4)
+    monkeypatch.setattr(ngramjoin, "HUB_BLOCKS", 2)
     monkeypatch.setattr(ngramjoin, "BROADCAST_IDS", 3)
     rng = random.Random(9)
     base = prose(rng, 60).split(" ")

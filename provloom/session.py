@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cluster; only where it is unset (tests, laptops) a folder of our own is used."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if current := sc.getCheckpointDir():
+        return current
     if not conf:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -62,15 +63,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stage_table(df_fn, spark: SparkSession, path: str, refresh: bool = False) -> DataFrame:
-    """Result of a stage: read back when the table at ``path`` is complete, else computed and saved."""
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
-    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    if refresh or not fs.exists(marker):
-        df_fn().write.mode("overwrite").parquet(path)
+    """Result of a stage: read back when there is a table at ``path``, else computed and saved. A job's
+    files come into the folder when it is committed, so a table that can be read is complete."""
+    if not refresh:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:  # no folder, or no files in it yet
+            pass
+    df_fn().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, for sessions whose workers cannot import it from a shared path."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    held = tempfile.mkdtemp(prefix="provloom-zip-")
+    name = shutil.make_archive(os.path.join(held, "provloom"), "zip", os.path.dirname(folder), os.path.basename(folder))
+    spark.sparkContext.addPyFile(name)
+
+
 def own_columns(df: DataFrame) -> DataFrame:
     """The same columns under ids of their own, so that two sides derived from one input can meet in
     a cogroup."""

@@ -39,7 +39,8 @@ BROADCAST_BYTES = 8 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "area audio button canvas embed iframe img input label link map math meta noscript object param picture script select source style svg "
+    "template textarea track video a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
     "head title script style noscript template svg math nav header footer aside form button select option textarea input label fieldset menu dialog iframe object".split()

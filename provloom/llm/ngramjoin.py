@@ -13,10 +13,10 @@ Steps. (1) Shingles are counted over all documents in ``2 ** SKETCH_BITS`` hash
 decide the order, results do not depend on them. (2) Every document gives its size, a hash of its set, its
 prefix and an odd sketch (bit h is the parity of the shingles that hash to it; differing bits never exceed
 differing shingles). Equal sets are one class from here on. (3) Prefix shingles of one class only are dropped.
-(4) In every subtree all sets meet a few hubs picked by hash; the links found join classes into components.
-(5) Every pair of one subtree whose classes are in different components yet is compared. Pairs pass sizes,
-remaining lengths, sketches, and the tree walk on whole sets, in that order; each of them only drops pairs
-that are proven not to link. So no link between components is lost, and pairs within a group that is already
+(4) In every subtree all sets meet a few hubs picked by hash; the links found label classes that are connected.
+(5) Every pair of one subtree whose classes have different labels yet is compared. Pairs pass sizes, remaining
+lengths, sketches, and the tree walk on whole sets, in that order; each of them only drops pairs that are
+proven not to link. So no link between components is lost, and pairs within a group that is already
 connected are not listed.
 
 Defined results: null and empty texts have size 0 and stay alone; repeated rows are answered each and share a
@@ -31,14 +31,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provloom.llm.batches import flat, lower_ascii, mixed, pieces, shingles, span_hashes, words
-from provloom.llm.components import components
+from provloom.llm.components import components, nearby
 from provloom.llm.shared import written
 
 PERCENT = 75
 WIDTH = 5
-SKETCH_BITS = 20
-#: sets that are compared below one hub by one task
-HUB_SETS = 256
+SKETCH_BITS = 21
+#: hubs that a set may meet at first
+HUBS = 16
+#: sets of one tree; a hub with more has several, and its sets are dealt to this many tasks at most
+HUB_SETS, HUB_BLOCKS = 256, 64
 #: ids that may be broadcast, 8 bytes each
 BROADCAST_IDS = 1_000_000
 
@@ -61,44 +63,39 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
 
 # --- global order -------------------------------------------------------------------------------
 
-_CHUNK = 1 << 12
-_SALTS = 32
+#: tasks that add up the bucket counts of all others
+_ADDERS = 8
 
 
 def bucket_ranks(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """Rank of every hash bucket, one byte: 0 for usual buckets, else more the more often its shingles occur.
-    Counts of all documents, summed in two steps; ``2 ** SKETCH_BITS`` numbers whatever the corpus."""
+    Counts of all documents; a task hands on ``2 ** SKETCH_BITS`` numbers, a few tasks add them up, then one, and the
+    driver gets as many, whatever the corpus. Counts stop at what 32 bits hold."""
     size = 1 << SKETCH_BITS
 
-    def run(batches):
-        from pyspark import TaskContext
-
+    def count(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                if sets:
-                    counts += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        salt = TaskContext.get().partitionId() % _SALTS
-        n = size // _CHUNK
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([counts[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in range(n)], pa.binary())],
-            ["chunk", "salt", "counts"],
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK, np.int64)
-        for b in table.column("counts").to_pylist():
-            total += np.frombuffer(b, np.int64)
-        return pa.table({"chunk": table.column("chunk")[:1], "salt": table.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    ddl = "chunk int, salt int, counts binary"
-    found = docs.select("text").mapInArrow(run, ddl).groupBy("chunk", "salt").applyInArrow(add, ddl).groupBy("chunk").applyInArrow(add, ddl)
-    counts = np.zeros(size, np.int64)
-    for r in found.toLocalIterator():
-        counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.int64)
+                counts += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array([handed(counts)], pa.binary())], ["counts"])
+
+    def handed(counts):
+        return np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes()
+
+    def add(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for b in batch.column("counts"):
+                total += np.frombuffer(b.as_buffer(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([handed(total)], pa.binary())], ["counts"])
+
+    found = docs.select("text").mapInArrow(count, "counts binary").repartition(_ADDERS).mapInArrow(add, "counts binary")
+    row = found.repartition(1).mapInArrow(add, "counts binary").head()
+    counts = np.frombuffer(row.counts, np.uint32).astype(np.int64)
     usual = counts.mean()
-    often = counts > usual + 8 * np.sqrt(usual) + 8
+    often = counts > usual + 2 * np.sqrt(usual) + 1  # a bucket that is full by chance does no harm
     return np.where(often, np.floor(np.log2(np.maximum(counts - usual, 1))) + 1, 0).astype(np.uint8)
 
 
@@ -127,6 +124,16 @@ def odd_sketch(x: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
 
 
+#: words of 64 bits of the small sketch that goes along with subtrees
+SMALL = 8
+
+
+def small_sketch(x: np.ndarray) -> np.ndarray:
+    """The odd sketch of 512 bits, whatever the size of the set."""
+    at = (mixed(x) & _U(64 * SMALL - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SMALL) & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the number of shingles that only one of two sets has."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -141,7 +148,7 @@ def needed(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
-_ROW_DDL = "n int, cid long, prefix array<long>, sketch binary"
+_ROW_DDL = "n int, cid long, prefix array<long>, sketch binary, small array<long>"
 
 
 def described(docs: DataFrame, ranks, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -157,9 +164,9 @@ def described(docs: DataFrame, ranks, percent: int = PERCENT, width: int = WIDTH
                     [
                         part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([class_of(x) for x in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64())),
-                        pa.array([odd_sketch(x) for x in sets], pa.binary()),
+                        pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([small_sketch(x) for x in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "cid", "prefix", "sketch"],
+                    ["doc_id", "n", "cid", "prefix", "sketch", "small"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {_ROW_DDL}")
@@ -206,7 +213,7 @@ def walk(hub: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> lis
 _PAIR = "a long, b long"
 
 
-def compared(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, homes: DataFrame, ranks, percent: int, width: int) -> DataFrame:
+def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
 
     def close(batches):
@@ -214,17 +221,13 @@ def compared(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, homes: Data
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = na + nb - 2 * needed(na, nb, percent)
             ok = [least_difference(x, y) <= m for x, y, m in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), most.tolist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b", "ia", "ib"]).filter(pa.array(ok, pa.bool_()))
 
-    s = sketches
-    near = (
-        pairs.join(s.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(s.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .mapInArrow(close, _PAIR)
-    )
+    side = lambda x: classes.select(*(F.col(c).alias(d + x) for c, d in (("cid", ""), ("n", "n"), ("sketch", "s"), ("least", "i"))))
+    kind = dict(classes.dtypes)["least"]
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, f"{_PAIR}, ia {kind}, ib {kind}")
     near = written(near, "ngram-near")
-    wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
-    ids = written(homes.join(wanted, "cid").select("doc_id"), "ngram-ids")
+    ids = written(near.select(F.explode(F.array("ia", "ib")).alias("doc_id")).distinct(), "ngram-ids")
 
     def whole(batches):
         for batch in batches:
@@ -235,8 +238,7 @@ def compared(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, homes: Data
                 )
 
     sets = written(among(docs.select("doc_id", "text"), ids, "left_semi").select("text").mapInArrow(whole, "cid long, shingles binary"), "ngram-sets")
-    blocks = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_SETS).cast("int").alias("blocks"))
-    dealt = near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
+    dealt = near.select("a", F.pmod(F.xxhash64("b"), F.lit(HUB_BLOCKS)).cast("int").alias("block"), "b")
     below = dealt.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "block", F.lit(1).alias("below"), "b", "shingles")
     hubs = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("cid", "a"), "a")
     rows = below.union(hubs.select("a", "block", F.lit(0), "a", "shingles")).repartition("a", "block").sortWithinPartitions("a", "block", "below", "b")
@@ -245,16 +247,18 @@ def compared(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, homes: Data
         at, hub, names, held, seen = None, None, [], [], None
 
         def links():
-            ok = walk(hub, held, percent) if held else []
+            ok = walk(hub, held, percent)
             mine = [b for b, o in zip(names, ok, strict=True) if o]
+            names.clear()
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(mine), pa.int64()), pa.array(mine, pa.int64())], ["a", "b"])
 
         for batch in batches:
             for a, block, below, b, x in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "below", "b", "shingles")), strict=True):
+                if held and ((a, block) != at or len(held) >= HUB_SETS):
+                    yield links()
                 if (a, block) != at:
-                    if held:
-                        yield links()
-                    at, names, held, seen = (a, block), [], [], None
+                    at, seen = (a, block), None
                 if not below:
                     hub = np.frombuffer(x, _U)
                 elif b != seen:  # repeated rows give a set more than once
@@ -277,44 +281,96 @@ def possible(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Col
     return F.least(n - pos, m - at) >= need
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): doc_id, n, cid per row, and (node, label) of the linked classes."""
+_AT = pa.schema([("root", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("label", pa.int64())])
+
+
+def with_partners(at: DataFrame, percent: int) -> DataFrame:
+    """The rows (root, cid, n, pos, label) that may link with a row of another label in their subtree. Rows of a
+    subtree stream by in order; what comes out are rows, not pairs."""
+
+    def partner(n, pos, label):
+        """For rows of one subtree: whether each has a partner. Rows in blocks against all of the subtree."""
+        left = n - pos
+        out = np.zeros(len(n), bool)
+        for i in range(0, len(n), 1024):
+            j = slice(i, i + 1024)
+            need = needed(n[j, None], n[None], percent)
+            out[j] = ((np.minimum(left[j, None], left[None]) >= need) & (label[j, None] != label[None])).any(1)
+        return out
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            root = table.column("root").to_numpy()
+            last = int(np.searchsorted(root, root[-1]))  # the last subtree may go on
+            rest = table.slice(last)
+            if last:
+                yield from kept(table.slice(0, last))
+        if rest is not None and rest.num_rows:
+            yield from kept(rest)
+
+    def kept(table):
+        root, n, pos, label = (table.column(c).to_numpy() for c in ("root", "n", "pos", "label"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+        size = np.diff(np.append(first, len(root)))
+        keep = np.zeros(len(root), bool)
+        two = first[size == 2]
+        ok = (label[two] != label[two + 1]) & (np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= needed(n[two], n[two + 1], percent))
+        keep[two[ok]] = keep[two[ok] + 1] = True
+        for a, k in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if (label[a : a + k] != label[a]).any():
+                keep[a : a + k] = partner(n[a : a + k], pos[a : a + k], label[a : a + k])
+        yield from table.filter(pa.array(keep)).to_batches()
+
+    rows = at.select(*_AT.names).repartition("root").sortWithinPartitions("root")
+    return rows.mapInArrow(run, "root long, cid long, n int, pos int, label long")
+
+
+def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, labels): doc_id, n, cid per row, cid and least doc_id per class, and (node, label) of the
+    linked classes."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    ranks = spark.sparkContext.broadcast(bucket_ranks(docs, width))  # 1 MB
+    ranks = spark.sparkContext.broadcast(bucket_ranks(docs, width))  # 2 MB
     rows = written(described(docs, ranks, percent, width), "ngram-rows")
-    some = rows.where("n > 0")
-    homes = some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    sketches = some.select("cid", "n", "sketch").dropDuplicates(["cid"])
-    roots = some.select("cid", "n", "prefix").dropDuplicates(["cid"]).select("cid", "n", F.posexplode("prefix").alias("pos", "root"))
-    roots = roots.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("root"))).where("m > 1").drop("m")
-    roots = written(roots, "ngram-roots")
-
-    hub = F.struct(F.xxhash64("cid", F.pmod("root", F.lit(4))).alias("turn"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
-    hubs = roots.groupBy("root").agg(F.min(hub).alias("h")).select("root", "h.hub", "h.hn", "h.hpos")
-    met = roots.join(hubs, "root").where("cid <> hub").where(possible(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos"), percent))
-    pairs = met.select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    found = compared(pairs, sketches, docs, homes, ranks, percent, width)
-    labels = components(found)
+    first = [F.first(c).alias(c) for c in ("n", "sketch", "small", "prefix")]
+    classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), *first), "ngram-classes")
 
-    at = roots.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed_roots = at.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
-    open_ = written(at.join(mixed_roots, "root"), "ngram-open")
-    other = open_.select("root", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "label")))
+    # subtrees: the classes of every prefix shingle, each with a hub of its subtree
+    at = F.struct(F.xxhash64("cid", F.pmod("root", F.lit(HUBS))).alias("turn"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
+    below = Window.partitionBy("root")
+    roots = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "root"))
+    roots = roots.select("*", F.count(F.lit(1)).over(below).alias("m"), F.min(at).over(below).alias("h")).where("m > 1")
+    roots = written(roots.select("root", "cid", "n", "pos", "h.hub", "h.hn", "h.hpos"), "ngram-roots")
+
+    met = roots.where("cid <> hub").where(possible(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos"), percent))
+    pairs = met.select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    found = compared(pairs, classes, docs, ranks, percent, width)
+    labels = nearby(found)
+
+    at = roots.select("root", "cid", "n", "pos").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    open_ = written(with_partners(at.withColumn("label", F.coalesce("label", "cid")), percent), "ngram-open")
+    open_ = written(open_.join(classes.select("cid", "small"), "cid"), "ngram-open")
+    other = open_.select("root", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "pos", "label", "small")))
+    differ = sum((F.bit_count(F.get("small", F.lit(i)).bitwiseXOR(F.get("small2", F.lit(i)))) for i in range(1, SMALL)), F.bit_count(F.get("small", F.lit(0)).bitwiseXOR(F.get("small2", F.lit(0)))))
     cross = open_.join(
-        other, (open_["root"] == other["root"]) & (F.col("label") < F.col("label2")) & possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)
+        other,
+        (open_["root"] == other["root"]) & (F.col("label") < F.col("label2"))
+        & possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent)
+        & (differ <= F.col("n") + F.col("n2") - 2 * F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent))),
     )
     pairs = cross.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
-    more = compared(pairs, sketches, docs, homes, ranks, percent, width)
-    return rows.select("doc_id", "n", "cid"), components(found.union(more))
+    more = compared(pairs, classes, docs, ranks, percent, width)
+    return rows.select("doc_id", "n", "cid"), classes.select("cid", "least"), components(found.union(more))
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows, labels = linked(docs, percent, width)
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    rows, classes, labels = linked(docs, percent, width)
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = written(named, "ngram-classes")
+    named = written(named, "ngram-named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("cid", "component_id")
     out = rows.join(named, (rows["cid"] == named["cid"]) & (rows["n"] > 0), "left")

@@ -19,7 +19,7 @@ def _nodes_sql(edge: str) -> str:
       SELECT src AS uuid, src_type AS type, ts_ns, line_no, 0 AS role FROM {edge}
       UNION ALL SELECT dst, dst_type, ts_ns, line_no, 1 FROM {edge}),
     firsts AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY ts_ns, line_no, role) AS rn FROM ends),
-    nodes AS (SELECT uuid, type, ts_ns, row_number() OVER (ORDER BY ts_ns, line_no, role) - 1 AS node_id
+    nodes AS MATERIALIZED (SELECT uuid, type, ts_ns, row_number() OVER (ORDER BY ts_ns, line_no, role) - 1 AS node_id
               FROM firsts WHERE rn = 1)"""
 
 
@@ -27,7 +27,7 @@ def _kept_sql(edge: str) -> str:
     return f"""ranked AS (
       SELECT *, first_value(edge_type) OVER w AS first_type, row_number() OVER w AS rn FROM {edge}
       WINDOW w AS (PARTITION BY src, dst ORDER BY ts_ns, line_no)),
-    kept AS (SELECT src, dst, src_type, dst_type, edge_type, ts_ns, line_no,
+    kept AS MATERIALIZED (SELECT src, dst, src_type, dst_type, edge_type, ts_ns, line_no,
                     row_number() OVER (PARTITION BY src, dst ORDER BY ts_ns, line_no) - 1 AS edge_key
              FROM ranked WHERE rn = 1 OR NOT contains(first_type, edge_type))"""
 

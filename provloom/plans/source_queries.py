@@ -139,7 +139,7 @@ _CDM = f"""SELECT user_id AS line_no, 'ta1-e.json' AS file_name,
                   WHEN event_id % 7 = 0 THEN ',"predicateObject2":{{"{NS}UUID":"{cdm.NIL}"}}' ELSE '' END, '}}}}}}')
     FROM host_event"""
 _CDM_CAT = "CASE event_type WHEN 'signup' THEN 'EVENT_MMAP' WHEN 'error' THEN 'EVENT_OPEN' WHEN 'view' THEN 'EVENT_READ' WHEN 'click' THEN 'EVENT_WRITE' ELSE 'EVENT_SENDTO' END"
-_CDM_ENT = f"""ent AS (
+_CDM_ENT = f"""ent AS MATERIALIZED (
       SELECT DISTINCT concat('p', {_U}) AS uuid, 'SUBJECT_PROCESS' AS type, CASE WHEN user_id % 5 = 0 THEN concat('second ', {_U})
         WHEN user_id % 3 < 2 THEN concat('cmd ', {_U}) ELSE concat('/bin/p', {_U}) END AS name FROM host_event WHERE user_id % 17 <> 0
       UNION ALL SELECT DISTINCT concat('o', {_K}), 'FILE_OBJECT_BLOCK', CASE k % 4 WHEN 0 THEN concat('/base/name', {_K}) WHEN 1 THEN concat('/base/path', {_K})

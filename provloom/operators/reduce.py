@@ -169,6 +169,10 @@ def cascade_report(merges: DataFrame, shared: DataFrame, removed: DataFrame, g:
     )
 
 
+#: names and types of both ends, which labelling and sequences need after the merge
+ENDS = ("src", "dst", "src_type", "dst_type")
+
+
 def flow_windows(
     nodes: DataFrame, edges: DataFrame, window_ns: int = NETFLOW_WINDOW_NS, target_rows: int | None = None
 ) -> DataFrame:
@@ -187,12 +191,13 @@ def merge_windows(windows: DataFrame) -> DataFrame:
     time and target of its first event, target renamed with the sorted distinct remote ports."""
     at = F.struct("ts_ns", "pair_ts", "pair_line", "line_no")
     port = net.flow_part(F.col("flow_name"), 3)
+    ends = [c for c in ENDS if c in windows.columns]
     w = windows.groupBy("src_id", "remote_ip", "anchor").agg(
         F.count(F.lit(1)).alias("n_events"),
         # operations and ports are small closed vocabularies
         F.array_join(F.array_sort(F.collect_set(F.replace("edge_type", F.lit("EVENT_"), F.lit("")))), "_").alias("edge_type"),
         F.array_join(F.array_sort(F.collect_set(F.when(~port.isin(*net.NO_PORT), port))), "_").alias("_ports"),
-        F.min_by(F.struct("dst_id", "flow_name", "line_no"), at).alias("_rep"),
+        F.min_by(F.struct("dst_id", "flow_name", "line_no", *ends), at).alias("_rep"),
     )
     name = F.concat_ws(
         "_",
@@ -207,6 +212,7 @@ def merge_windows(windows: DataFrame) -> DataFrame:
         .withColumn("dst_id", F.col("_rep.dst_id"))
         .withColumn("line_no", F.col("_rep.line_no"))
         .withColumn("dst_name", name)
+        .withColumns({c: F.col(f"_rep.{c}") for c in ends})
         .drop("_ports", "_rep")
     )
 
@@ -220,8 +226,8 @@ def reduce_flows(
     merged = cut_lineage(merge_windows(windows))
     in_merge = windows.join(merged.select("src_id", "remote_ip", "anchor"), ["src_id", "remote_ip", "anchor"], "left_semi")
     kept = edges.join(in_merge.select("line_no", "src_id", "dst_id"), ["line_no", "src_id", "dst_id"], "left_anti")
-    new = merged.select("src_id", "dst_id", "edge_type", "ts_ns", "line_no")
-    out_edges = kept.select("src_id", "dst_id", "edge_type", "ts_ns", "line_no").unionByName(new)
+    columns = ["src_id", "dst_id", "edge_type", "ts_ns", "line_no", *[c for c in ENDS if c in edges.columns]]
+    out_edges = kept.select(*columns).unionByName(merged.select(*columns))
     renamed = merged.groupBy(F.col("dst_id").alias("node_id")).agg(
         F.max_by("dst_name", F.struct("src_id", "ts_ns")).alias("_name")
     )

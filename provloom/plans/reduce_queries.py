@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provloom.functions.timeid import NS
-from provloom.operators import build, ordered, reduce
+from provloom.operators import build, ordered, partition, reduce, sequences
 from provloom.operators.anchored import anchored_windows
 from provloom.plans.graph_queries import _kept_sql, _nodes_sql
 from provloom.plans.registry import named
@@ -202,6 +202,54 @@ def files_reduced_edges(spark, sf):
     return reduce.reduce_flows(*filed_graph(spark, sf))[1].select("src_id", "dst_id", "edge_type", "ts_ns")
 
 
+# --- from log files to sequences ---------------------------------------------------------------
+
+QUIET = 20 * NS
+
+_CHAIN_SQL = f"""{_flow_sql('filed_order')},
+    renamed AS (SELECT dst_id, arg_max(dst_name, (src_id, anchor)) AS name FROM merged GROUP BY dst_id),
+    named AS (SELECT n.node_id, n.uuid, n.type, coalesce(r.name, n.uuid) AS name FROM nodes n LEFT JOIN renamed r ON r.dst_id = n.node_id),
+    gapped AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY src_id ORDER BY ts_ns, line_no) AS gap FROM kept_edges),
+    cut AS (SELECT *, sum(CASE WHEN gap >= {QUIET} THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY src_id ORDER BY ts_ns, line_no ROWS UNBOUNDED PRECEDING) AS segment FROM gapped),
+    seg AS (SELECT src_id, segment, min(ts_ns) AS start_ts, max(ts_ns) AS end_ts, count(*) AS n_edges, 1 + count(DISTINCT dst_id) AS n_nodes
+            FROM cut GROUP BY src_id, segment),
+    valid AS (SELECT * FROM seg WHERE n_nodes >= 6),
+    part AS (SELECT *, dense_rank() OVER (ORDER BY src_id) - 1 AS dep_id, row_number() OVER (PARTITION BY src_id ORDER BY segment) - 1 AS part_idx,
+                    count(*) OVER (PARTITION BY src_id) AS total_parts FROM valid)"""
+
+
+def reduced_segments(spark, sf):
+    """(nodes, segment edges, segments): logs of several files, built, merged, split and cut."""
+    nodes, edges, _ = reduce.reduce_flows(*filed_graph(spark, sf))
+    nodes = cut_lineage(nodes)
+    seg = partition.segment_edges(partition.component_edges(nodes, cut_lineage(edges)), QUIET)
+    return nodes, seg, partition.valid_segments(seg, nodes)
+
+
+@named("pipeline_segments", f"WITH {_CHAIN_SQL} SELECT dep_id, part_idx, total_parts, start_ts, end_ts, n_nodes, n_edges FROM part")
+def pipeline_segments(spark, sf):
+    """Valid segments of the reduced graph of several log files."""
+    return reduced_segments(spark, sf)[2].select("dep_id", "part_idx", "total_parts", "start_ts", "end_ts", "n_nodes", "n_edges")
+
+
+@named(
+    "pipeline_sequences",
+    f"""WITH {_CHAIN_SQL}
+    SELECT p.dep_id, p.part_idx, row_number() OVER (PARTITION BY p.dep_id, p.part_idx ORDER BY c.ts_ns, c.line_no) AS pos,
+           concat(s.name, ' ', lower(replace(c.edge_type, 'EVENT_', '')), ' ', d.name, '.') AS text
+    FROM cut c JOIN part p ON p.src_id = c.src_id AND p.segment = c.segment
+    JOIN named s ON s.node_id = c.src_id JOIN named d ON d.node_id = c.dst_id""",
+)
+def pipeline_sequences(spark, sf):
+    """Sentences of every valid segment, from the log files to the text."""
+    nodes, seg, segments = reduced_segments(spark, sf)
+    e = partition.subgraph_edges(seg, segments)
+    s = nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("src_name"))
+    d = nodes.select(F.col("node_id").alias("dst_id"), F.col("name").alias("dst_name"))
+    return sequences.sentences(e.join(s, "src_id").join(d, "dst_id"), ["dep_id", "part_idx"])
+
+
 @named("flow_reduced_edges", f"WITH {_FLOW_SQL} SELECT src_id, dst_id, edge_type, ts_ns, line_no FROM kept_edges")
 def flow_reduced_edges(spark, sf):
     return reduce.reduce_flows(*burst_graph(spark, sf))[1]

@@ -90,6 +90,11 @@ def select_segments(sub_nodes: DataFrame, uuids: list[str]) -> DataFrame:
     return sub_nodes.filter(F.upper("uuid").isin(*[u.upper() for u in uuids])).select(*PART).distinct()
 
 
+def select_components(sub_nodes: DataFrame, components: list[int]) -> DataFrame:
+    """Segments of the given components."""
+    return sub_nodes.filter(F.col("dep_id").isin(*components)).select(*PART).distinct()
+
+
 def tactic_window(
     edges: DataFrame,
     flagged: DataFrame,

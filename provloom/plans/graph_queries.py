@@ -161,7 +161,7 @@ def endpoint_names(spark, sf):
 
 @named(
     "second_name_source",
-    """WITH a AS (SELECT uuid, name FROM host_name WHERE length(uuid) <= 3),
+    """WITH a AS (SELECT concat(uuid, 'x') AS uuid, name FROM host_name WHERE type <> 'SUBJECT_PROCESS' UNION ALL SELECT concat('p', CAST(CAST(substr(uuid, 2) AS BIGINT) * 2 AS VARCHAR)), name FROM host_name WHERE type = 'SUBJECT_PROCESS'),
     b AS (SELECT DISTINCT concat('p', CAST(user_id AS STRING)) AS uuid,
                  CASE WHEN user_id % 5 = 0 THEN 'N/A' WHEN user_id % 7 = 0 THEN '' ELSE concat('extra', CAST(user_id AS STRING)) END AS name
           FROM host_event)
@@ -169,7 +169,12 @@ def endpoint_names(spark, sf):
     SELECT uuid, name FROM b WHERE name <> '' AND name <> 'N/A' AND uuid NOT IN (SELECT uuid FROM a)""",
 )
 def second_name_source(spark, sf):
-    a = view(spark, sf, "host_name").filter("length(uuid) <= 3")
+    # the second source has ids that the first lacks, and the other way round
+    a = query(
+        spark, sf,
+        """SELECT concat(uuid, 'x') AS uuid, name FROM host_name WHERE type <> 'SUBJECT_PROCESS'
+        UNION ALL SELECT concat('p', CAST(CAST(substr(uuid, 2) AS BIGINT) * 2 AS STRING)), name FROM host_name WHERE type = 'SUBJECT_PROCESS'""",
+    )
     b = query(
         spark, sf,
         """SELECT DISTINCT concat('p', CAST(user_id AS STRING)) AS uuid,

@@ -142,6 +142,13 @@ def segments_holding_ids(spark, sf):
     return label.select_segments(sub_nodes, ["P11", "o24"])
 
 
+@named("segments_of_components", f"WITH {_MEMBERS} SELECT DISTINCT dep_id, part_idx FROM sub_node WHERE dep_id IN (1, 3, 4)")
+def segments_of_components(spark, sf):
+    """Segments of wanted components."""
+    _, sub_nodes, _, _ = subgraphs(spark, sf)
+    return label.select_components(sub_nodes, [1, 3, 4])
+
+
 @named(
     "benign_segments",
     f"""WITH {_SEGMENTS_SQL} SELECT dep_id, part_idx, n_nodes, n_nodes > 7 AS oversize FROM part

@@ -428,6 +428,44 @@ def audit_merged_edges(spark, sf):
     return e.select("file", "src_name", "dst_name", "edge_type", "ts_ns", "n_events")
 
 
+@named(
+    "audit_merged_event_ids",
+    f"""WITH {_AUDIT_SQL}, op AS (SELECT *, upper(CASE m WHEN 4 THEN type WHEN 5 THEN type WHEN 6 THEN type WHEN 8 THEN type
+        WHEN 0 THEN 'execve' WHEN 1 THEN 'execve' WHEN 2 THEN 'connect' WHEN 3 THEN 'openat' ELSE 'open' END) AS edge_type FROM ev WHERE dest IS NOT NULL)
+    SELECT file, src AS src_name, dest AS dst_name, edge_type, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_ids
+    FROM op GROUP BY ALL""",
+)
+def audit_merged_event_ids(spark, sf):
+    """Ids of the events that a merged edge stands for."""
+    return audit.merged_event_ids(audit.parse_events(audit_lines(spark, sf)), ["file"])
+
+
+@named(
+    "audit_triplets",
+    f"""WITH {_MERGED}, fl AS (SELECT file, src AS src_name, dest AS dst_name, upper(CASE m WHEN 4 THEN type WHEN 5 THEN type WHEN 6 THEN type WHEN 8 THEN type
+        WHEN 0 THEN 'execve' WHEN 1 THEN 'execve' WHEN 2 THEN 'connect' WHEN 3 THEN 'openat' ELSE 'open' END) AS edge_type,
+        min(event_id) AS first_id FROM ev WHERE dest IS NOT NULL GROUP BY ALL)
+    SELECT me.file, row_number() OVER (PARTITION BY me.file ORDER BY me.ts_ns, fl.first_id, me.src_name, me.edge_type, me.dst_name) AS pos,
+      me.src_name, me.edge_type, me.dst_name FROM me JOIN fl USING (file, src_name, dst_name, edge_type)""",
+)
+def audit_triplets(spark, sf):
+    """Merged edges of every graph as triplets in time order."""
+    _, _, e = audit.merged_graph(audit.parse_events(audit_lines(spark, sf)), ["file"], ["file"])
+    return audit.triplets(e, ["file"])
+
+
+@named(
+    "audit_batch_counters",
+    f"""WITH {_MERGED}, l AS (SELECT DISTINCT file FROM ev), n AS (SELECT l.file, count(me.src_name) AS n FROM l LEFT JOIN me ON me.file = l.file GROUP BY l.file)
+    SELECT count(CASE WHEN n > 0 THEN 1 END) AS n_ok, count(CASE WHEN n = 0 THEN 1 END) AS n_empty, CAST(sum(n) AS BIGINT) AS n_triples FROM n""",
+)
+def audit_batch_counters(spark, sf):
+    """Logs that gave triplets and logs that gave none."""
+    ev = audit.parse_events(audit_lines(spark, sf))
+    _, _, e = audit.merged_graph(ev, ["file"], ["file"])
+    return audit.batch_counters(ev, audit.triplets(e, ["file"]), ["file"])
+
+
 @named(
     "audit_merged_nodes",
     f"""WITH {_MERGED} SELECT file, name, ts_ns, CASE WHEN name LIKE 'pam:%' OR name LIKE 'acct:%' THEN 'PRINCIPAL_LOCAL'

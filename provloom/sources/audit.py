@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.timeid import decimal_seconds_to_ns, uuid5
-from provloom.operators import build
+from provloom.operators import build, ordered
 from provloom.session import cut_lineage
 
 # Record families, host preference, loader path.
@@ -375,17 +375,43 @@ def infer_type(name: Column, is_source: Column) -> Column:
     )
 
 
+def _graph_rows(ev: DataFrame, keys: list[str]) -> DataFrame:
+    """Events with both ends, their operation and their time (null where it is missing)."""
+    op = F.upper(F.when(F.col("syscall").isNotNull(), F.col("syscall")).otherwise(F.col("type")))
+    ts = F.coalesce(decimal_seconds_to_ns(F.col("timestamp")), F.lit(0))
+    return ev.filter("src is not null and dest is not null").select(
+        *keys, F.col("src").alias("src_name"), F.col("dest").alias("dst_name"), op.alias("edge_type"),
+        F.nullif(ts, F.lit(0)).alias("ts"), "event_no", "event_id",
+    )
+
+
+def merged_event_ids(ev: DataFrame, keys: list[str]) -> DataFrame:
+    """Event ids of every merged edge, comma-joined in the order of the log."""
+    ids = F.array_sort(F.collect_list(F.struct("event_no", F.col("event_id").cast("string").alias("id"))))
+    return _graph_rows(ev, keys).groupBy(*keys, "src_name", "dst_name", "edge_type").agg(
+        F.array_join(F.transform(ids, lambda x: x["id"]), ",").alias("event_ids")
+    )
+
+
+def triplets(edges: DataFrame, keys: list[str], target_rows: int | None = None) -> DataFrame:
+    """(keys, pos, source, operation, target) of the merged edges in time order, ties by their first line."""
+    order = ["ts_ns", "line_no", "src_name", "edge_type", "dst_name"]
+    return ordered.scan(edges, keys, order, index="pos", target_rows=target_rows).select(*keys, "pos", "src_name", "edge_type", "dst_name")
+
+
+def batch_counters(graphs: DataFrame, sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """Graphs that gave sentences, graphs that gave none, and sentences in all."""
+    n = sentences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    every = graphs.select(*keys).distinct().join(n, keys, "left").fillna(0, ["n"])
+    return every.agg(F.count_if(F.col("n") > 0).alias("n_ok"), F.count_if(F.col("n") == 0).alias("n_empty"), F.sum("n").alias("n_triples"))
+
+
 def merged_graph(ev: DataFrame, keys: list[str], id_parts: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(graphs, nodes, edges) with repeats of (src, operation, dst) as one edge with a count.
 
     Edge time is the earliest of its events, node time the earliest non-zero time of its edges; the
     graph spans its node times. Node uuids come from the graph path and the name."""
-    op = F.upper(F.when(F.col("syscall").isNotNull(), F.col("syscall")).otherwise(F.col("type")))
-    ts = F.coalesce(decimal_seconds_to_ns(F.col("timestamp")), F.lit(0))
-    rows = ev.filter("src is not null and dest is not null").select(
-        *keys, F.col("src").alias("src_name"), F.col("dest").alias("dst_name"), op.alias("edge_type"),
-        F.nullif(ts, F.lit(0)).alias("ts"), "event_no",
-    )
+    rows = _graph_rows(ev, keys)
     edges = rows.groupBy(*keys, "src_name", "dst_name", "edge_type").agg(
         F.coalesce(F.min("ts"), F.lit(0)).alias("ts_ns"), F.count(F.lit(1)).alias("n_events"), F.min("event_no").alias("line_no")
     )

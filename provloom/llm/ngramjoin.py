@@ -151,6 +151,20 @@ def needed(a, b, percent: int = PERCENT):
 _ROW_DDL = "n int, cid long, prefix array<long>, sketch binary, small array<long>"
 
 
+def identified(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n and class of every row."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sets = shingle_sets(part.column("text"), width)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([class_of(x) for x in sets], pa.int64())], ["doc_id", "n", "cid"]
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n int, cid long")
+
+
 def described(docs: DataFrame, ranks, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n, class, prefix (the upper 48 bits of its shingles, in order) and sketch of every row."""
 
@@ -181,6 +195,16 @@ def among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), how).select("row.*")
 
 
+def without_copies(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(homes, docs, rows): cid, least doc_id and copies of every class of ``rows`` (doc_id, cid), and documents and
+    rows without those of another doc_id than their class's least. Rows that share an id or repeat may be left."""
+    homes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    gone = rows.join(homes.where("copies > 1"), "cid").where("NOT doc_id <=> least").select("doc_id").distinct()
+    least = homes.select("least").distinct()
+    gone = written(gone.join(least, F.col("doc_id").eqNullSafe(F.col("least")), "left_anti"), "copies")
+    return homes, among(docs, gone, "left_anti"), among(rows, gone, "left_anti")
+
+
 # --- comparison below hubs ----------------------------------------------------------------------
 
 
@@ -334,9 +358,12 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     ranks = spark.sparkContext.broadcast(bucket_ranks(docs, width))  # 2 MB
-    rows = written(described(docs, ranks, percent, width), "ngram-rows")
-    first = [F.first(c).alias(c) for c in ("n", "sketch", "small", "prefix")]
-    classes = written(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), *first), "ngram-classes")
+    rows = written(identified(docs, width), "ngram-rows")
+    homes, alone, left = without_copies(docs, rows.where("n > 0").select("doc_id", "cid"))
+    classes = described(alone, ranks, percent, width).where("n > 0").withColumnRenamed("doc_id", "least")
+    if not left.groupBy("cid").count().where("count > 1").isEmpty():  # repeated rows
+        classes = classes.dropDuplicates(["cid"])
+    classes = written(classes, "ngram-classes")
 
     # subtrees: the classes of every prefix shingle, each with a hub of its subtree
     at = F.struct(F.xxhash64("cid", F.pmod("root", F.lit(HUBS))).alias("turn"), F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
@@ -363,7 +390,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple
     )
     pairs = cross.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
     more = compared(pairs, classes, docs, ranks, percent, width)
-    return rows.select("doc_id", "n", "cid"), classes.select("cid", "least"), components(found.union(more))
+    return rows, homes.select("cid", "least"), components(found.union(more))
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:

@@ -126,3 +126,9 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(30)}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_texts_that_share_an_id(documents):
+    a, b = "a b c d e f g h", "r s t u v w x y"
+    got = sorted(tuple(r) for r in ngramjoin.join_components(documents([(5, a), (5, b), (3, b), (7, a)])).collect())
+    assert got == [(3, 4, 3), (5, 4, 3), (5, 4, 5), (7, 4, 5)]

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from provloom.llm.shared import word_count, written
 
+#: documents whose readings may be broadcast, about 60 bytes each
+BROADCAST_ROWS = 1_000_000
 #: bits of the pseudo-random order key
 ORDER_BITS = 60
 
@@ -111,19 +113,27 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix in training order, one row per reading. A document is read whole or not at
     all: the one that a source's target cuts is read when at least half of it is wanted."""
-    own = Window.partitionBy("doc_id").orderBy("size", "source_key", "text_key")
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", word_count(F.col("text")).alias("size"),
-        F.coalesce("source", F.lit("")).alias("source_key"), F.xxhash64("text").alias("text_key"),
-    ).select("row", "doc_id", F.row_number().over(own).alias("nth"))
-    readings = mix(docs, **options).select(
+    mixed = written(mix(docs, **options), "mix-readings")
+    repeated = mixed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    readings = mixed.select(
         F.col("doc_id").alias("id"), F.round(F.try_divide("taken", "size")).cast("int").alias("copies"),
         F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "position")).alias("mth"),
         F.array("position", "position_again").alias("positions"),
     ).where("copies > 0")
-    joined = keyed.join(readings, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("mth")))
-    rows = joined.select("row", "doc_id", F.explode(F.slice("positions", F.lit(1), F.col("copies"))).alias("position"))
-    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
+    same_id = F.col("doc_id").eqNullSafe(F.col("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    once = readings.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_anti").drop("mth")
+    few = mixed.count() <= BROADCAST_ROWS  # else the texts are shuffled for the join
+    joined = rows.join(F.broadcast(once) if few else once, same_id).select("row", "doc_id", "copies", "positions")
+    if not repeated.isEmpty():  # rows that share an id meet their readings in order
+        own = Window.partitionBy("doc_id").orderBy("size", "source_key", "text_key")
+        keyed = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").select(
+            "row", "doc_id", word_count(F.col("text")).alias("size"), F.coalesce("source", F.lit("")).alias("source_key"), F.xxhash64("text").alias("text_key"),
+        ).select("row", "doc_id", F.row_number().over(own).alias("nth"))
+        more = keyed.join(readings, same_id & (F.col("nth") == F.col("mth")))
+        joined = joined.union(more.select("row", "doc_id", "copies", "positions"))
+    out = joined.select("row", "doc_id", F.explode(F.slice("positions", F.lit(1), F.col("copies"))).alias("position"))
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 SQL = r"""

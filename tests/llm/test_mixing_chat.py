@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from provloom.llm import chat, mixing
@@ -71,7 +72,9 @@ def test_mix_of_odd_rows(documents):
     assert out.columns == df.columns and all(r.text for r in out.collect())
 
 
-def test_training_rows_are_whole_documents_in_order(documents):
+@pytest.mark.parametrize("few", [10, 1_000_000])
+def test_training_rows_are_whole_documents_in_order(documents, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", few)
     rng = random.Random(4)
     rows = [(i, prose(rng, 20), None, "ab"[i % 2]) for i in range(80)]
     df = documents(rows)

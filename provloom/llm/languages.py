@@ -18,8 +18,6 @@ pass by. Memory: automata of all languages hold ``total`` code points at most, w
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,13 +27,18 @@ from pyspark.sql import functions as F
 from provloom.llm.batches import pieces
 
 #: bounds of the labelled sample: documents per language, code points of one passage, per language, in all
-SAMPLE_ROWS, PASSAGE, SAMPLE_CHARS, SAMPLE_TOTAL = 64, 1024, 32_768, 2_000_000
+SAMPLE_ROWS, PASSAGE, SAMPLE_CHARS, SAMPLE_TOTAL = 64, 512, 16_384, 1_000_000
 STRETCH = 512
 UNKNOWN = "und"
 
-#: numerals that are not decimal digits, as superscripts and fractions are: no letters
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_GAPS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_LETTER = np.zeros(0x110000, bool)
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter; made once per worker."""
+    if not _LETTER.any():
+        _LETTER[:] = [chr(c).isalpha() for c in range(0x110000)]
+    return _LETTER
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,7 +46,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def symbols(text: str) -> str:
-    return _GAPS.sub(" ", text.lower()).strip()
+    """Lower-case letters, each run of anything else between them one blank."""
+    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, passage: int = PASSAGE) -> DataFrame:
@@ -106,38 +110,53 @@ class Languages:
         for c, i in self.alphabet.items():
             self.codes[ord(c)] = i
 
-    def phrases(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases that each stretch needs, per label. Stretches are in falling order of size."""
-        out = np.zeros((len(self.labels), len(starts)), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(starts), np.int64)
-            count = out[k]
-            for t in range(int(sizes[0]) if len(sizes) else 0):
-                n = int(np.searchsorted(-sizes, -t, "left"))  # those with more than t symbols
-                c = codes[starts[:n] + t]
-                to = table[state[:n] + c]
-                ended = np.flatnonzero(to < 0)
-                if len(ended):
-                    count[ended] += 1
-                    to[ended] = np.maximum(table[c[ended]], 0)
-                state[:n] = to
-            count += 1  # the last phrase
+    def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases that each stretch needs, per label. ``codes`` has a column per stretch and a row per place;
+        stretches are in falling order of size."""
+        out = np.ones((len(self.labels), len(sizes)), np.int64)  # the last phrase of each
+        alive = np.searchsorted(-sizes, -np.arange(len(codes)), "left")  # stretches that have a place
+        for count, table in zip(out, self.tables, strict=True):
+            begin = np.maximum(table[: len(self.alphabet) + 1], 0)
+            state = np.zeros(len(sizes), np.int32)
+            for t, n in enumerate(alive.tolist()):
+                c = codes[t, :n]
+                to = table.take(state[:n] + c)
+                ended = to < 0
+                count[:n] += ended
+                state[:n] = np.where(ended, begin.take(c), to)
         return out
 
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol numbers of all texts, as :func:`symbols` has them, and the symbols of each text."""
+        low = [t.lower() for t in texts]
+        of = np.repeat(np.arange(len(low)), [len(t) for t in low])
+        point = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letters()[point]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1] & (of[1:] == of[:-1])  # a blank stands right after a letter only
+        at = np.flatnonzero(keep)
+        owner = of[at]
+        ends = np.append(owner[1:] != owner[:-1], True)[: len(at)]
+        at = at[letter[at] | ~ends]  # and not at the end
+        codes = np.where(letter[at], self.codes[point[at]], self.codes[32])
+        return codes, np.bincount(of[at], minlength=len(low))
+
     def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases per symbol, labels x texts, and the symbols of each text."""
-        size = np.array([len(t) for t in texts], np.int64)
+        codes, size = self.coded(texts)
         begins = np.cumsum(size) - size
-        codes = self.codes[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
         parts = -(-size // STRETCH)
         of = np.repeat(np.arange(len(texts)), parts)
         k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
         starts, sizes = begins[of] + k * STRETCH, np.minimum(size[of] - k * STRETCH, STRETCH)
         order = np.argsort(-sizes, kind="stable")
-        found = self.phrases(codes, starts[order], sizes[order])
+        starts, sizes, of = starts[order], sizes[order], of[order]
+        depth = np.arange(int(sizes[0]) if len(sizes) else 0)
+        grid = codes.take(starts[None] + depth[:, None], mode="clip")  # places past a stretch's end are not read
+        found = self.phrases(grid, sizes)
         total = np.zeros((len(self.labels), len(texts)))
         for row, f in zip(total, found, strict=True):
-            np.add.at(row, of[order], f)
+            np.add.at(row, of, f)
         return total * np.array(self.norms)[:, None] / np.maximum(size, 1), size
 
 
@@ -165,7 +184,7 @@ def model_of(passages: dict[str, str]) -> Languages | None:
 
 def answer(model: Languages | None, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
     """Label, score and phrase rate of each text. Score: 1 less the winner's rate over the runner-up's."""
-    texts = [symbols(t) if t else "" for t in column.to_pylist()]
+    texts = [t or "" for t in column.to_pylist()]
     if model is None or not texts:
         return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     rate, size = model.rates(texts)

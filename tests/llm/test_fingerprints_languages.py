@@ -132,6 +132,17 @@ def test_automaton_accepts_exactly_the_substrings():
             assert (state is not None) == (probe in text)
 
 
+def test_symbols_on_arrays():
+    rng = random.Random(9)
+    model = languages.Languages({"x": "abc defghijklmnopqrstuvwxyz éß"})
+    texts = ["".join(rng.choice("aB é12²_-\n İß½") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", " ", "a", "-a-", "A  b"]
+    codes, size = model.coded(texts)
+    names = {i: c for c, i in model.alphabet.items()}
+    got = np.split(codes, np.cumsum(size)[:-1])
+    for t, g in zip(texts, got, strict=True):
+        assert [names.get(int(c), "?") for c in g] == [c if c in model.alphabet else "?" for c in languages.symbols(t)], t
+
+
 def test_phrases_as_by_greedy_parsing(monkeypatch):
     monkeypatch.setattr(languages, "STRETCH", 37)
     rng = random.Random(4)

@@ -393,29 +393,36 @@ def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple
     return rows, homes.select("cid", "least"), components(found.union(more))
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def row_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, n, cid, label and component_id of every row; rows without words have neither label nor component."""
     rows, classes, labels = linked(docs, percent, width)
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = written(named, "ngram-named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("cid", "component_id")
+    named = named.join(least, "label").select("cid", "label", "component_id")
     out = rows.join(named, (rows["cid"] == named["cid"]) & (rows["n"] > 0), "left")
+    return out.select("doc_id", "n", rows["cid"], "label", "component_id")
+
+
+def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    out = row_components(docs, percent, width)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, and all rows without words; of repeated
-    rows one stays. All columns."""
-    found = written(join_components(docs), "ngram-components")
-    gone = found.where("n_shingles > 0 AND NOT doc_id <=> component_id").select("doc_id")
-    kept = among(docs, gone, "left_anti")
-    twice = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each component, one with the smallest doc_id, and all rows without words. All columns. Rows
+    that share their doc_id, or have none, are told apart by their texts."""
+    found = written(row_components(docs), "ngram-components")
+    twice = written(found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "ngram-twice")
+    gone = found.where("n > 0 AND NOT doc_id <=> component_id").select("doc_id")
     if twice.isEmpty():
-        return kept
-    # rows that share their id: the first by content stays
-    once = among(kept, twice, "left_anti")
-    same = among(kept, twice, "left_semi")
-    first = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row"))
-    same = same.select(F.struct(*docs.columns).alias("row")).withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return once.union(same.select("row.*"))
+        return among(docs, gone, "left_anti")
+    alone = among(among(docs, twice, "left_anti"), gone.distinct(), "left_anti")
+    same = among(docs, twice, "left_semi").select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"), "text")
+    texts = identified(same.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"])).withColumnRenamed("doc_id", "key")
+    same = same.drop("text").join(texts, "key")
+    heads = found.where("n > 0 AND doc_id <=> component_id").select("cid", "label", "component_id").distinct()
+    heads = same.where("n > 0").join(heads, "cid").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("label").agg(F.min_by("row", F.xxhash64("row")).alias("row"))  # the first by content stays
+    return alone.union(same.where("n = 0").select("row.*")).union(heads.select("row.*"))

@@ -132,3 +132,11 @@ def test_texts_that_share_an_id(documents):
     a, b = "a b c d e f g h", "r s t u v w x y"
     got = sorted(tuple(r) for r in ngramjoin.join_components(documents([(5, a), (5, b), (3, b), (7, a)])).collect())
     assert got == [(3, 4, 3), (5, 4, 3), (5, 4, 5), (7, 4, 5)]
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(documents):
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, b), (7, c), (7, None), (7, ""), (None, d), (None, e), (None, e), (None, None), (9, d)]
+    got = sorted(((r.doc_id, r.text) for r in ngramjoin.one_of_each(documents(rows)).collect()), key=repr)
+    assert got == sorted([(3, a), (7, b), (7, c), (7, None), (7, ""), (None, e), (None, None), (9, d)], key=repr)

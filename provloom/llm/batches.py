@@ -47,6 +47,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word."""
+    return _WORD[data]
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every run of bytes that are not white space."""
     w = _WORD[data]

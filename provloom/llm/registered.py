@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.llm import chat, decontaminate, htmltext, imatch, languages, mixing, ngramjoin, passages, secrets, tokenfiles
+from provloom.llm import chat, decontaminate, htmltext, imatch, languages, mixing, ngramjoin, passages, secrets, simhash, spelling, tokenfiles, turntrie
 from provloom.llm.shared import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,3 +82,18 @@ def token_files(spark, sf, vocabulary=VOCABULARY):
 @named("op10_page_text")
 def page_text(spark, sf):
     return htmltext.extract(table(spark, sf, "pages"))
+
+
+@named("op11_simhash_duplicates")
+def simhash_duplicates(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@named("op12_prefix_trie", turntrie.SQL)
+def prefix_trie(spark, sf):
+    return turntrie.prefix_trie(table(spark, sf, "conversations"))
+
+
+@named("op13_spelling_variants")
+def spelling_variants(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))

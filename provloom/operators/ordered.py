@@ -4,17 +4,20 @@ A plain window sends a whole key to one task. Here a key with more than ``target
 slices; windows run inside (key, slice), and a summary with one row per slice of the hot keys carries the
 running state across slices.
 
-Hot keys are found in a sample of (key, order) that holds about 200 rows of a key at the target, so the
-search shuffles next to nothing. Slices are cut at sampled places of the whole order, all of its columns,
-and rows are put into them by comparison: whatever the values are, outliers, hashes, a flag in front,
-slices hold about as many rows each. Where a slice starts does not matter for the result, only for
-balance. The search runs when the scan is built and its result is checkpointed: with no hot key the plan
-is the plain window, and with some the plan stays linear instead of reading its input once more per scan.
-``spark.provloom.targetRows`` sets the target for all scans of a session."""
+Hot keys are found by counting a sample of the keys, about 200 rows of a key at the target, so the search
+shuffles next to nothing. Only if there are any, the rows are dealt by Spark's range partitioning of (keys,
+order) and written: a slice of a hot key is what one of those partitions holds of it. Whatever the values are,
+outliers, hashes, a flag in front, slices hold about as many rows each, and no task or row holds the places of
+a cut. Where a slice starts does not matter for the result, only for balance. With no hot key the plan is the
+plain window. A chain of scans of one order cuts once: :func:`with_slices`, then the functions on
+:class:`Sliced` rows, which share one shuffle and one sort. ``spark.provloom.targetRows`` sets the target for
+all scans of a session.
+
+Working columns begin with ``__ordered_``; an input that has such a column is refused."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,11 +27,10 @@ from provloom.session import cut_lineage
 
 TARGET_ROWS = 1_000_000
 SAMPLE_PER_TARGET = 200
-#: sampled places per slice from which its start is taken
-PLACES_PER_SLICE = 20
+#: slices that the rows of one target are dealt to, so that a slice is below the target for sure
+SLICES_PER_TARGET = 2
 SLICE = "_slice"
-#: cuts are searched through every so many of them, level by level
-FAN = 64
+OWN = "__ordered_"
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Sliced:
         return [*self.keys, SLICE] if self.hot else list(self.keys)
 
     def plain(self) -> DataFrame:
-        return self.df.drop(SLICE)
+        return self.df.drop(SLICE) if self.hot else self.df
 
 
 def target_of(df: DataFrame, keys: Sequence[str], target_rows: int | None) -> int:
@@ -58,71 +60,53 @@ def target_of(df: DataFrame, keys: Sequence[str], target_rows: int | None) -> in
     return target_rows or (TARGET_ROWS if keys else TARGET_ROWS // 8)
 
 
-def _with_cuts_before(df: DataFrame, cuts: str, at: str, out: str) -> DataFrame:
-    """Adds the number of the sorted ``cuts`` that are not after ``at``: every FAN * FAN-th cut is looked at
-    first, then the FAN-th ones and the single ones of the stretch that is left."""
-    def every(step: int, count: Column) -> Column:
-        places = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.get(cuts, F.col(out) + i * step - 1))
-        return F.slice(places, F.lit(1), count)
-
-    df = df.withColumn(out, F.lit(0))
-    for step in (FAN * FAN, FAN, 1):
-        room = F.floor((F.size(cuts) - F.col(out)) / step)
-        count = (room if step == FAN * FAN else F.least(room, F.lit(FAN))).cast("int")
-        passed = F.size(F.filter(every(step, count), lambda c: c <= F.col(at)))
-        df = df.withColumn(out, F.when(F.col(cuts).isNotNull(), F.col(out) + passed * step))
-    return df
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(prefix + k))
+    return cond
 
 
 def with_slices(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], target_rows: int | None = None) -> Sliced:
     """Cut the keys above the target: ``_slice`` numbers the slices of ``order``, -1 elsewhere."""
     order = [order] if isinstance(order, str) else list(order)
+    if taken := [c for c in df.columns if c.startswith(OWN) or c == SLICE]:
+        raise ValueError(f"columns {taken} have names that scans use")
     target = target_of(df, keys, target_rows)
     share = min(1.0, SAMPLE_PER_TARGET / target)
-    place = F.struct(*order)
-    rows = df.select(*keys, place.alias("_o"))
-    sampled = rows if share == 1.0 else rows.sample(share, seed=17)
+    sampled = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=17)
     # half the target in the sample: a key above the target is all but sure to be seen
     limit = target if share == 1.0 else SAMPLE_PER_TARGET // 2
-    thin = F.lit(True) if share == 1.0 else F.rand(17) < PLACES_PER_SLICE / SAMPLE_PER_TARGET
-    found = (
-        sampled.withColumn("_thin", thin)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_thin"), F.col("_o")))).alias("_s"))
-        .filter((F.col("_n") > limit) & (F.size("_s") > 0))
-        .withColumn("_pieces", F.least(F.ceil(F.col("_n") / F.lit(target * share)).cast("int"), F.size("_s")))
-    )
-    cut_at = F.transform(
-        F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_pieces")).cast("int"))
-    )
-    hot = found.filter("_pieces > 1").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.array_distinct(cut_at).alias("_cuts"))
-    hot = cut_lineage(hot)
-    if hot.isEmpty():
+    counts = sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{OWN}n")).filter(F.col(f"{OWN}n") > limit)
+    hot = cut_lineage(counts.select(*[F.col(k).alias(f"{OWN}{k}") for k in keys], f"{OWN}n"))  # at most rows / target keys
+    rows = hot.agg(F.sum(f"{OWN}n")).first()[0]
+    if rows is None:
         return Sliced(df, tuple(keys), False)
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    cut = _with_cuts_before(df.join(hot, cond, "left").withColumn("_at", place), "_cuts", "_at", SLICE)
-    cut = cut.withColumn(SLICE, F.coalesce(SLICE, F.lit(-1)).cast("long")).drop("_cuts", "_at", *[f"_h_{k}" for k in keys])
+    flag = F.col(f"{OWN}n").isNotNull()
+    flagged = df.join(hot, _same(keys, OWN), "left").withColumn(f"{OWN}hot", flag).drop(f"{OWN}n", *[f"{OWN}{k}" for k in keys])
+    pieces = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(SLICES_PER_TARGET * rows / share) // target))
+    dealt = flagged.repartitionByRange(pieces, f"{OWN}hot", *keys, *order)
+    # written, since another run of the plan would draw other bounds
+    cut = cut_lineage(dealt.withColumn(SLICE, F.when(F.col(f"{OWN}hot"), F.spark_partition_id()).otherwise(-1).cast("long")).drop(f"{OWN}hot"))
     return Sliced(cut, tuple(keys), True)
 
 
 def _attach_carry(out: DataFrame, rows: Sliced, aggs: dict[str, Column], carried: dict) -> DataFrame:
-    """Join to each row what the slices before its own leave behind (null for keys in one piece)."""
+    """Join to each row what the other slices of its key say (null for keys in one piece)."""
     keys = list(rows.keys)
     per_slice = rows.df.filter(F.col(SLICE) >= 0).groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in aggs.items()])
     w = Window.partitionBy(*keys).orderBy(SLICE)
     right = cut_lineage(
         per_slice.select(
-            *[F.col(k).alias(f"_c_{k}") for k in keys],
-            F.col(SLICE).alias("_c_slice"),
-            *[c(w).alias(n) for n, c in carried.items()],
+            *[F.col(k).alias(f"{OWN}{k}") for k in keys], F.col(SLICE).alias(f"{OWN}slice"), *[c(w).alias(n) for n, c in carried.items()]
         )
     )
-    cond = F.col(SLICE) == F.col("_c_slice")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    return out.join(right, cond, "left").drop("_c_slice", *[f"_c_{k}" for k in keys])
+    cond = _same(keys, OWN) & (F.col(SLICE) == F.col(f"{OWN}slice"))
+    return out.join(right, cond, "left").drop(f"{OWN}slice", *[f"{OWN}{k}" for k in keys])
+
+
+def _before(column: str, combine: Callable[[Column], Column]):
+    return lambda w: combine(F.col(column)).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def scan_sliced(
@@ -131,58 +115,84 @@ def scan_sliced(
     *,
     index: str | None = None,
     lag: dict[str, str] | None = None,
+    lead: dict[str, str] | None = None,
     first: dict[str, str] | None = None,
 ) -> Sliced:
     """As :func:`scan` on sliced rows; the result keeps the slices, and with them the partitioning."""
-    order, lag, first = list(order), lag or {}, first or {}
+    order, lag, lead, first = list(order), lag or {}, lead or {}, first or {}
     w = Window.partitionBy(*rows.by).orderBy(*order)
     new = {name: F.lag(source).over(w) for name, source in lag.items()}
+    new |= {name: F.lead(source).over(w) for name, source in lead.items()}
     new |= {name: F.first(source).over(w) for name, source in first.items()}
     if not rows.hot:
         if index:
             new[index] = F.row_number().over(w).cast("long")
         return rows.with_df(rows.df.withColumns(new))
-    new["__rn"] = F.row_number().over(w).cast("long")
+    rn, size, earlier = f"{OWN}rn", f"{OWN}size", f"{OWN}earlier"
+    new[rn] = F.row_number().over(w).cast("long")
     at = F.struct(*[F.col(c) for c in order])
-    aggs: dict[str, Column] = {"__m": F.count(F.lit(1))}
-    carried = {"__before": lambda ww: F.sum("__m").over(ww.rowsBetween(Window.unboundedPreceding, -1))}
+    aggs: dict[str, Column] = {f"{OWN}m": F.count(F.lit(1))}
+    carried = {earlier: _before(f"{OWN}m", F.sum), size: lambda w: F.col(f"{OWN}m")}
     for name, source in lag.items():
-        aggs[f"__last_{name}"] = F.max_by(F.struct(F.col(source).alias("v")), at)
-        carried[f"__prev_{name}"] = lambda ww, n=name: F.lag(f"__last_{n}").over(ww)
-    for name, source in first.items():
-        aggs[f"__head_{name}"] = F.min_by(F.struct(F.col(source).alias("v")), at)
-        carried[f"__start_{name}"] = lambda ww, n=name: F.first(f"__head_{n}").over(ww)
+        aggs[f"{OWN}last_{name}"] = F.max_by(F.struct(F.col(source).alias("v")), at)
+        carried[f"{OWN}lag_{name}"] = lambda w, n=name: F.lag(f"{OWN}last_{n}").over(w)
+    for name, source in {**lead, **first}.items():
+        aggs[f"{OWN}head_{name}"] = F.min_by(F.struct(F.col(source).alias("v")), at)
+    for name in lead:
+        carried[f"{OWN}lead_{name}"] = lambda w, n=name: F.lead(f"{OWN}head_{n}").over(w)
+    for name in first:
+        carried[f"{OWN}first_{name}"] = lambda w, n=name: F.first(f"{OWN}head_{n}").over(w)
     out = _attach_carry(rows.df.withColumns(new), rows, aggs, carried)
     final = {}
-    for name in lag:
-        before = F.col(f"__prev_{name}")
-        final[name] = F.when((F.col("__rn") == 1) & before.isNotNull(), before["v"]).otherwise(F.col(name))
-    for name in first:
-        head = F.col(f"__start_{name}")
-        final[name] = F.when(head.isNotNull(), head["v"]).otherwise(F.col(name))
+    for how, names, here in (("lag", lag, F.col(rn) == 1), ("lead", lead, F.col(rn) == F.col(size)), ("first", first, F.lit(True))):
+        for name in names:
+            other = F.col(f"{OWN}{how}_{name}")
+            final[name] = F.when(here & other.isNotNull(), other["v"]).otherwise(F.col(name))
     if index:
-        final[index] = F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))
-    return rows.with_df(out.withColumns(final).drop("__rn", *carried))
+        final[index] = F.col(rn) + F.coalesce(F.col(earlier), F.lit(0))
+    return rows.with_df(out.withColumns(final).drop(rn, *carried))
+
+
+def number_rows(df: DataFrame, order: Sequence[str], index: str) -> DataFrame:
+    """A 1-based number over all rows in a total ``order``: one range partitioning, sorted and written, and a sum over
+    the sizes of the partitions."""
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(f"{OWN}at", F.monotonically_increasing_id()))
+    part, within = F.shiftright(f"{OWN}at", 33), F.col(f"{OWN}at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias(f"{OWN}part")).agg(F.count(F.lit(1)).alias(f"{OWN}n"))  # a row per partition
+    total = F.sum(f"{OWN}n").over(Window.orderBy(f"{OWN}part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(f"{OWN}part", F.coalesce(total, F.lit(0)).alias(f"{OWN}n"))
+    out = placed.withColumn(f"{OWN}p", part).join(F.broadcast(starts), F.col(f"{OWN}p") == F.col(f"{OWN}part"))
+    return out.withColumn(index, within + F.col(f"{OWN}n") + 1).drop(f"{OWN}p", f"{OWN}part", f"{OWN}n", f"{OWN}at")
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, target_rows: int | None = None, **wanted) -> DataFrame:
-    """Per key in ``order``: a 1-based row number (``index``), values of the row before (``lag``)
-    and of the first row (``first``); the last two map an output column to its source column.
+    """Per key in ``order``: a 1-based row number (``index``), values of the row before (``lag``), of the next one
+    (``lead``) and of the first row (``first``); the last three map an output column to its source column.
 
     ``order`` must be total."""
+    if not keys and list(wanted) == ["index"]:
+        return number_rows(df, list(order), wanted["index"])
     return scan_sliced(with_slices(df, keys, order, target_rows), order, **wanted).plain()
 
 
-def running_sum_sliced(rows: Sliced, order: Sequence[str], value: str, out: str) -> Sliced:
+def running_sliced(rows: Sliced, order: Sequence[str], value: str, out: str, how: str = "sum") -> Sliced:
+    """Inclusive running sum or max of a long ``value``."""
+    combine = {"sum": F.sum, "max": F.max}[how]
     w = Window.partitionBy(*rows.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = rows.df.withColumn(out, F.sum(value).over(w).cast("long"))
+    total = rows.df.withColumn(out, combine(value).over(w).cast("long"))
     if rows.hot:
-        before = {"__before": lambda ww: F.sum("__m").over(ww.rowsBetween(Window.unboundedPreceding, -1))}
-        total = _attach_carry(total, rows, {"__m": F.sum(value)}, before)
-        total = total.withColumn(out, (F.col(out) + F.coalesce(F.col("__before"), F.lit(0))).cast("long")).drop("__before")
+        held = f"{OWN}m"
+        total = _attach_carry(total, rows, {held: combine(F.col(value))}, {f"{OWN}earlier": _before(held, combine)})
+        earlier = F.col(f"{OWN}earlier")
+        both = F.col(out) + F.coalesce(earlier, F.lit(0)) if how == "sum" else F.greatest(out, earlier)  # null does not count
+        total = total.withColumn(out, both.cast("long")).drop(f"{OWN}earlier")
     return rows.with_df(total)
 
 
+def running_sum_sliced(rows: Sliced, order: Sequence[str], value: str, out: str) -> Sliced:
+    return running_sliced(rows, order, value, out)
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, target_rows: int | None = None
 ) -> DataFrame:

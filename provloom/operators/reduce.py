@@ -27,40 +27,30 @@ MERGE_EVENTS = (
 PROCESS = "SUBJECT_PROCESS"
 
 
-def process_files(nodes: DataFrame, edges: DataFrame, g: Sequence[str] = ()) -> DataFrame:
-    """Distinct (proc_id, node_id) pairs of processes and the files they touch, either direction."""
+def process_files(nodes: DataFrame, edges: DataFrame, g: Sequence[str] = (), files: DataFrame | None = None) -> DataFrame:
+    """Distinct (proc_id, node_id) pairs of processes and the files they touch, either direction; with the columns
+    of ``files`` (node_id and more) if they are given."""
     g = list(g)
-    t = nodes.select(*g, "node_id", "type")
-    s = t.select(*g, F.col("node_id").alias("src_id"), F.col("type").alias("_st"))
-    d = t.select(*g, F.col("node_id").alias("dst_id"), F.col("type").alias("_dt"))
-    e = edges.select(*g, "src_id", "dst_id").distinct().join(s, [*g, "src_id"]).join(d, [*g, "dst_id"])
-    out = e.filter((F.col("_st") == PROCESS) & F.col("_dt").contains("FILE")).select(
-        *g, F.col("src_id").alias("proc_id"), F.col("dst_id").alias("node_id")
-    )
-    back = e.filter((F.col("_dt") == PROCESS) & F.col("_st").contains("FILE")).select(
-        *g, F.col("dst_id").alias("proc_id"), F.col("src_id").alias("node_id")
-    )
-    return out.union(back).distinct()
-
-
-def cascade_merges(
-    nodes: DataFrame, edges: DataFrame, g: Sequence[str] = (), target_rows: int | None = None
-) -> DataFrame:
-    """(parent_id, parent_path, child_id): directory nodes that a file below them absorbs.
-
-    A parent merges into the first qualifying child path (deepest paths first): the node standing
-    for the child path directly follows the parent in some process's time-ordered file list and is
-    not older. A path that merged is from then on stood for by its child, so chains collapse."""
+    ends = [F.struct(F.col(p).alias("proc_id"), F.col(f).alias("node_id")) for p, f in (("src_id", "dst_id"), ("dst_id", "src_id"))]
+    pairs = edges.select(*g, F.explode(F.array(*ends)).alias("e")).select(*g, "e.*")
+    procs = nodes.filter(F.col("type") == PROCESS).select(*g, F.col("node_id").alias("proc_id"))
+    pairs = pairs.join(procs, [*g, "proc_id"], "left_semi").distinct()
+    if files is not None:
+        return pairs.join(files, [*g, "node_id"])
+    return pairs.join(nodes.filter(F.col("type").contains("FILE")).select(*g, "node_id"), [*g, "node_id"], "left_semi").select(*g, "proc_id", "node_id")
+
+
+def cascade_candidates(nodes: DataFrame, edges: DataFrame, g: Sequence[str] = (), target_rows: int | None = None) -> DataFrame:
+    """(parent_path, parent_id, via, own, seen, child_id): a file node that directly follows the node of a directory above
+    it in some process's time-ordered file list. ``via`` is the path right below the directory on the way to
+    the file, ``own`` its node, ``seen`` its place in first-seen order."""
     g = list(g)
-    files = nodes.filter(F.col("type").contains("FILE")).withColumn("path", paths.strip_trailing_slash("name"))
-    pf = process_files(nodes, edges, g).join(files.select(*g, "node_id", "ts_ns", "path"), [*g, "node_id"])
+    files = cut_lineage(nodes.filter(F.col("type").contains("FILE")).select(*g, "node_id", "ts_ns", paths.strip_trailing_slash("name").alias("path")))
+    touched = cut_lineage(process_files(nodes, edges, g, files))  # read by the search for hot processes and by the scan
     follow = (
         ordered.scan(
-            pf.withColumn("_at", F.struct("node_id", "ts_ns", "path")),
-            [*g, "proc_id"],
-            ["ts_ns", "node_id"],
-            lag={"_prev": "_at"},
-            target_rows=target_rows,
+            touched.withColumn("_file", F.struct("node_id", "path")), [*g, "proc_id"], ["ts_ns", "node_id"],
+            lag={"_prev": "_file"}, target_rows=target_rows,
         )
         .filter(F.col("_prev").isNotNull())
         .select(
@@ -78,41 +68,94 @@ def cascade_merges(
     per_path = (
         files.filter(F.col("path") != "")
         .groupBy(*g, "path")
-        .agg(F.max("node_id").alias("node_id"), F.min("node_id").alias("seen"))
+        .agg(F.max("node_id").alias("own"), F.min("node_id").alias("seen"))
     )
-    stand = per_path.select(*g, "path", F.col("node_id").alias("own"), "seen")
-    cand = cut_lineage(
-        follow.join(per_path.select(*g, F.col("path").alias("parent_path"), F.col("node_id").alias("parent_id")), [*g, "parent_path", "parent_id"], "left_semi")
-        # child path of the merge: the follower's ancestor directly below the parent
-        .withColumn(
-            "via",
-            F.expr(
-                "concat(parent_path, '/', substring_index(substring(child_path, length(parent_path) + 2, "
-                "length(child_path)), '/', 1))"
-            ),
-        )
-        .join(stand.select(*g, F.col("path").alias("via"), "own", "seen"), [*g, "via"])
-        .withColumn("level", paths.depth(F.col("via")))
+    parents = per_path.select(*g, F.col("path").alias("parent_path"), F.col("own").alias("parent_id"))
+    # child path of the merge: the follower's ancestor directly below the parent
+    via = F.expr(
+        "concat(parent_path, '/', substring_index(substring(child_path, length(parent_path) + 2, length(child_path)), '/', 1))"
+    )
+    return (
+        follow.join(parents, [*g, "parent_path", "parent_id"], "left_semi")
+        .withColumn("via", via)
+        .join(per_path.withColumnRenamed("path", "via"), [*g, "via"])
+        .select(*g, "parent_path", "parent_id", "via", "own", "seen", "child_id")
+    )
+
+
+def standing_nodes(candidates: DataFrame, g: Sequence[str] = ()) -> DataFrame:
+    """(parent_path, parent_id, stands): the node that stands for every directory of ``candidates`` in the end, its own
+    one or that of a file below it.
+
+    What stands for a directory is a function of what stands for the paths below it: the first candidate, by
+    ``seen``, whose file stands for its ``via``, else the directory's own node. Directories without an open ``via``
+    are settled at once. One that waits for a single path is a table of that path's possible nodes (x) and of
+    what follows from each (y), with a default for all others; such tables are composed along chains, so the way
+    that a chain's end is away halves every round. Settling and composing are done side by side, and a forest of n
+    directories is settled in some log n rounds, however deep its paths are. Every round is one written table of
+    the open directories and one of the settled ones."""
+    g = list(g)
+    q = [*g, "path"]
+    rows = candidates.select(
+        *g, F.col("parent_path").alias("path"), F.col("parent_id").alias("id"), "via", "own", "seen", F.col("child_id").alias("x"),
+        F.col("child_id").alias("y"), F.col("parent_id").alias("otherwise"),
     )
-    merged = None
-    levels = [r["level"] for r in cand.select("level").distinct().orderBy(F.desc("level")).collect()]  # path depths
-    for level in levels:
-        here = cand.filter(F.col("level") == level)
-        if merged is None:
-            resolved = here.withColumn("stands", F.col("own"))
-        else:
-            m = merged.select(*g, F.col("parent_path").alias("via"), F.col("child_id").alias("_c"))
-            resolved = here.join(m, [*g, "via"], "left").withColumn("stands", F.coalesce("_c", "own")).drop("_c")
-        won = (
-            resolved.filter(F.col("stands") == F.col("child_id"))
-            .groupBy(*g, "parent_path", "parent_id")
-            .agg(F.min(F.struct("seen", "child_id")).alias("f"))
-            .select(*g, "parent_id", "parent_path", F.col("f.child_id").alias("child_id"))
+    rows = cut_lineage(rows)
+    # paths without candidates are stood for by their own nodes
+    waits = rows.select(*g, F.col("path").alias("via")).distinct().withColumn("_waits", F.lit(True))
+    told = rows.join(waits, [*g, "via"], "left").withColumn("_v", F.when(F.col("_waits").isNull(), F.col("own"))).drop("own", "_waits")
+    done = None
+    while True:
+        told = cut_lineage(told)
+        best = told.groupBy(*q).agg(
+            F.min(F.when(F.col("_v") == F.col("x"), F.struct("seen", "y"))).alias("_b"), F.first("id").alias("_id"), F.first("otherwise").alias("_o"),
         )
-        merged = cut_lineage(won if merged is None else merged.unionByName(won))
-    if merged is None:
-        return cand.select(*g, "parent_id", "parent_path", "child_id").limit(0)
-    return merged
+        open_ = told.filter(F.col("_v").isNull()).drop("_v").join(best.drop("_id", "_o"), q)
+        open_ = open_.filter(F.col("_b").isNull() | (F.col("seen") < F.col("_b.seen"))).withColumn("otherwise", F.coalesce("_b.y", "otherwise")).drop("_b")
+        open_ = cut_lineage(open_)
+        new = best.join(open_.select(*q).distinct(), q, "left_anti")
+        settled = cut_lineage(new.select(*q, F.col("_id").alias("id"), F.coalesce("_b.y", "_o").alias("stands")))
+        if open_.isEmpty():
+            done = settled if done is None else done.unionByName(settled)
+            break
+        # at first most paths wait for one that is settled now; chains are composed from then on
+        rows, done = (open_, settled) if done is None else (cut_lineage(_composed(open_, g)), done.unionByName(settled))
+        known = settled.select(*g, F.col("path").alias("via"), F.col("stands").alias("_v"))
+        told = rows.join(known, [*g, "via"], "left")
+    return done.select(*g, F.col("path").alias("parent_path"), F.col("id").alias("parent_id"), "stands")
+
+
+def _composed(rows: DataFrame, g: list[str]) -> DataFrame:
+    """Directories that wait for one path only, which itself waits for one path only, wait for that one instead."""
+    q = [*g, "path"]
+    single = rows.groupBy(*q).agg(
+        F.min("via").alias("via"), F.max("via").alias("_last"), F.first("id").alias("id"), F.first("seen").alias("seen"), F.first("otherwise").alias("otherwise")
+    )
+    single = single.filter(F.col("via") == F.col("_last")).drop("_last")
+    lower = single.select(*g, F.col("path").alias("via"), F.col("via").alias("_ref"), F.col("otherwise").alias("_low"))
+    pairs = single.join(lower, [*g, "via"])  # path waits for via, via for _ref
+    values = rows.filter(F.col("x").isNotNull()).select(*g, F.col("path").alias("via"), F.col("x").alias("_x"), F.col("y").alias("_mid"))
+    through = pairs.join(values, [*g, "via"]).select(*q, "id", "seen", "otherwise", "_ref", "_x", "_mid")
+    rest = pairs.select(*q, "id", "seen", "otherwise", "_ref", F.lit(None).cast("long").alias("_x"), F.col("_low").alias("_mid"))
+    own = rows.select(*q, F.col("x").alias("_mid"), "y")
+    out = through.union(rest).join(own, [*q, "_mid"], "left").withColumn("y", F.coalesce("y", "otherwise"))
+    default = out.filter(F.col("_x").isNull()).select(*q, F.col("y").alias("_d"))
+    out = out.join(default, q).select(*q, "id", F.col("_ref").alias("via"), "seen", F.col("_x").alias("x"), "y", F.col("_d").alias("otherwise"))
+    # a table that gives its default only would have no row: one row keeps the directory, and its answer, until it is settled
+    kept = out.filter((F.col("x").isNull()) | (F.col("y") != F.col("otherwise")))
+    return rows.join(pairs.select(*q), q, "left_anti").select(*kept.columns).union(kept)
+
+
+def cascade_merges(
+    nodes: DataFrame, edges: DataFrame, g: Sequence[str] = (), target_rows: int | None = None
+) -> DataFrame:
+    """(parent_id, parent_path, child_id): directory nodes that a file below them absorbs.
+
+    A parent merges into the first qualifying child path (deepest paths first): the node standing
+    for the child path directly follows the parent in some process's time-ordered file list and is
+    not older. A path that merged is from then on stood for by its child, so chains collapse."""
+    stands = standing_nodes(cascade_candidates(nodes, edges, g, target_rows), g)
+    return stands.filter(F.col("stands") != F.col("parent_id")).select(*g, "parent_id", "parent_path", F.col("stands").alias("child_id"))
 
 
 def shared_processes(merges: DataFrame, nodes: DataFrame, edges: DataFrame, g: Sequence[str] = ()) -> DataFrame:

@@ -68,31 +68,36 @@ def abstract_nodes(sub_nodes: DataFrame, keys: Sequence[str], numbered: bool = T
     return n.withColumn("label", naming.node_label(F.col("name"), F.col("type"), F.col("_flow"))).drop("_flow", "ip")
 
 
+def _without_repeats(rows: ordered.Sliced) -> ordered.Sliced:
+    s = ordered.scan_sliced(rows, ["pos"], lag={"_before": "text"})
+    return s.with_df(s.df.filter(F.col("_before").isNull() | (F.col("text") != F.col("_before"))).drop("_before"))
+
+
+def _without_alternations(rows: ordered.Sliced) -> ordered.Sliced:
+    s = ordered.scan_sliced(rows, ["pos"], index="_i", lag={"_p1": "text"})
+    s = ordered.scan_sliced(s, ["pos"], lag={"_p2": "_p1"})
+    alternates = F.coalesce(F.col("text") == F.col("_p2"), F.lit(False))
+    # a stretch ends where the next sentence does not go on; its length is the way from the last one before it
+    s = s.with_df(s.df.withColumn("_alt", alternates).withColumn("_brk", F.when(~alternates, F.col("_i"))))
+    s = ordered.running_sliced(ordered.scan_sliced(s, ["pos"], lead={"_goes_on": "_alt"}), ["pos"], "_brk", "_start", "max")
+    odd_last = ~F.coalesce("_goes_on", F.lit(False)) & ((F.col("_i") - F.col("_start")) % 2 == 1)
+    return s.with_df(s.df.filter(~F.col("_alt") | odd_last).select(*s.by, "pos", "text"))
+
+
 def drop_adjacent_repeats(sents: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> DataFrame:
     """Sentences that differ from the one before, positions kept."""
-    s = ordered.scan(sents, list(keys), ["pos"], lag={"_before": "text"}, target_rows=target_rows)
-    return s.filter(F.col("_before").isNull() | (F.col("text") != F.col("_before"))).drop("_before")
+    return _without_repeats(ordered.with_slices(sents, list(keys), ["pos"], target_rows)).plain()
 
 
-def drop_alternating_pairs(sents: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> DataFrame:
-    """A B A B -> A B, from the left, to a fix point, on sentences without adjacent repeats.
+def drop_alternating_pairs(sents: DataFrame, keys: Sequence[str], target_rows: int | None = None, repeats: bool = False) -> DataFrame:
+    """A B A B -> A B, from the left, to a fix point, on sentences without adjacent repeats (``repeats``: they are dropped
+    first). One shuffle and one sort for all rules.
 
     A sentence equal to the one two places before it continues an alternation. In every maximal
     stretch of such sentences all whole pairs go and an odd last one stays, which is what deleting
     pairs from the left ends with."""
-    keys = list(keys)
-    s = ordered.scan(sents, keys, ["pos"], lag={"_p1": "text"}, target_rows=target_rows)
-    s = ordered.scan(s, keys, ["pos"], lag={"_p2": "_p1"}, target_rows=target_rows)
-    s = s.withColumn("_alt", F.coalesce(F.col("text") == F.col("_p2"), F.lit(False))).withColumn(
-        "_brk", F.when(F.col("_alt"), 0).otherwise(1)
-    )
-    s = ordered.running_sum(s, keys, ["pos"], "_brk", "_run", target_rows)
-    alt = s.filter("_alt")
-    size = alt.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_m"))
-    at = ordered.scan(alt.select(*keys, "_run", "pos"), [*keys, "_run"], ["pos"], index="_r", target_rows=target_rows)
-    stays = at.join(size, [*keys, "_run"]).filter((F.col("_r") == F.col("_m")) & (F.col("_m") % 2 == 1))
-    odd = s.join(stays.select(*keys, "pos"), [*keys, "pos"], "left_semi")
-    return s.filter(~F.col("_alt")).unionByName(odd).select(*keys, "pos", "text")
+    rows = ordered.with_slices(sents.select(*keys, "pos", "text"), list(keys), ["pos"], target_rows)
+    return _without_alternations(_without_repeats(rows) if repeats else rows).plain()
 
 
 def formatted_sentences(sents: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> DataFrame:
@@ -103,8 +108,8 @@ def formatted_sentences(sents: DataFrame, keys: Sequence[str], target_rows: int
         .filter(F.col("text").isNotNull())
         .select(*keys, "pos", "text")
     )
-    d = drop_alternating_pairs(drop_adjacent_repeats(t, keys, target_rows), keys, target_rows)
-    n = ordered.scan(d, list(keys), ["pos"], index="line", target_rows=target_rows)
+    rows = _without_alternations(_without_repeats(ordered.with_slices(t, list(keys), ["pos"], target_rows)))
+    n = ordered.scan_sliced(rows, ["pos"], index="line").plain()
     return n.withColumn("text", F.concat(F.col("line").cast("string"), F.lit(". "), F.col("text"))).drop("pos")
 
 

@@ -260,13 +260,13 @@ def neighbourhood_two_hops(spark, sf):
 @named(
     "lineage_induced_edges",
     f"""WITH {_nodes_sql('trade_edge')}, {_kept_sql('trade_edge')},
-    e AS (SELECT k.line_no, k.edge_type, s.node_id AS a, d.node_id AS b FROM kept k
+    e AS MATERIALIZED (SELECT k.line_no, k.edge_type, s.node_id AS a, d.node_id AS b FROM kept k
           JOIN nodes s ON s.uuid = k.src JOIN nodes d ON d.uuid = k.dst),
     start AS (SELECT node_id AS v FROM nodes WHERE uuid = 'f11'),
-    up1 AS (SELECT DISTINCT a AS v FROM e WHERE b IN (SELECT v FROM start)),
-    up2 AS (SELECT DISTINCT a AS v FROM e WHERE b IN (SELECT v FROM up1)),
-    member AS (SELECT v FROM start UNION SELECT v FROM up1 UNION SELECT v FROM up2)
-    SELECT line_no, edge_type, a AS src_id, b AS dst_id FROM e WHERE a IN (SELECT v FROM member) AND b IN (SELECT v FROM member)""",
+    up1 AS MATERIALIZED (SELECT DISTINCT a AS v FROM e WHERE b IN (SELECT v FROM start)),
+    up2 AS MATERIALIZED (SELECT DISTINCT a AS v FROM e WHERE b IN (SELECT v FROM up1)),
+    member AS MATERIALIZED (SELECT v FROM start UNION SELECT v FROM up1 UNION SELECT v FROM up2)
+    SELECT line_no, edge_type, a AS src_id, b AS dst_id FROM e JOIN member x ON x.v = e.a JOIN member y ON y.v = e.b""",
 )
 def lineage_induced_edges(spark, sf):
     """Ancestors and descendants of one part, and the edges among them."""

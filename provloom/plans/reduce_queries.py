@@ -15,7 +15,7 @@ from provloom.session import cut_lineage
 # --- directory cascade -------------------------------------------------------------------------
 
 _CASCADE_SQL = f"""{_nodes_sql('walk_edge')}, {_kept_sql('walk_edge')},
-    edge AS (SELECT k.edge_type, k.ts_ns, k.line_no, s.node_id AS src_id, d.node_id AS dst_id FROM kept k
+    edge AS MATERIALIZED (SELECT k.edge_type, k.ts_ns, k.line_no, s.node_id AS src_id, d.node_id AS dst_id FROM kept k
              JOIN nodes s ON s.uuid = k.src JOIN nodes d ON d.uuid = k.dst),
     pf AS (SELECT DISTINCT e.src_id AS proc, n.node_id, n.ts_ns, n.uuid AS path FROM edge e JOIN nodes n ON n.node_id = e.dst_id
            WHERE n.type = 'FILE'),
@@ -28,7 +28,7 @@ _CASCADE_SQL = f"""{_nodes_sql('walk_edge')}, {_kept_sql('walk_edge')},
              JOIN nodes v ON v.uuid = concat(c.path, '/', split_part(substr(c.next_path, len(c.path) + 2), '/', 1))
              LEFT JOIN low l ON l.parent_path = v.uuid
              WHERE c.depth = 2 AND coalesce(l.child_id, v.node_id) = c.next_id),
-    merges AS (SELECT * FROM low UNION ALL SELECT * FROM high)"""
+    merges AS MATERIALIZED (SELECT * FROM low UNION ALL SELECT * FROM high)"""
 
 
 def walk_graph(spark, sf):
@@ -58,8 +58,9 @@ def cascade_shared_processes(spark, sf):
 
 @named(
     "cascade_open_edges_dropped",
-    f"""WITH {_CASCADE_SQL} SELECT line_no, src_id, dst_id, edge_type FROM edge e WHERE NOT (edge_type = 'EVENT_OPEN' AND EXISTS
-    (SELECT 1 FROM merges m WHERE m.parent_id = e.dst_id AND m.proc = e.src_id))""",
+    f"""WITH {_CASCADE_SQL} SELECT line_no, src_id, dst_id, edge_type FROM edge e
+    LEFT JOIN (SELECT DISTINCT parent_id, proc FROM merges) m ON m.parent_id = e.dst_id AND m.proc = e.src_id
+    WHERE m.parent_id IS NULL OR edge_type <> 'EVENT_OPEN'""",
 )
 def cascade_open_edges_dropped(spark, sf):
     _, edges, _, shared = walk_merges(spark, sf)
@@ -250,7 +251,11 @@ def pipeline_sequences(spark, sf):
     return sequences.sentences(e.join(s, "src_id").join(d, "dst_id"), ["dep_id", "part_idx"])
 
 
-@named("flow_reduced_edges", f"WITH {_FLOW_SQL} SELECT src_id, dst_id, edge_type, ts_ns, line_no FROM kept_edges")
+@named(
+    "flow_reduced_edges",
+    f"""WITH {_FLOW_SQL} SELECT e.src_id, e.dst_id, e.edge_type, e.ts_ns, e.line_no, s.uuid AS src, d.uuid AS dst, s.type AS src_type, d.type AS dst_type
+    FROM kept_edges e JOIN nodes s ON s.node_id = e.src_id JOIN nodes d ON d.node_id = e.dst_id""",
+)
 def flow_reduced_edges(spark, sf):
     return reduce.reduce_flows(*burst_graph(spark, sf))[1]
 
@@ -293,7 +298,7 @@ _RATIO_SQL = """2.0 * (len({a}) - bit_count(list_reduce(list_transform(string_sp
         / (len({a}) + len({b}))"""
 
 _SIMILAR_SQL = f"""RECURSIVE {_nodes_sql('temp_edge')}, {_kept_sql('temp_edge')},
-    edge AS (SELECT k.edge_type, k.ts_ns, k.line_no, s.node_id AS src_id, d.node_id AS dst_id FROM kept k
+    edge AS MATERIALIZED (SELECT k.edge_type, k.ts_ns, k.line_no, s.node_id AS src_id, d.node_id AS dst_id FROM kept k
              JOIN nodes s ON s.uuid = k.src JOIN nodes d ON d.uuid = k.dst),
     f AS (SELECT node_id, ts_ns, regexp_extract(uuid, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(uuid, '([^/]*)$', 1) AS base
           FROM nodes WHERE type = 'FILE' AND (contains(uuid, '/tmp/') OR contains(uuid, '/var/log/') OR uuid LIKE '%.lock')),

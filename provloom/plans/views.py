@@ -200,7 +200,7 @@ def duck(sql: str) -> str:
     body = _dialect(sql, DUCK).strip()
     if not need:
         return body
-    ctes = ",\n".join(f"{n} AS ({_dialect(VIEWS[n], DUCK)})" for n in need)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_dialect(VIEWS[n], DUCK)})" for n in need)
     if body[:4].upper() == "WITH":
         rest = body[4:].lstrip()
         rec = ""

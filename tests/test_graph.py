@@ -142,6 +142,60 @@ def test_directory_cascade(spark, seed):
     assert sorted(tuple(r) for r in merges.select("parent_id", "parent_path", "child_id").collect()) == sorted(literal_cascade(rows))
 
 
+def random_candidates(seed):
+    """Candidates over a random tree of paths, deep and with few branches."""
+    rnd = random.Random(seed)
+    paths = ["/0"]
+    for i in range(1, rnd.choice([8, 25, 60])):
+        above = paths[-1] if rnd.random() < rnd.choice([0.5, 0.95]) else rnd.choice(paths)
+        paths.append(f"{above}/{i}")
+    own = {p: i for i, p in enumerate(rnd.sample(paths, len(paths)))}
+    seen = {p: i for i, p in enumerate(rnd.sample(paths, len(paths)))}
+    out = set()
+    for p in paths:
+        below = [b for b in paths if b.startswith(p + "/")]
+        near = [b for b in below if b.count("/") - p.count("/") <= 2]
+        for f in rnd.sample(near, min(len(near), rnd.choice([0, 1, 1, 2]))) + rnd.sample(below, min(len(below), rnd.choice([0, 0, 0, 1]))):
+            via = p + "/" + f[len(p) + 1 :].split("/")[0]
+            out.add((seed, p, own[p], via, own[via], seen[via], own[f]))
+    return sorted(out)
+
+
+def literal_standing(rows):
+    stands = {}
+    for path in sorted({r[1] for r in rows}, key=lambda p: -p.count("/")):
+        mine = [r for r in rows if r[1] == path]
+        hits = [(r[5], r[6]) for r in mine if stands.get(r[3], r[4]) == r[6]]
+        stands[path] = min(hits)[1] if hits else mine[0][2]
+    return stands
+
+
+def test_standing_nodes_of_random_forests(spark, monkeypatch):
+    rows = [r for seed in range(60) for r in random_candidates(seed)]
+    rounds = []
+    whole = reduce._composed
+    monkeypatch.setattr(reduce, "_composed", lambda *a: rounds.append(1) or whole(*a))
+    df = spark.createDataFrame(rows, "g long, parent_path string, parent_id long, via string, own long, seen long, child_id long")
+    got = [tuple(r) for r in reduce.standing_nodes(df, ["g"]).select("g", "parent_path", "stands").collect()]
+    want = [(seed, p, f) for seed in range(60) for p, f in literal_standing([r for r in rows if r[0] == seed]).items()]
+    assert sorted(got) == sorted(want) and len(rounds) <= 12
+
+
+def test_cascade_of_a_deep_path(spark, monkeypatch):
+    """Folders entered one after the other merge in turns: each answer hangs on the one below, 40 levels down."""
+    deep = ["/" + "/".join(f"d{i}" for i in range(n)) for n in range(1, 41)]
+    rows = [("p0", "SUBJECT_PROCESS", p, "FILE", "EVENT_OPEN", i, i) for i, p in enumerate(deep)]
+    # a second process skips a level here and there, so that chains collapse over several folders
+    rows += [("p1", "SUBJECT_PROCESS", p, "FILE", "EVENT_READ", i, 100 + i) for i, p in enumerate(deep) if i % 3]
+    rounds = []
+    whole = reduce._composed
+    monkeypatch.setattr(reduce, "_composed", lambda *a: rounds.append(1) or whole(*a))
+    merges = reduce.cascade_merges(*named_graph(spark, rows))
+    want = literal_cascade(rows)
+    assert sorted(tuple(r) for r in merges.select("parent_id", "parent_path", "child_id").collect()) == sorted(want)
+    assert len(want) >= 15 and len(rounds) + 1 <= 8
+
+
 def file_rows(seed):
     rnd = random.Random(seed)
     names = [f"/tmp/job{i}.tmp" for i in range(4)] + [f"/tmp/other-{i}.log" for i in range(3)] + ["/srv/a.lock", "/srv/b.lock", "/srv/keep.md", "/tmp/zzzz"]

@@ -43,6 +43,41 @@ def test_scan_without_keys_numbers_everything(spark, target):
     assert got == want
 
 
+@pytest.mark.parametrize("target", [None, 25])
+def test_input_columns_may_have_any_name(spark, target):
+    """Names that a scan might use for itself; those it does use are refused."""
+    rows = skewed_rows(1)
+    names = ["_at", "_cuts", "_n", "_s", "_o", "_thin", "_pieces", "__rn", "__before", "__m", "n", "part"]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long").selectExpr("*", *[f"id * {i} AS {n}" for i, n in enumerate(names)])
+    got = ordered.scan(df, ["k"], ["t", "id"], index="i", lag={"pv": "v"}, lead={"nv": "_cuts"}, first={"fv": "_n"}, target_rows=target)
+    got = ordered.running_sum(got, ["k"], ["t", "id"], "_s", "rs", target)
+    got = ordered.gap_sessions(got, ["k"], ["t", "id"], 4, target_rows=target)
+    got = {r["id"]: r for r in ordered.scan(got, [], ["t", "id"], index="all").collect()}
+    assert sorted(r["all"] for r in got.values()) == list(range(1, len(rows) + 1))
+    for g in by_key(rows).values():
+        total = 0
+        for i, r in enumerate(g):
+            x = got[r[2]]
+            total += 3 * r[2]
+            assert [x[n] for n in names] == [r[2] * j for j in range(len(names))]
+            assert (x["i"], x["pv"], x["nv"], x["fv"], x["rs"]) == (i + 1, g[i - 1][3] if i else None, g[i + 1][2] if i + 1 < len(g) else None, 2 * g[0][2], total)
+    with pytest.raises(ValueError):
+        ordered.with_slices(df.withColumn("__ordered_n", df.id), ["k"], ["id"])
+
+
+@pytest.mark.parametrize("target", [None, 20])
+def test_running_max(spark, target):
+    rows = skewed_rows(6)
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long").selectExpr("*", "IF(v = 0, id, NULL) AS mark")
+    got = ordered.running_sliced(ordered.with_slices(df, ["k"], ["t", "id"], target), ["t", "id"], "mark", "m", "max").plain()
+    got = {r["id"]: r["m"] for r in got.collect()}
+    for g in by_key(rows).values():
+        most = None
+        for r in g:
+            most = max(most or 0, r[2]) if r[3] == 0 else most
+            assert got[r[2]] == most
+
+
 @pytest.mark.parametrize("target", [None, 20])
 def test_running_sum(spark, target):
     rows = skewed_rows(3)
@@ -130,8 +165,8 @@ def test_slices_hold_about_the_target(spark, value, keys):
 
 def test_many_slices(spark):
     df = spark.range(30_000).selectExpr("id % 7 AS t", "id").repartition(4)
-    assert max(slice_sizes(df, [], ["t", "id"], 5)) <= 10
-    got = ordered.scan(df, [], ["t", "id"], index="i", target_rows=5).agg({"i": "max"}).head()[0]
+    assert max(slice_sizes(df, [], ["t", "id"], 150)) <= 300
+    got = ordered.scan(df, [], ["t", "id"], index="i", target_rows=150).agg({"i": "max"}).head()[0]
     assert got == 30_000
 
 

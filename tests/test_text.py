@@ -4,6 +4,7 @@ import random
 import re
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def test_near_duplicates_match_the_greedy_pass(spark, block):
     seqs = {k: [" ".join(rnd.choices(words, k=rnd.randrange(2, 5))) for _ in range(n)] for k, n in (("hot", 60), ("a", 8), ("b", 1))}
     rows = [(k, i, s) for k, ss in seqs.items() for i, s in enumerate(ss)]
     df = spark.createDataFrame(rows, "seq string, pos long, text string")
-    got = dedup.deduplicate(df, ["seq"], block=block, shares=3)
+    got = dedup.deduplicate(df, ["seq"], block=block, share=10)
     got = {(r["seq"], r["pos"]): (r["text"], r["kept"], r["matched"], r["similarity"]) for r in got.collect()}
     want = {(k, i): w for k, ss in seqs.items() for i, w in enumerate(literal_dedup(ss, 0.7))}
     assert got == want
@@ -67,6 +68,32 @@ def test_near_duplicates_match_the_greedy_pass(spark, block):
     assert (total["n_before"], total["n_after"]) == (69, sum(w[1] for w in want.values()))
 
 
+def test_near_duplicates_of_a_sequence_of_a_million(spark):
+    """One key holds all sentences; blocks of 500 and shares of 20,000. Bases share no letter, so the first of each stays."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöüß"
+    bases = [letters[2 * i : 2 * i + 2] * 12 for i in range(28)]
+    at = F.element_at(F.array(*[F.lit(b) for b in bases]), (F.pmod(F.xxhash64("id"), F.lit(28)) + 1).cast("int"))
+    df = spark.range(1_000_000).select(F.lit("k").alias("seq"), F.col("id").alias("pos"), F.concat(at, F.lit(" "), F.col("id").cast("string")).alias("text"))
+    got = dedup.deduplicate(df, ["seq"], block=500, share=20_000)
+    base = F.substring("text", 1, 24)
+    first = df.groupBy(base.alias("base")).agg(F.min_by("text", "pos").alias("first"), F.min("pos").alias("at"))
+    checked = got.withColumn("base", base).join(first, "base")
+    right = F.when(F.col("pos") == F.col("at"), F.col("kept") & F.col("matched").isNull()).otherwise(~F.col("kept") & (F.col("matched") == F.col("first")))
+    assert checked.groupBy(right.alias("right")).count().collect() == [(True, 1_000_000)]
+
+
+def test_texts_as_arrays():
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abcde é😀") for _ in range(rnd.choice([0, 1, 5, 30, 63, 64, 65, 130, 200]))) for _ in range(150)] + ["", "a"]
+    held = similarity.Texts(texts)
+    every = np.arange(len(texts))
+    for i in [*range(0, 150, 9), 150, 151]:
+        assert held.lcs_lengths(i, every).tolist() == [similarity.lcs_length(texts[i], t) for t in texts]
+        for threshold, strict in ((0.0, False), (0.5, True), (0.7, False), (1.0, False)):
+            want = [k for k, t in enumerate(texts) if similarity.reaches(texts[i], t, threshold, strict)]
+            assert held.reaching(i, every, threshold, strict).tolist() == want
+
+
 def literal_alternation(items):
     out = [s for i, s in enumerate(items) if not i or s != items[i - 1]]
     i = 0

@@ -7,35 +7,61 @@ from pyspark.sql import functions as F
 
 from provloom.functions.timeid import NS
 from provloom.operators import ordered
-from provloom.session import cut_lineage
+from provloom.session import cut_lineage, shared_folder
 
 THETA_NS = 20 * 60 * NS
 MIN_NODES, MIN_EDGES, MIN_TYPES = 6, 1, 2
 
 
-def owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: rows of one key that a task joins; keys with more are dealt to several
+SHARE_ROWS = 1_000_000
+
+
+def spread_join(many: DataFrame, key: str, few: DataFrame, few_key: str, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """Inner join of ``many`` with ``few``, one row per key. A key that many rows have is dealt to as many shares as its rows
+    ask for, and its row of ``few`` goes to each of them. Heavy keys are at most rows / share_rows."""
+    heavy = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share_rows)
+    heavy = cut_lineage(heavy.select(F.col(key).alias("_heavy"), F.ceil(F.col("_n") / share_rows).cast("int").alias("_shares")))
+    if heavy.isEmpty():
+        return many.join(few, F.col(key) == F.col(few_key))
+    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_shares", F.lit(1))).cast("int")
+    left = many.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_share", salt).drop("_heavy", "_shares")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
+    right = few.join(heavy, F.col(few_key) == F.col("_heavy"), "left").withColumn("_part", each).drop("_heavy", "_shares")
+    return left.join(right, (F.col(key) == F.col(few_key)) & (F.col("_share") == F.col("_part"))).drop("_share", "_part")
+
+
+def owners(nodes: DataFrame, edges: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
     """(node_id, owner): the smallest node id that reaches the node along directed edges, which is
-    the seed whose depth-first walk visits it first. Min-label propagation with shortcutting; each
-    round is one join and one partially aggregated min, checkpointed."""
+    the seed whose depth-first walk visits it first.
+
+    Labels start as the nodes' own ids and fall. A round takes the nodes whose label fell in the one before: it
+    offers their labels along their edges and to the nodes that they label, and takes over the labels of their own
+    labels, so that ways halve. Only the labels that fall are written, a table per round below one folder; a node that
+    never falls is not written at all, and one whose label is final is not written again."""
+    spark = nodes.sparkSession
     hops = cut_lineage(edges.select("src_id", "dst_id").filter("src_id <> dst_id").distinct())
-    state = cut_lineage(nodes.select("node_id", F.col("node_id").alias("owner"), F.lit(True).alias("fresh")))
+    folder = shared_folder(spark, "owners")
+    fell = hops.groupBy(F.col("dst_id").alias("node_id")).agg(F.min("src_id").alias("owner")).filter("owner < node_id")
+    schema = fell.schema
+    done = 0
     while True:
-        # only labels that fell in the last round can still lower a neighbour
-        offers = (
-            hops.join(state.filter("fresh"), hops.src_id == state.node_id)
-            .groupBy("dst_id")
-            .agg(F.min("owner").alias("offer"))
-        )
-        stepped = state.join(offers, state.node_id == offers.dst_id, "left").select(
-            "node_id", F.least("owner", "offer").alias("next"), F.col("owner").alias("was")
-        )
-        roots = state.select(F.col("node_id").alias("next"), F.col("owner").alias("root"))
-        owner = F.least("next", "root")
-        state = cut_lineage(
-            stepped.join(roots, "next").select("node_id", owner.alias("owner"), (owner < F.col("was")).alias("fresh"))
-        )
-        if state.filter("fresh").isEmpty():
-            return state.select("node_id", "owner")
+        fell.write.parquet(f"{folder}/round={done}")
+        fresh = spark.read.schema(schema).parquet(f"{folder}/round={done}")
+        if fresh.isEmpty():
+            break
+        done += 1
+        labels = spark.read.schema(schema).parquet(*[f"{folder}/round={i}" for i in range(done)]).groupBy("node_id").agg(F.min("owner").alias("owner"))
+        now = fresh.select(F.col("node_id").alias("_at"), F.col("owner").alias("_label"))
+        along = hops.join(now, F.col("src_id") == F.col("_at")).select(F.col("dst_id").alias("node_id"), F.col("_label").alias("offer"))
+        labelled = spread_join(labels, "owner", now, "_at", share_rows).select("node_id", F.col("_label").alias("offer"))
+        above = labels.select(F.col("node_id").alias("_at"), F.col("owner").alias("_label"))
+        own = spread_join(fresh, "owner", above, "_at", share_rows).select("node_id", F.col("_label").alias("offer"))
+        offers = along.union(labelled).union(own).groupBy("node_id").agg(F.min("offer").alias("offer")).filter("offer < node_id")
+        fell = offers.join(labels, "node_id", "left").filter(F.col("owner").isNull() | (F.col("offer") < F.col("owner"))).select("node_id", F.col("offer").alias("owner"))
+    if not done:
+        return nodes.select("node_id", F.col("node_id").alias("owner"))
+    return nodes.select("node_id").join(labels, "node_id", "left").select("node_id", F.coalesce("owner", "node_id").alias("owner"))
 
 
 def component_edges(nodes: DataFrame, edges: DataFrame, owner: DataFrame | None = None) -> DataFrame:

@@ -95,6 +95,57 @@ def test_seed_components_and_segments(spark, seed):
     assert got == sorted(literal_components(rows, 4, 3))
 
 
+def literal_owners(n, edges):
+    owner = list(range(n))
+    succ = {}
+    for a, b in edges:
+        succ.setdefault(a, []).append(b)
+    for seed in range(n):
+        todo = [seed]
+        while todo:
+            x = todo.pop()
+            for y in succ.get(x, []):
+                if owner[y] > seed:
+                    owner[y] = seed
+                    todo.append(y)
+    return owner
+
+
+@pytest.mark.parametrize(("seed", "share"), [(0, 1_000_000), (1, 3), (2, 20)])
+def test_owners_when_one_seed_owns_half(spark, monkeypatch, tmp_path, seed, share):
+    """Half of the nodes hang below node 5 over long chains, whose label falls late; the rest is random."""
+    rnd = random.Random(seed)
+    n = 400
+    low = list(range(5, 200))
+    edges = [(5, x) for x in low[1:60]] + [(x, x + 60) for x in low[1:] if x + 60 < 200]
+    edges += [(rnd.randrange(200, n), rnd.randrange(200, n)) for _ in range(150)]
+    edges += [(a, a + 1) for a in range(300, 399)] + [(4, 5), (3, 4)]
+    monkeypatch.setattr(partition, "shared_folder", lambda spark, name: str(tmp_path / name))
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node_id long")
+    got = partition.owners(nodes, spark.createDataFrame(edges, "src_id long, dst_id long"), share_rows=share)
+    want = literal_owners(n, edges)
+    assert {r["node_id"]: r["owner"] for r in got.collect()} == dict(enumerate(want))
+    rounds = len(list((tmp_path / "owners").iterdir()))
+    wrote = [spark.read.parquet(str(tmp_path / "owners" / f"round={i}")).count() for i in range(rounds)]
+    assert wrote[-1] == 0 and wrote[-2] < wrote[0] / 4
+    assert sum(wrote) < (rounds - 1) * n / 2  # far from a state that is written whole
+
+
+def test_owners_of_a_chain(spark, monkeypatch, tmp_path):
+    """Ways halve, as labels are followed: a chain of 120 nodes takes some log 120 rounds."""
+    monkeypatch.setattr(partition, "shared_folder", lambda spark, name: str(tmp_path / name))
+    nodes = spark.createDataFrame([(i,) for i in range(120)], "node_id long")
+    got = partition.owners(nodes, spark.createDataFrame([(a, a + 1) for a in range(119)], "src_id long, dst_id long"))
+    assert {r["owner"] for r in got.collect()} == {0}
+    assert len(list((tmp_path / "owners").iterdir())) <= 9
+
+
+def test_owners_without_edges(spark):
+    nodes = spark.createDataFrame([(0,), (1,)], "node_id long")
+    got = partition.owners(nodes, spark.createDataFrame([(1, 1)], "src_id long, dst_id long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (1, 1)]
+
+
 def named_graph(spark, rows, target=None):
     nodes, edges = build.build_graph(spark.createDataFrame(rows, EDGE), target_rows=target)
     return nodes.withColumn("name", nodes.uuid), edges

@@ -179,10 +179,10 @@ def final_scores(ranked: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def best_sentence_pairs(
-    rows: DataFrame, columns: DataFrame, pairs: DataFrame, pool: int = 10, top: int = 3
+    rows: DataFrame, columns: DataFrame, pairs: DataFrame, pool: int = 10, top: int = 3, digits: int | None = None
 ) -> DataFrame:
     """Per (id, ref): the ``pool`` best cells of the sentence matrix, equal text pairs once, first
-    ``top``. ``rows`` (id, pos, text, v), ``columns`` (ref, pos, text, v). Row and column blocks meet
+    ``top``. With ``digits`` cells are rounded before they are compared. ``rows`` (id, pos, text, v), ``columns`` (ref, pos, text, v). Row and column blocks meet
     in a task and only the pool of each block pair leaves it."""
     share = 256
     r = rows.withColumn("rb", F.floor(F.col("pos") / F.lit(share)).cast("long"))
@@ -203,6 +203,8 @@ def best_sentence_pairs(
             return no_rows("id", "ref", "row_text", "ref_text", "score", "row_pos", "ref_pos")
         rp, cp = rp.sort_values("pos"), cp.sort_values("pos")
         sims = _matrix(rp["v"]) @ _matrix(cp["v"]).T
+        if digits is not None:
+            sims = np.round(sims, digits)
         flat = np.argsort(-sims, axis=None, kind="stable")[:pool]
         i, j = np.unravel_index(flat, sims.shape)
         return pd.DataFrame(
@@ -251,12 +253,13 @@ def chunk_tokens(tokens: DataFrame, size: int = 512, stride: int = 384) -> DataF
 
 
 def mean_pool(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean vector per key: partial sums per dimension, so a hot key pre-aggregates."""
-    parts = vectors.select(*keys, F.posexplode("v").alias("d", "x")).groupBy(*keys, "d").agg(F.avg("x").alias("x"))
-    # one entry per dimension
-    return parts.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("v")
-    )
+    """Mean vector per key. The length of a vector is that of the first one; every entry is a partial sum of its own column,
+    so a task hands on one row per key, and no entry is a row."""
+    first = vectors.filter(F.col("v").isNotNull()).select(F.size("v").alias("n")).first()
+    if first is None:
+        return vectors.select(*keys, "v").limit(0)
+    means = [F.avg(F.get("v", F.lit(i))).alias(f"_v{i}") for i in range(first["n"])]
+    return vectors.groupBy(*keys).agg(*means).select(*keys, F.array(*[f"_v{i}" for i in range(first["n"])]).alias("v"))
 
 
 def token_means(token_vectors: DataFrame) -> DataFrame:

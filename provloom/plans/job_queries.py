@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provloom.operators import build, catalog, dedup, ordered, reduce, score, sequences
+from provloom.functions import text as tx
+from provloom.operators import build, catalog, dedup, ordered, reduce, reports, score, sequences
 from provloom.plans.label_queries import _MEMBERS, subgraphs
 from provloom.plans.reduce_queries import _CASCADE_SQL, walk_merges
 from provloom.plans.registry import named
-from provloom.plans.source_queries import _AUDIT_SQL, _HOST_SQL, audit_lines
-from provloom.plans.text_queries import _LABEL_SQL
+from provloom.plans.source_queries import _AUDIT_SQL, _HOST_SQL, _MERGED, audit_lines
+from provloom.plans.text_queries import _LABEL_SQL, near_duplicate_sentences
 from provloom.plans.views import query, view
 from provloom.sources import audit, lines
-from provloom.session import cut_lineage
-
+from provloom.session import cut_lineage, shared_folder
 
 
 @named(
@@ -131,15 +131,111 @@ def raw_tactic_sentences(spark, sf):
 
 @named(
     "sequence_batch_counters",
-    """WITH s AS (SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey)
-    SELECT count(CASE WHEN n > 0 THEN 1 END) AS n_ok, count(CASE WHEN n = 0 THEN 1 END) AS n_empty, CAST(sum(n) AS BIGINT) AS n_triples FROM s""",
+    f"""WITH {_MERGED}, l AS (SELECT DISTINCT file FROM ev), n AS (SELECT l.file, count(me.src_name) AS n FROM l LEFT JOIN me ON me.file = l.file GROUP BY l.file)
+    SELECT count(CASE WHEN n > 0 THEN 1 END) AS n_ok, count(CASE WHEN n = 0 THEN 1 END) AS n_empty, CAST(sum(n) AS BIGINT) AS n_triples FROM n""",
 )
 def sequence_batch_counters(spark, sf):
-    """Graphs that gave sentences and graphs that gave none."""
-    o = query(spark, sf, "SELECT o_custkey AS g, o_orderkey FROM orders")
-    n = o.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    all_ = query(spark, sf, "SELECT c_custkey AS g FROM customer").join(n, "g", "left").fillna(0, ["n"])
-    return all_.agg(F.count_if(F.col("n") > 0).alias("n_ok"), F.count_if(F.col("n") == 0).alias("n_empty"), F.sum("n").alias("n_triples"))
+    """Sentences of every audit graph in the batch: graphs that gave some, graphs that gave none, sentences in all."""
+    ev = cut_lineage(audit.parse_events(audit_lines(spark, sf)))
+    _, _, edges = audit.merged_graph(ev, ["file"], ["file"])
+    said = sequences.sentences(edges, ["file"], ["ts_ns", "line_no", "src_name", "edge_type", "dst_name"])
+    return audit.batch_counters(ev, said, ["file"])
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+_SPLIT = "list_filter(list_transform(string_split({}, '. '), lambda s: trim(s, ' \t\n\r')), lambda s: s <> '')"
+_RANKED = f"""cs AS (SELECT conv_id, turn, {_SPLIT.format('text')} AS l FROM conversations),
+    bs AS (SELECT item_id, {_SPLIT.format('text')} AS l FROM benchmark),
+    sent AS MATERIALIZED (SELECT 'r' AS side, conv_id AS k, turn * 10000 + i - 1 AS pos, l[i] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM cs)
+             UNION ALL SELECT 'c', item_id, i - 1, l[i] FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM bs)),
+    w AS (SELECT side, k, pos, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM sent),
+    n AS (SELECT side, k, pos, CAST(concat('0x', substr(md5(w), 1, 6)) AS BIGINT) % 16 AS b, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+    vec AS MATERIALIZED (SELECT side, k, pos, list_transform(range(16), lambda i: coalesce(m[i], 0) / len) AS v FROM
+            (SELECT side, k, pos, map(list(b), list(n)) AS m, sqrt(sum(n * n)) AS len FROM n GROUP BY side, k, pos)),
+    r AS (SELECT k AS id, pos, text, v FROM sent JOIN vec USING (side, k, pos) WHERE side = 'r'),
+    c AS (SELECT k AS ref, pos, text, v FROM sent JOIN vec USING (side, k, pos) WHERE side = 'c'),
+    cell AS MATERIALIZED (SELECT r.id, r.pos AS row_pos, r.text AS row_text, c.ref, c.pos AS ref_pos, c.text AS ref_text, list_dot_product(r.v, c.v) AS s FROM r, c),
+    late AS (SELECT id, ref, avg(best) AS score FROM (SELECT id, row_pos, ref, max(s) AS best FROM cell GROUP BY ALL) GROUP BY ALL),
+    ranking AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, ref) AS rank FROM late),
+    pool AS (SELECT cell.*, rank AS report_rank, row_number() OVER (PARTITION BY id, ref ORDER BY round(s, 9) DESC, row_pos, ref_pos) AS p
+             FROM cell JOIN ranking USING (id, ref) WHERE rank <= 2),
+    once AS (SELECT id, ref, report_rank, row_text, ref_text, min(p) AS p, max(round(s, 9)) AS score FROM pool WHERE p <= 10 GROUP BY ALL),
+    explained AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id, ref ORDER BY p) AS rank FROM once)"""
+
+
+def _sentence_vectors(df, key):
+    """(key, pos, text, v) of (key, pos, text); the id of a vector is the sentence's place."""
+    s = cut_lineage(df.select(F.struct(key, "pos").alias("id"), "text"))
+    v = score.hashed_vectors(s, 16)
+    return cut_lineage(s.join(v, "id").select(f"id.{key}", "id.pos", "text", "v"))
+
+
+def _matched(spark, sf):
+    c = query(spark, sf, "SELECT conv_id AS id, turn, text FROM conversations")
+    c = c.select("id", "turn", F.posexplode(tx.split_period(F.col("text"))).alias("i", "text"))
+    b = query(spark, sf, "SELECT item_id AS ref, text FROM benchmark").select("ref", F.posexplode(tx.split_period(F.col("text"))).alias("pos", "text"))
+    rows = _sentence_vectors(c.select("id", (F.col("turn") * 10000 + F.col("i")).alias("pos"), "text"), "id")
+    return reports.ranked_reports(rows, _sentence_vectors(b.withColumn("pos", F.col("pos").cast("long")), "ref"))
+
+
+@named("ranked_reports", f"WITH {_RANKED} SELECT id, ref, rank, round(score, 6) AS score FROM ranking")
+def ranked_reports(spark, sf):
+    """Every benchmark text ranked for every conversation by its sentences."""
+    return _matched(spark, sf)[0].select("id", "ref", "rank", F.round("score", 6).alias("score"))
+
+
+@named(
+    "explained_reports",
+    f"WITH {_RANKED} SELECT id, ref, report_rank, rank, row_text, ref_text, round(score, 6) AS score FROM explained WHERE rank <= 3",
+)
+def explained_reports(spark, sf):
+    """Best sentence pairs of the two best texts of every conversation, ranked and explained in one job."""
+    return _matched(spark, sf)[1].withColumn("score", F.round("score", 6))
+
+
+@named(
+    "match_report_lines",
+    f"""WITH {_RANKED}, e AS (SELECT * FROM explained WHERE rank <= 3),
+    part AS (SELECT id, 0 AS a, 0 AS b, 0 AS c, 0 AS d, printf('    %s', CAST(id AS VARCHAR)) AS line FROM (SELECT DISTINCT id FROM ranking)
+      UNION ALL SELECT id, 1, rank, 0, 0, printf('      %-40s %.4f', CAST(ref AS VARCHAR), score) FROM ranking
+      UNION ALL SELECT DISTINCT id, 2, report_rank, 0, 0, printf('    Top matching sentences for [%s]:', CAST(ref AS VARCHAR)) FROM e
+      UNION ALL SELECT id, 2, report_rank, rank, 1, printf('      [%s] Score : %.4f', CAST(rank AS VARCHAR), score) FROM e
+      UNION ALL SELECT id, 2, report_rank, rank, 2, concat('          LOG : ', regexp_replace(row_text, '[\r\n]+', ' ', 'g')) FROM e
+      UNION ALL SELECT id, 2, report_rank, rank, 3, concat('          CTI : ', regexp_replace(ref_text, '[\r\n]+', ' ', 'g')) FROM e)
+    SELECT row_number() OVER (ORDER BY id, a, b, c, d) AS line_no, line FROM part""",
+)
+def match_report_lines(spark, sf):
+    """The report of the ranking as text files, read back."""
+    path = shared_folder(spark, "match-report")
+    ranking, explained = _matched(spark, sf)
+    reports.write_lines(reports.match_report(cut_lineage(ranking), cut_lineage(explained)), ["id"], path)
+    return reports.read_lines(spark, path)
+
+
+@named("reduction_report_lines")
+def reduction_report_lines(spark, sf):
+    """The report of the near-duplicate reduction of all conversations, written and read back (checked in the tests)."""
+    path = shared_folder(spark, "reduction-report")
+    reports.write_lines(reports.reduction_report(cut_lineage(near_duplicate_sentences(spark, sf)), ["conv_id"], dedup.THRESHOLD), ["conv_id"], path)
+    return reports.read_lines(spark, path)
+
+
+@named(
+    "written_embeddings",
+    """WITH w AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents),
+    n AS (SELECT id, CAST(concat('0x', substr(md5(w), 1, 6)) AS BIGINT) % 16 AS b, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+    l AS (SELECT id, sqrt(sum(n * n)) AS len, sum(n) AS n_words, count(*) AS n_buckets FROM n GROUP BY id)
+    SELECT d.doc_id AS id, d.lang, d.source, CAST(16 AS INT) AS dim, round(l.n_words / l.len, 6) AS total, CAST(n_buckets AS INT) AS n_filled FROM documents d JOIN l ON l.id = d.doc_id""",
+)
+def written_embeddings(spark, sf):
+    """The embedding table of all documents: written with its metadata, read back and digested."""
+    path = shared_folder(spark, "embeddings")
+    t = query(spark, sf, "SELECT doc_id AS id, lang, source, text FROM documents")
+    score.write_embeddings(t.drop("text"), score.hashed_vectors(t.select("id", "text"), 16), path)
+    back = spark.read.parquet(path)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return back.select("id", "lang", "source", F.size("v").alias("dim"), F.round(total, 6).alias("total"), F.size(F.filter("v", lambda x: x != 0)).alias("n_filled"))
 
 
 @named(

@@ -344,11 +344,12 @@ def random_positive_per_text(spark, sf):
 @named(
     "report_pair_misses",
     """WITH m AS (SELECT doc_id AS dep_id, CAST(0 AS BIGINT) AS part_idx, concat('r', CAST(quality * 3 + toxic AS STRING)) AS report_key FROM labels),
-    s AS (SELECT doc_id AS dep_id, CAST(0 AS BIGINT) AS part_idx FROM documents WHERE n_chars > 300)
-    SELECT m.dep_id, m.report_key FROM m WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.dep_id = m.dep_id) OR m.report_key NOT IN ('r0', 'r3')""",
+    s AS (SELECT doc_id AS dep_id, CAST(doc_id % 7 // 6 AS BIGINT) AS part_idx FROM documents)
+    SELECT m.dep_id, m.report_key FROM m LEFT JOIN s ON s.dep_id = m.dep_id AND s.part_idx = m.part_idx
+    WHERE s.dep_id IS NULL OR m.report_key NOT IN ('r0', 'r3')""",
 )
 def report_pair_misses(spark, sf):
-    seqs = query(spark, sf, "SELECT doc_id AS dep_id, CAST(0 AS BIGINT) AS part_idx, text FROM documents WHERE n_chars > 300")
+    seqs = query(spark, sf, "SELECT doc_id AS dep_id, CAST((doc_id % 7) DIV 6 AS BIGINT) AS part_idx, text FROM documents")
     mapping = query(
         spark, sf,
         "SELECT doc_id AS dep_id, CAST(0 AS BIGINT) AS part_idx, concat('r', CAST(quality * 3 + toxic AS STRING)) AS report_key FROM labels",

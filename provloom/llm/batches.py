@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,10 @@ import pyarrow.compute as pc
 #: bytes of text that are worked on at a time
 PIECE_BYTES = 2 << 20
 
+#: spans from so many bytes are hashed by BLAKE2b; below, a polynomial modulo 2 ** 64 is faster, and the words on which
+#: all such polynomials collide are four times as long
+LONG_SPAN = 256
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -92,7 +97,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * powers(n + 1, _BASE, "up")[:n], out=total[1:])
     h = (total[ends] - total[starts]) * powers(n + 1, _BACK, "down")[starts]
-    return mixed(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    h = mixed(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(word_hash: np.ndarray, doc: np.ndarray, n_docs: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,10 @@ is shuffled and no page meets another. The classes that occur once on most pages
 within one another are its template; what the template leaves open are the slots. The main slot is the
 innermost one, ``article`` or ``main`` before others, that still holds half of the host's text; other slots,
 and texts that never change from page to page, go, as do menus, headers, footers, side bars, notices, adverts,
-forms, scripts, styles and comments, told by tag, role or words of class and id.
+forms, scripts, styles and comments, told by tag, role or words of class and id. Words and ``form`` do not hide what
+holds most of a page's text, nor what holds the page's only articles (``has-sidebar`` around a whole page, a page
+within a form); reader comments stay hidden however long they are. Nothing is taken for unchanging on a host
+whose pages are all alike, nor on a page that would have no text then.
 
 A page without the main slot, or of a host with one page, is read by its own largest article, else its body.
 Blocks end at block-level tags; white space within a block, line breaks too, is one space; blocks are joined
@@ -27,7 +30,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provloom.llm.batches import pieces
@@ -56,6 +59,7 @@ ASIDE_WORDS = frozenset(
     "sidenav footer header masthead topbar cookie cookies consent gdpr notice notices alert comment comments disqus replies respond share sharing social "
     "related recommended newsletter subscribe subscription signup login modal popup overlay widget toolbar pagination pager skip copyright".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 _TOKEN = re.compile(
@@ -83,55 +87,80 @@ def _mix(x: int) -> int:
 
 
 class Element:
-    __slots__ = ("aside", "count", "depth", "kept_text", "link", "main", "name", "parent", "text", "token")
+    """``aside``: beside the text, with all below it. ``soft``: only because of its words, or as a form (2: reader comments)."""
 
-    def __init__(self, name, token, parent, depth, aside, main, link):
-        self.name, self.token, self.parent, self.depth, self.aside, self.main, self.link = name, token, parent, depth, aside, main, link
+    __slots__ = ("aside", "depth", "main", "name", "parent", "soft", "token")
 
+    def __init__(self, name, token, parent, depth, aside, soft, main):
+        self.name, self.token, self.parent, self.depth, self.aside, self.soft, self.main = name, token, parent, depth, aside, soft, main
 
-def _describe(name: str, rest: str) -> tuple[str, bool, bool]:
-    """Key of a tag for its token, whether it is beside the text, whether it is marked as the main part."""
+
+def _describe(name: str, rest: str) -> tuple[str, bool, int, bool]:
+    """Key of a tag for its token, whether it is beside the text for sure, or by its words, and whether it is marked as
+    the main part."""
+    key, aside, soft, main = name, name in NEVER and name != "form", int(name == "form"), name in ("article", "main")
     if len(rest) < 3:
-        return name, name in NEVER, name in ("article", "main")
-    key, aside, main = name, name in NEVER, name in ("article", "main")
+        return key, aside, soft, main
     for a in _ATTRIBUTE.finditer(rest):
         what = (a[1] or a[3]).lower()
         value = (a[2] or "").strip("\"'")
         if what in ("class", "id"):
             key += f" {what}={value}" if what == "class" else ""
             if not aside and name not in ("html", "body", "article", "main"):
-                aside = any(w.lower() in ASIDE_WORDS for w in _WORDS.split(value))
+                told = {w.lower() for w in _WORDS.split(value)} & ASIDE_WORDS
+                soft = max(soft, 2 if told & COMMENT_WORDS else int(bool(told)))
         elif what == "role":
-            aside = aside or value.lower() in ASIDE_ROLES
+            soft = max(soft, int(value.lower() == "form"))
+            aside = aside or value.lower() in ASIDE_ROLES and value.lower() != "form"
             main = main or value.lower() in ("main", "article")
         elif what == "hidden" or what == "aria-hidden" and value.lower() == "true" or what == "style" and "display:none" in value.replace(" ", "").lower():
             aside = True
-    return key, aside, main
+    return key, aside, soft, main
+
+
+def _settle(elements: list[Element], texts: list[tuple[Element, int]]) -> None:
+    """Decides which words hide: sets ``aside`` of every element. ``texts``: elements and sizes of the texts right in them,
+    those beside the text for sure left out."""
+    doubtful = [e for e in elements if e.soft == 1]
+    if doubtful:
+        size = dict.fromkeys(elements, 0)
+        for e, n in texts:
+            size[e] += n
+        for e in reversed(elements):  # parents come first
+            if e.parent is not None:
+                size[e.parent] += size[e]
+        for e in doubtful:
+            if 2 * size[e] > size[elements[0]]:
+                e.soft = 0
+        # articles that are all behind words: those around the largest one do not hide it
+        articles = [e for e in elements if e.main and size[e]]
+        hidden = [[a for a in _line(e) if a.soft] for e in articles]
+        if articles and all(hidden):
+            open_ = [(size[e], line) for e, line in zip(articles, hidden, strict=True) if all(a.soft == 1 for a in line)]
+            for a in max(open_, key=lambda x: x[0], default=(0, []))[1]:
+                a.soft = 0
+    for e in elements:  # parents come first
+        e.aside = e.aside or bool(e.soft) or (e.parent is not None and e.parent.aside)
 
 
 def read_page(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """All elements in order of their start, the root first, and the blocks: (innermost element at the
     block's start, text). Elements beside the text keep no blocks."""
-    root = Element("", 1, None, 0, False, False, False)
+    root = Element("", 1, None, 0, False, 0, False)
     elements, stack, blocks = [root], [root], []
-    held: list[str] = []
-    at = 0
+    held: list[tuple[Element | None, str]] = []  # pieces of a block with the element they stand in
 
     def end_block():
         if held:
-            if text := " ".join(html.unescape("".join(held)).split()):
-                blocks.append((owner, text))
+            blocks.append(held.copy())
             held.clear()
 
-    owner = root
     pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.search(page, pos)
         at = m.start() if m else n
         if at > pos and not stack[-1].aside:
-            if not held:
-                owner = next((e for e in reversed(stack) if e.name not in INLINE), root)
-            held.append(page[pos:at])
+            held.append((stack[-1], page[pos:at]))
         if not m:
             break
         pos = m.end()
@@ -142,7 +171,7 @@ def read_page(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if name not in INLINE and name != "br":
             end_block()
         if name == "br":
-            held.append(" ") if held else None
+            held.append((None, " ")) if held else None
         elif m[1]:
             stop = name in SCOPES
             for k in range(len(stack) - 1, 0, -1):
@@ -161,11 +190,11 @@ def read_page(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                     if stack[k].name in SCOPES:
                         break
             top = stack[-1]
-            key, aside, main = _describe(name, m[3])
-            if aside and name == "header" and any(e.main for e in stack):
-                aside = False  # the head of an article holds its title
+            key, aside, soft, main = _describe(name, m[3])
+            if name == "header" and any(e.main for e in stack):
+                aside, soft = False, 0  # the head of an article holds its title
             token = _mix((top.token * 0x100000001B3 + zlib.crc32(key.encode())) & _MASK)
-            e = Element(name, token, top, top.depth + 1, aside or top.aside, main, name == "a" or top.link)
+            e = Element(name, token, top, top.depth + 1, aside or top.aside, soft, main)
             elements.append(e)
             if name in RAW:
                 close = re.compile(rf"</{name}[^>]*>", re.I).search(page, pos)
@@ -173,7 +202,19 @@ def read_page(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             elif name not in VOID and not m[3].endswith("/>"):
                 stack.append(e)
     end_block()
-    return elements, blocks
+    _settle(elements, [(e, len(piece)) for block in blocks for e, piece in block if e is not None and not piece.isspace()])
+    read = []
+    for block in blocks:
+        owner, kept = None, []
+        for e, piece in block:
+            if e is None:
+                kept.append(piece)
+            elif not e.aside:
+                owner = owner or next((a for a in _line(e) if a.name not in INLINE), root)
+                kept.append(piece)
+        if owner is not None and (text := " ".join(html.unescape("".join(kept)).split())):
+            read.append((owner, text))
+    return elements, read
 
 
 def token_counts(page_key: int, page: str) -> list[tuple]:
@@ -255,15 +296,15 @@ def token_statistics(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host, main (token of the main slot), constant (tokens whose text is part of the template)."""
     t = token_statistics(pages)
-    by_host, by_class = Window.partitionBy("host"), Window.partitionBy("host", "vector")
-    t = t.select(
-        "*", F.max("pages").over(by_host).alias("host_pages"), F.max("chars").over(by_host).alias("host_chars"),
-        F.count(F.lit(1)).over(by_class).alias("class_size"),
+    t = written(t, "page-tokens")
+    hosts = t.groupBy("host").agg(
+        F.max("pages").alias("host_pages"), F.max("chars").alias("host_chars"), F.max(F.when(F.col("depth") == 0, F.col("constant"))).alias("alike")
     )
+    t = t.join(hosts, "host").join(t.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("class_size")), ["host", "vector"])
     valid = (F.col("host_pages") >= 2) & (2 * F.col("pages") >= F.col("host_pages")) & (F.col("once") == F.col("pages"))
     slot = valid & ~F.col("aside") & (F.col("depth") > 0) & (2 * F.col("chars") >= F.col("host_chars"))
     rank = F.struct(F.col("main").cast("int"), "depth", "class_size", "chars", "token")
-    still = (F.col("host_pages") >= 3) & (F.col("pages") == F.col("host_pages")) & F.col("constant") & (F.col("depth") > 0)
+    still = (F.col("host_pages") >= 3) & (F.col("pages") == F.col("host_pages")) & F.col("constant") & ~F.col("alike") & (F.col("depth") > 0)
     return t.groupBy("host").agg(
         F.max_by("token", F.when(slot, rank)).alias("main"), F.max_by("main", F.when(slot, rank)).alias("marked"),
         F.sort_array(F.collect_list(F.when(still & ~F.col("aside"), F.col("token")))).alias("still"),
@@ -282,12 +323,10 @@ def main_text(page: str, main: int | None, constant: list[int]) -> str:
                 size[up] = size.get(up, 0) + len(text)
         wanted = {max(size, key=size.get).token} if size else {1}
     still = {c & _MASK for c in constant} if slot else set()
-    out = []
-    for e, text in blocks:
-        line = [a.token for a in _line(e)]
-        if not wanted.isdisjoint(line) and still.isdisjoint(line):
-            out.append(text)
-    return "\n\n".join(out)
+    lines = [(text, {a.token for a in _line(e)}) for e, text in blocks]
+    inside = [(text, line) for text, line in lines if not wanted.isdisjoint(line)]
+    changing = [text for text, line in inside if still.isdisjoint(line)]
+    return "\n\n".join(changing or [text for text, _ in inside])
 
 
 def _line(e: Element):

@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns and a battery of randomness tests under false-discovery control.
 
 Three kinds are found by pattern: ``assign`` (a secret word, a sign, a value), ``access`` (key ids) and ``hex``
-(long lower-case hexadecimal runs). Besides, every run of 20 or more signs of base64 or its URL form is put to
-the battery. The encoding is inferred as the smallest alphabet that holds the run. Three statistics are
+(long lower-case hexadecimal runs). Besides, every run of 20 or more signs of base64 or its URL form, padding at its
+end only, is put to the battery, and so is every part of 20 or more between its ``/``, ``-`` and ``_``: a value behind a
+name and ``=``, or behind the path of an address, is tested by itself. Of a run that a pattern's span cuts, what is
+left outside is tested. The encoding is inferred as the smallest alphabet that holds the run. Three statistics are
 taken: chi-squared of the signs against a uniform alphabet, changes between kinds of signs (runs), and the
 lag-one serial correlation of sign numbers. For each the chance is computed that ordinary text gives a value
 as random as this; the expectation for ordinary text comes from sign counts over all documents. The
@@ -10,7 +12,8 @@ chances are combined by Fisher's rule. Runs of like length form a band, and with
 Hochberg's step-up rule at ``level`` decides over all candidates of all documents, from a histogram of the
 chances. A run that the uniform alphabet itself rejects is dropped: it is neither text nor random.
 
-Spans are code points, end exclusive. Found runs that overlap a pattern's span are left out, patterns stay.
+Spans are code points, end exclusive. Found spans never overlap a pattern's span, patterns stay; of a found run its
+parts are not told again.
 
 Defined results: a null text is empty and has no spans; repeated rows are answered each; an empty table gives
 no rows; extra columns pass by. Whole texts are searched; what is gathered is 512 counts and one histogram of
@@ -35,7 +38,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 SECRET_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}={0,2}")
 
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -75,6 +79,23 @@ def told(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
+def tested_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Runs outside the patterns' spans, and their parts."""
+    out = []
+    for m in RUN.finditer(text):
+        a, end = m.span()
+        pieces_ = []
+        for s, e, _ in base:  # in order of start
+            if e > a and s < end:
+                pieces_.append((a, s))
+                a = max(a, e)
+        for s, e in (*pieces_, (a, end)):
+            if e - s >= BANDS[0]:
+                out.append((s, e))
+                out += [p.span() for p in PART.finditer(text, s, e) if p.span() != (s, e)]
+    return out
+
+
 def statistics(run: str) -> tuple[int, float, int, float]:
     """Alphabet number, chi-squared, changes of sign kind, serial correlation; padding is cut off before."""
     body = run.rstrip("=")
@@ -193,12 +214,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     def one(text: str):
         base = base_spans(text)
         found = []
-        for m in RUN.finditer(text):
-            s, e = m.span()
-            if all(e <= b or s >= f for b, f, _ in base):
-                k, chi, changes, serial = statistics(m[0])
-                if k >= 0:
-                    found.append({"start": s, "end": e, "k": k, "n": len(m[0].rstrip("=")), "chi": chi, "changes": changes, "serial": serial})
+        for s, e in tested_spans(text, base):
+            k, chi, changes, serial = statistics(text[s:e])
+            if k >= 0:
+                found.append({"start": s, "end": e, "k": k, "n": len(text[s:e].rstrip("=")), "chi": chi, "changes": changes, "serial": serial})
         return base, found
 
     def run(batches):
@@ -271,6 +290,8 @@ def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
                     (f["start"], f["end"], "random") for f in row
                     if step(f) >= least[band_of(f["n"])] and is_uniform(f["n"], f["k"], f["chi"], f["changes"], f["serial"])
                 ]
+                new.sort(key=lambda x: (x[0], -x[1]))
+                new = [x for i, x in enumerate(new) if all(y[1] < x[1] for y in new[:i])]  # parts of a found run
                 old = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in base.split(",") if x)]
                 order = {k: i for i, k in enumerate((*KINDS, "random"))}
                 spans.append(told(sorted(old + new, key=lambda x: (x[0], order[x[2]]))))

@@ -31,6 +31,15 @@ def test_ids_as_by_the_library(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(texts)] == [ids_of(t) for t in texts]
 
 
+def test_words_on_which_polynomial_hashes_collide():
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate({97: 98, 98: 97})
+    texts = [one, one.translate({97: 98, 98: 97}), f"{one} x"]
+    ids, sizes = ENCODER.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in texts]
+
+
 def test_added_tokens_and_forgetting(monkeypatch):
     e = tokenfiles.Encoder(VOCABULARY)
     monkeypatch.setattr(e, "MOST_WORDS", 5)
@@ -108,6 +117,34 @@ def test_main_text_of_single_pages():
     assert text("<div role=navigation>m</div><div class='main-menu'>m</div><p>t</p><textarea>q</textarea>") == "t"
 
 
+def test_names_and_forms_around_a_page_do_not_hide_it():
+    """Wrappers whose words sound like side parts, articles behind them, and long reader comments."""
+    rng = random.Random(5)
+    text = lambda h: htmltext.main_text(h, None, [])
+    body, ad = prose(rng, 60), prose(rng, 5)
+    for wrap in ("<div class='content has-sidebar'>", "<div id='page-header-fixed'>", "<div class='site sticky-menu'>", "<section class='post related-none'>", "<form action=x>"):
+        inner = f"<div class='sidebar'>{ad}</div><article><p>{body}</p></article><div class='ad'>{ad}</div>"
+        assert text(f"<body>{wrap}{inner}</body>") == body
+        assert text(f"<body><p>tag line</p>{wrap}<p>{body}</p><form>search</form></body>") == f"tag line\n\n{body}"
+    comments = "".join(f"<article><p>{prose(rng, 80)}</p></article>" for _ in range(5))
+    assert text(f"<div class='has-sidebar'><article><p>{body}</p></article></div><div class='comments'>{comments}</div>") == body
+    assert text(f"<div class='comments'>{comments}</div>") == ""
+    assert text(f"<p>x <span class='ad'>{ad}</span> y</p><p>{body}</p>") == f"x y\n\n{body}"
+
+
+def test_hosts_whose_pages_are_alike(spark):
+    rng = random.Random(6)
+    same = page(rng, f"<p>{prose(rng, 40)}</p><p>{prose(rng, 30)}</p>")
+    want = htmltext.main_text(same, None, [])
+    copied = f"<p>{prose(rng, 30)}</p>"
+    rows = [(i, f"http://a/{i}", same) for i in range(4)]
+    # a host of copies and one other page, and an introduction that all its pages share
+    rows += [(10 + i, f"http://b/{i}", page(rng, copied if i < 3 else f"<p>{prose(rng, 40)}</p>")) for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] and set(got[i].split("\n\n")) <= set(want.split("\n\n")) and same.split("<p>")[1].split("</p>")[0] in got[i] for i in range(4))
+    assert all(got[10 + i] == copied[3:-4] for i in range(3)) and got[13]
+
+
 def test_pages_of_odd_rows(spark):
     rng = random.Random(2)
     long = "".join(f"<p>{prose(rng, 50)}</p>" for _ in range(400))
@@ -124,9 +161,9 @@ def test_pages_of_odd_rows(spark):
 # --- entry and pipeline -------------------------------------------------------------------------
 
 
-def test_ten_operators_are_registered():
+def test_all_operators_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_by_stages(spark, documents, tmp_path):

@@ -140,3 +140,18 @@ def test_one_of_each_tells_rows_of_one_id_apart(documents):
     rows = [(3, a), (7, a), (7, b), (7, b), (8, b), (7, c), (7, None), (7, ""), (None, d), (None, e), (None, e), (None, None), (9, d)]
     got = sorted(((r.doc_id, r.text) for r in ngramjoin.one_of_each(documents(rows)).collect()), key=repr)
     assert got == sorted([(3, a), (7, b), (7, c), (7, None), (7, ""), (None, e), (None, None), (9, d)], key=repr)
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w
+
+
+def test_words_on_which_polynomial_hashes_collide(documents):
+    """Two words of 2,048 letters that no polynomial modulo 2 ** 64 tells apart, whatever its base."""
+    one = thue_morse(2048)
+    other = one.translate({97: 98, 98: 97})
+    got = ngramjoin.join_components(documents([(1, one), (2, other), (3, one), (4, f"x {other}"), (5, f"x {one}")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

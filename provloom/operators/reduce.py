@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions import network as net
 from provloom.functions import paths
-from provloom.functions.similarity import reaches
+from provloom.functions.similarity import Texts
 from provloom.functions.timeid import NS
 from provloom.operators import ordered
 from provloom.operators.anchored import anchored_windows
@@ -20,6 +20,9 @@ from provloom.session import cut_lineage
 NETFLOW_WINDOW_NS = NS
 SIMILAR_WINDOW_NS = 30 * NS
 SIMILAR_THRESHOLD = 0.7
+#: files of a block that one task compares; answers on pairs of names that it holds
+SIMILAR_ROWS = 20_000
+HELD_MATCHES = 50_000_000
 # Event types that one network window may merge.
 MERGE_EVENTS = (
     "EVENT_CONNECT", "EVENT_SENDTO", "EVENT_RECVFROM", "EVENT_SENDMSG", "EVENT_RECVMSG", "EVENT_ACCEPT", "EVENT_BIND",
@@ -310,7 +313,8 @@ def similar_parents(
     runs = ordered.gap_sessions(touch, keys, ["ts_ns", "node_id"], window_ns, out="run", strict=True, target_rows=target_rows)
     blocks = [*keys, "run"]
     big_enough = runs.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    cut = ordered.with_slices(runs.join(big_enough, blocks).drop("prev_ts"), blocks, ["ts_ns", "node_id"], target_rows)
+    files_per_task = target_rows or int(runs.sparkSession.conf.get("spark.provloom.targetRows", "0")) or SIMILAR_ROWS
+    cut = ordered.with_slices(runs.join(big_enough, blocks).drop("prev_ts"), blocks, ["ts_ns", "node_id"], files_per_task)
     rows = cut.df.withColumn("halo", F.lit(False))
     if cut.hot:
         # the rows at most one window older than a slice's first row are copied into it
@@ -331,23 +335,48 @@ def similar_parents(
     by = cut.by
 
     def earliest(batches):
-        key, recent = None, deque()
+        """Blocks one after the other; a block may go on in the next batch."""
+        rest = None
         for pdf in batches:
-            found = []
-            for k, node, ts, base, is_halo in zip(
-                zip(*(pdf[c] for c in by)), pdf["node_id"], pdf["ts_ns"], pdf["base"], pdf["halo"]
-            ):
-                if k != key:
-                    key, recent = k, deque()
-                while recent and ts - recent[0][1] > window_ns:
-                    recent.popleft()
-                if not is_halo:
-                    for other, ots, obase in recent:
-                        if reaches(obase, base, threshold, strict=True):
-                            found.append((node, other, ots))
-                            break
-                recent.append((node, ts, base))
-            yield pd.DataFrame(found, columns=["node_id", "parent_id", "parent_ts"])
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            here, before = pdf[by].iloc[1:].to_numpy(dtype=object), pdf[by].iloc[:-1].to_numpy(dtype=object)
+            first = np.flatnonzero(np.append(True, (here != before).any(1)))
+            for a, z in zip(first[:-1], first[1:], strict=True):
+                yield in_block(pdf.iloc[a:z])
+            rest = pdf.iloc[first[-1] :]
+        if rest is not None and len(rest):
+            yield in_block(rest)
+
+    def in_block(block: pd.DataFrame) -> pd.DataFrame:
+        """Every file, from the oldest on, takes the files of its window that no older one has taken. Files of one name are
+        compared once: the oldest in reach stands for the others."""
+        node, ts = block["node_id"].to_numpy(), block["ts_ns"].to_numpy()
+        code, names = pd.factorize(block["base"])
+        texts = Texts(list(names))
+        parent = np.full(len(block), -1)
+        left = np.flatnonzero(~block["halo"].to_numpy(dtype=bool))
+        last = np.searchsorted(ts, ts + window_ns, "right")
+        like: dict[int, np.ndarray] = {}  # names that reach a name
+        every = np.arange(len(names))
+        for i in range(len(block)):
+            if not len(left):
+                break
+            mine = left[np.searchsorted(left, i, "right") : np.searchsorted(left, last[i], "left")]
+            if len(mine):
+                if int(code[i]) not in like:
+                    if len(like) * len(names) > HELD_MATCHES:
+                        like.clear()
+                    like[int(code[i])] = np.isin(every, texts.reaching(int(code[i]), every, threshold, strict=True))
+                taken = mine[like[int(code[i])][code[mine]]]
+                if len(taken):
+                    parent[taken] = i
+                    left = left[parent[left] < 0]
+            if len(left) and left[0] <= i:  # no older file is in reach of these any more
+                left = left[np.searchsorted(left, i, "right") :]
+        found = np.flatnonzero(parent >= 0)
+        return pd.DataFrame({"node_id": node[found], "parent_id": node[parent[found]], "parent_ts": ts[parent[found]]})
 
     per_process = ordered.sorted_stream(cut.with_df(rows), ["ts_ns", "node_id"]).mapInPandas(
         earliest, "node_id long, parent_id long, parent_ts long"

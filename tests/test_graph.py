@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from provloom.functions.similarity import ratio
 from provloom.operators import build, partition, reduce
@@ -95,6 +96,28 @@ def test_seed_components_and_segments(spark, seed):
     assert got == sorted(literal_components(rows, 4, 3))
 
 
+def test_similar_files_of_a_busy_folder(spark):
+    """A hundred thousand files of one process and folder within five minutes, slices of a thousand. Names that begin alike are
+    similar, others share too few letters: the parent of a file is the oldest one of its kind within 30 seconds."""
+    n, kinds = 100_000, ["aaaaaaaaaaaa", "bbbbbbbbbbbb", "cccccccccccc"]
+    at = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod(F.xxhash64("id"), F.lit(3)) + 1).cast("int"))
+    ids = spark.range(1, n + 1)
+    files = ids.select(F.col("id").alias("node_id"), F.lit("FILE").alias("type"), (F.col("id") * 3_000_000).alias("ts_ns"), F.concat(F.lit("/tmp/"), at, F.pmod("id", F.lit(90)).cast("string")).alias("name"))
+    nodes = files.union(spark.createDataFrame([(0, "SUBJECT_PROCESS", 0, "p")], "node_id long, type string, ts_ns long, name string"))
+    edges = ids.select(F.lit(0).cast("long").alias("src_id"), F.col("id").alias("dst_id"))
+    got = {r["node_id"]: r["parent_id"] for r in reduce.similar_parents(nodes, edges, target_rows=1000).collect()}
+    kind = {r["node_id"]: r["name"][5] for r in files.collect()}
+    want, recent = {}, {}
+    for i in range(1, n + 1):
+        mine = recent.setdefault(kind[i], [])
+        while mine and (i - mine[0]) * 3_000_000 > 30 * 10**9:
+            mine.pop(0)
+        if mine:
+            want[i] = mine[0]
+        mine.append(i)
+    assert got == want
+
+
 def literal_owners(n, edges):
     owner = list(range(n))
     succ = {}

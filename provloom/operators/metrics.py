@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provloom.functions import vectors as vec
 from provloom.operators import ordered
-from provloom.session import no_rows, own_columns
+from provloom.session import cut_lineage, no_rows, own_columns
 
 
 def truth_table(scores: DataFrame, membership: DataFrame) -> DataFrame:
@@ -139,6 +140,85 @@ def uniformity(vectors: DataFrame, t: float = 2.0, rows_per_block: int = 4_000)
     return parts.agg(F.log(F.sum("s") / F.sum("n")).alias("uniformity"))
 
 
+def _array_sums(df: DataFrame, keys: list[str], value: Column, size: int, out: str) -> DataFrame:
+    """Entry-wise sum of the array ``value`` per key; a task hands on one row per key."""
+    sums = df.withColumn("_a", value).groupBy(*keys).agg(*[F.sum(F.get("_a", F.lit(i))).alias(f"_s{i}") for i in range(size)])
+    return sums.select(*keys, F.array(*[F.col(f"_s{i}") for i in range(size)]).alias(out))
+
+
+#: numbers of a system of equations that one task may hold
+DENSE_CELLS = 4_000_000
+
+
+def _dense_solution(co: DataFrame, sums: DataFrame, eps: float, size: int) -> DataFrame:
+    """(label, v) from the counts (label, other, n) and the sums (label, r), in one task."""
+    import pandas as pd
+
+    def solve(counts: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        labels = pd.Index(counts["label"].unique())
+        a, b = eps * np.eye(len(labels)), np.zeros((len(labels), size))
+        a[labels.get_indexer(counts["label"]), labels.get_indexer(counts["other"])] += counts["n"]
+        if len(right):
+            b[labels.get_indexer(right["label"])] = np.stack(right["r"].to_numpy())
+        return pd.DataFrame({"label": labels, "v": list(np.linalg.solve(a, b))})
+
+    one = F.lit(0).alias("k")
+    met = co.select(one, "*").groupBy("k").cogroup(own_columns(sums).select(one, "*").groupBy("k"))
+    return met.applyInPandas(solve, f"label {co.schema['label'].dataType.simpleString()}, v array<double>")
+
+
+def ridge_solution(vectors: DataFrame, membership: DataFrame, eps: float = 1e-3, tolerance: float = 1e-12) -> DataFrame | None:
+    """(label, v): the solution of (L'L + eps I) V = L'Z, or None without members that have a vector.
+
+    A system of at most ``DENSE_CELLS`` numbers, which are counted first, is solved densely in one task. A larger one by
+    conjugate gradients on the table of co-membership counts, scaled by its diagonal; every entry of the vectors is
+    a right-hand side with a step length of its own. A step is one join with the counts and one row of sums, and
+    nothing but those, four per entry, comes to the driver. It ends when no residual is above ``tolerance`` of its first,
+    at the latest after two steps per label, which exact arithmetic would not need."""
+    m = membership.select("id", "label").distinct()
+    z = m.join(vectors.filter(F.col("v").isNotNull()).select("id", "v"), "id")
+    first = z.select(F.size("v").alias("n")).first()
+    if first is None:
+        return None
+    size = first["n"]
+    # labels of one text are few
+    per_id = m.groupBy("id").agg(F.collect_set("label").alias("ls"))
+    pairs = per_id.select(F.explode("ls").alias("label"), "ls").select("label", F.explode("ls").alias("other"))
+    co = cut_lineage(pairs.groupBy("label", "other").agg(F.count(F.lit(1)).alias("n")))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    sums = _array_sums(z, ["label"], F.col("v"), size, "r")
+    n_labels = co.filter("label = other").count()
+    if n_labels * (n_labels + size) <= DENSE_CELLS:
+        return _dense_solution(co, sums, eps, size)
+    state = co.filter("label = other").select("label", (F.col("n") + F.lit(eps)).alias("d")).join(sums, "label", "left")
+    state = state.select("label", "d", zeros.alias("x"), F.coalesce("r", zeros).alias("r"))
+    state = cut_lineage(state.withColumn("p", F.transform("r", lambda y: y / F.col("d"))))
+
+    def per_entry(a: str, b: str, over) -> list[Column]:
+        return [F.sum(F.get(a, F.lit(i)) * F.get(b, F.lit(i)) / over) for i in range(size)]
+
+    def plus(a: Column, times: np.ndarray, b: str) -> Column:
+        return F.zip_with(a, F.zip_with(F.array(*map(F.lit, times.tolist())), b, lambda f, y: f * y), lambda x, y: x + y)
+
+    at_first = None
+    for _ in range(2 * n_labels):
+        met = co.join(state.select(F.col("label").alias("other"), "p"), "other")
+        product = _array_sums(met, ["label"], F.transform("p", lambda y: y * F.col("n")), size, "q")
+        state = cut_lineage(state.join(product, "label").withColumn("q", F.zip_with("q", "p", lambda y, w: y + F.lit(eps) * w)))
+        d, one = F.col("d"), F.lit(1.0)
+        row = state.agg(*per_entry("r", "r", d), *per_entry("p", "q", one), *per_entry("r", "q", d), *per_entry("q", "q", d)).first()
+        rr, pq, rq, qq = np.array(row, float).reshape(4, size)
+        at_first = rr if at_first is None else at_first
+        if np.all(rr <= tolerance**2 * at_first):
+            break
+        step = np.divide(rr, pq, out=np.zeros(size), where=pq != 0)
+        left = np.maximum(rr - 2 * step * rq + step * step * qq, 0.0)
+        turn = np.divide(left, rr, out=np.zeros(size), where=rr != 0)
+        state = state.select("label", "d", plus(F.col("x"), step, "p").alias("x"), plus(F.col("r"), -step, "q").alias("r"), "p")
+        state = state.withColumn("p", plus(F.transform("r", lambda y: y / F.col("d")), turn, "p"))
+    return state.select("label", F.col("x").alias("v"))
+
+
 def ridge_prototypes(
     vectors: DataFrame,
     membership: DataFrame,
@@ -147,40 +227,17 @@ def ridge_prototypes(
     beta: float = 0.999,
 ) -> DataFrame:
     """(label, v): class prototypes (L'L + eps I)^-1 L'Z, normalised, optionally as a moving average
-    with the previous ones. Co-membership counts and per-label vector sums are aggregates; only the
-    label x label solve (labels are few) runs on the driver. Labels without rows keep theirs."""
-    m = membership.select("id", "label").distinct()
-    # labels of one text are few
-    per_id = m.groupBy("id").agg(F.collect_set("label").alias("ls"))
-    co = (
-        per_id.select(F.explode("ls").alias("a"), "ls").select("a", F.explode("ls").alias("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    )
-    sums = (
-        m.join(vectors, "id").select("label", F.posexplode("v").alias("d", "x"))
-        .groupBy("label", "d").agg(F.sum("x").alias("x"))
-    )
-    co_rows, sum_rows = co.collect(), sums.collect()  # labels x labels and labels x dimensions
-    labels = sorted({r["a"] for r in co_rows})
-    at = {lab: i for i, lab in enumerate(labels)}
-    dim = 1 + max(r["d"] for r in sum_rows)
-    ltl, ltz = np.zeros((len(labels),) * 2), np.zeros((len(labels), dim))
-    for r in co_rows:
-        ltl[at[r["a"]], at[r["b"]]] = r["n"]
-    for r in sum_rows:
-        ltz[at[r["label"]], r["d"]] = r["x"]
-
-    def unit(a):
-        return a / np.maximum(np.sqrt((a * a).sum(axis=-1, keepdims=True)), 1e-12)
-
-    star = unit(np.linalg.pinv(ltl + eps * np.eye(len(labels))) @ ltz)
-    old = {r["label"]: np.array(r["v"]) for r in previous.collect()} if previous is not None else {}
-    out = {lab: star[i] if lab not in old else unit(beta * old[lab] + (1 - beta) * star[i]) for lab, i in at.items()}
-    out.update({lab: unit(v) for lab, v in old.items() if lab not in out})
-    label_type = membership.schema["label"].dataType.simpleString()
-    return vectors.sparkSession.createDataFrame(
-        [(lab, [float(x) for x in v]) for lab, v in sorted(out.items())], f"label {label_type}, v array<double>"
-    )
+    with the previous ones. Labels without rows keep theirs."""
+    solution = ridge_solution(vectors, membership, eps)
+    if solution is None:
+        solution = membership.select("label", F.array().cast("array<double>").alias("v")).limit(0)
+    star = solution.select("label", vec.unit(F.col("v")).alias("v"))
+    if previous is None:
+        return star
+    both = star.withColumnRenamed("v", "new").join(previous.select("label", F.col("v").alias("old")), "label", "full")
+    moved = F.zip_with("old", "new", lambda x, y: F.lit(beta) * x + F.lit(1 - beta) * y)
+    v = F.when(F.col("old").isNull(), F.col("new")).otherwise(vec.unit(F.coalesce(moved, F.col("old"))))
+    return both.select("label", v.alias("v"))
 
 
 def train_counts(membership: DataFrame, labels: DataFrame) -> DataFrame:

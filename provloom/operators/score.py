@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from provloom.functions import vectors as vec
 from provloom.operators import ordered
-from provloom.session import no_rows, own_columns
+from provloom.session import cut_lineage, no_rows, own_columns
 
 MAX_BROADCAST_FLOATS = 20_000_000
 
@@ -262,6 +262,44 @@ def mean_pool(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     return vectors.groupBy(*keys).agg(*means).select(*keys, F.array(*[f"_v{i}" for i in range(first["n"])]).alias("v"))
 
 
+def fold_prototypes(vectors: DataFrame) -> DataFrame:
+    """(fold, label, v): for every file the mean vector per label of all other files. Vectors (file, label, v) are
+    summed once per file and label; a fold is the label's total less the file's own part, so no row is
+    copied into the folds. A label that only one file has is missing in that file's fold."""
+    rows = vectors.filter(F.col("v").isNotNull())
+    first = rows.select(F.size("v").alias("n")).first()
+    if first is None:
+        return vectors.select(F.col("file").alias("fold"), "label", "v").limit(0)
+    sums = [F.sum(F.get("v", F.lit(i))).alias(f"_v{i}") for i in range(first["n"])]
+    entries = F.array(*[F.col(f"_v{i}") for i in range(first["n"])])
+    own = cut_lineage(rows.groupBy("file", "label").agg(F.count(F.lit(1)).alias("n"), *sums).select("file", "label", "n", entries.alias("own")))
+    total = own.withColumnRenamed("own", "v").groupBy("label").agg(F.sum("n").alias("total_n"), *sums).select("label", "total_n", entries.alias("total"))
+    labels = own.agg(F.collect_set("label").alias("labels"))  # one row; labels are few
+    every = vectors.select("file").distinct().join(F.broadcast(labels)).select("file", F.explode("labels").alias("label"))
+    left = F.col("total_n") - F.coalesce("n", F.lit(0))
+    rest = F.coalesce(F.zip_with("total", "own", lambda x, y: x - y), F.col("total"))
+    out = every.join(total, "label").join(own, ["file", "label"], "left").select(F.col("file").alias("fold"), "label", left.alias("n"), rest.alias("v"))
+    return out.filter("n > 0").select("fold", "label", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+
+
+def score_folds(texts: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(id, fold, label, score): cosine of every text (id, file, v) with the prototypes of its own file's fold, for all
+    folds in one join."""
+    t = texts.select("id", F.col("file").alias("fold"), vec.unit(F.col("v")).alias("_t"))
+    p = prototypes.select("fold", "label", vec.unit(F.col("v")).alias("_p"))
+    return t.join(p, "fold").select("id", "fold", "label", vec.dot(F.col("_t"), F.col("_p")).alias("score"))
+
+
+def fold_accuracy(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """(fold, n, n_correct, accuracy) of the texts' best labels against truth (id, label); a text is in one fold."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("l")))
+    pred = scores.groupBy("fold", "id").agg(best.alias("b")).select("fold", "id", F.col("b.l").alias("predicted"))
+    ok = (F.col("predicted") == F.col("label")).cast("long")
+    return pred.join(truth.select("id", "label"), "id").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(ok).alias("n_correct"), F.avg(ok.cast("double")).alias("accuracy")
+    )
+
+
 def token_means(token_vectors: DataFrame) -> DataFrame:
     """(id, token, v): mean vector of each token over the chunks that cover it. ``token_vectors``:
     id, start of the chunk, offset inside it (0 is the lead token, left out), v."""

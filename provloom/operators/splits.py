@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered
+from provloom.session import cut_lineage
 
 SEED = 42
 
@@ -44,37 +45,34 @@ def stratified_split(
     shuffle fills the test set to size.
 
     Labels are credited in order: a label takes from the front of the shuffle as many rows as it
-    still lacks after the labels before it. Only the front ``min_test * labels`` rows per label can
-    be picked, so the greedy pass runs on that small list."""
+    still lacks after the labels before it, and a row counts for all its labels. What a label takes is always among the
+    first rows that it wanted at the start, so only those rows are looked at. In a round all labels act at once that
+    share no front row, their own or the other's, with an earlier label that still lacks rows; the first label always
+    acts."""
     h = hashed(entries.select("id").distinct(), "id", seed)
     m = membership.select("id", "label").distinct().join(h, "id")
-    totals = m.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    n_labels = totals.count()
-    front = ordered.top_k(m, ["label"], [F.asc("_h"), F.asc("id")], max(1, min_test * n_labels), "_r")
-    rows = front.join(totals, "label").collect()  # labels x labels x min_test rows
-    of: dict = {}
-    for r in rows:
-        of.setdefault(r["id"], set())
-    # all labels of the candidate rows, for the credit
-    cand_ids = list(of)
-    for r in m.filter(F.col("id").isin(cand_ids)).select("id", "label").collect():
-        of[r["id"]].add(r["label"])
-    total = {r["label"]: r["n"] for r in totals.collect()}
-    got = dict.fromkeys(total, 0)
-    picked = set()
-    for label in sorted(total):
-        want = min(min_test, max(0, total[label] - 1))
-        for r in sorted((x for x in rows if x["label"] == label), key=lambda x: x["_r"]):
-            if got[label] >= want:
-                break
-            if r["id"] in picked:
-                continue
-            picked.add(r["id"])
-            for t in of[r["id"]]:
-                got[t] += 1
-    forced = F.col("id").isin(list(picked)) if picked else F.lit(False)
+    wants = m.groupBy("label").agg(F.least(F.lit(min_test), F.count(F.lit(1)) - 1).alias("want")).filter("want > 0")
+    wants = cut_lineage(wants)
+    front = ordered.top_k(m, ["label"], [F.asc("_h"), F.asc("id")], max(1, min_test), "_r").join(wants, "label")
+    front = front.filter("_r <= want").select("id").distinct()
+    held = cut_lineage(m.join(front, "id", "left_semi").join(wants.select("label"), "label", "left_semi"))
+    picked = held.select("id").limit(0)
+    while True:
+        got = held.join(picked, "id", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("got"))
+        lacks = wants.join(got, "label", "left").select("label", (F.col("want") - F.coalesce("got", F.lit(0))).alias("lack")).filter("lack > 0")
+        # the labels' own front rows are few: at most ``min_test`` for every label
+        w = Window.partitionBy("label").orderBy("_h", "id")
+        asked = held.join(picked, "id", "left_anti").join(lacks, "label").withColumn("_r", F.row_number().over(w)).filter("_r <= lack")
+        asked = cut_lineage(asked.select("id", F.col("label").alias("asks")))
+        if asked.isEmpty():
+            break
+        shared = asked.join(held.join(lacks.select("label"), "label", "left_semi").select("id", "label"), "id").filter("label <> asks")
+        waits = shared.select(F.greatest("asks", "label").alias("asks")).distinct()
+        chosen = asked.join(waits, "asks", "left_anti").select("id")
+        picked = cut_lineage(picked.union(chosen).distinct())
+    forced = picked.withColumn("_p", F.lit(True))
     ranked = ordered.scan(
-        h.withColumn("_f", F.when(forced, 0).otherwise(1)), [], ["_f", "_h", "id"], index="_i"
+        h.join(forced, "id", "left").select("id", "_h", F.when(F.col("_p"), 0).otherwise(1).alias("_f")), [], ["_f", "_h", "id"], index="_i"
     )
     n = h.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * test_size)).alias("_t"))
     is_test = (F.col("_f") == 0) | (F.col("_i") <= F.col("_t"))

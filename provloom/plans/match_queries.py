@@ -290,6 +290,22 @@ def ridge_prototypes_multi_label(spark, sf):
     return p.select("label", F.posexplode("v").alias("i", "x"))
 
 
+@named(
+    "ridge_normal_equations",
+    f"""WITH {_U}, l AS (SELECT id, label, v FROM u UNION ALL SELECT id, (label + 3) % 10, v FROM u),
+    d AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM l)
+    SELECT CAST(label AS INTEGER) AS label, i, round(sum(x), 5) + 0.0 AS x FROM d GROUP BY label, i""",
+)
+def ridge_normal_equations(spark, sf):
+    """The left side of the normal equations, from the rows and the solution for several labels; the checking SQL
+    has the right side, the sums of the labels' vectors."""
+    eps, m = 1e-3, members(spark, sf)
+    v = metrics.ridge_solution(unit_vectors(spark, sf).select("id", "v"), m, eps).select("label", F.posexplode("v").alias("i", "x"))
+    of_id = m.join(v, "label").groupBy("id", "i").agg(F.sum("x").alias("x"))
+    left = m.join(of_id, "id").select("label", "i", "x").unionByName(v.withColumn("x", F.col("x") * F.lit(eps)))
+    return left.groupBy("label", "i").agg(F.sum("x").alias("x")).select("label", (F.col("i") + 1).cast("long").alias("i"), (F.round("x", 5) + 0.0).alias("x"))
+
+
 _LATE = f"""{_U}, b AS (SELECT a.label AS id, a.id AS pos, c.label AS ref, max(list_dot_product(a.v, c.v)) AS best FROM u a, u c GROUP BY ALL),
     late AS (SELECT id, ref, avg(best) AS score FROM b GROUP BY id, ref)"""
 
@@ -414,14 +430,7 @@ _FOLD = f"""{_U}, f AS (SELECT id, label, v, id % 5 AS fold FROM u),
 def leave_one_file_out_accuracy(spark, sf):
     """Every file is the test set once, scored against centroids of the others."""
     u = unit_vectors(spark, sf).withColumn("file", F.col("id") % 5)
-    files = [r["file"] for r in u.select("file").distinct().orderBy("file").collect()]
-    out = None
-    for f in files:
-        fold = splits.folds(u, "file", [f])
-        fitted = score.mean_pool(fold.filter("split = 'train'"), ["label"])
-        test = fold.filter("split = 'test'")
-        acc = score.accuracy(score.predictions(score.score_labels(test, fitted)), test).withColumn("fold", F.lit(f).cast("long"))
-        out = acc if out is None else out.unionByName(acc)
+    out = score.fold_accuracy(score.score_folds(u, score.fold_prototypes(u)), u)
     return out.withColumn("accuracy", F.round("accuracy", 6)).select("fold", "n", "n_correct", "accuracy")
 
 

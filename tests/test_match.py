@@ -68,6 +68,47 @@ def test_ridge_prototypes_with_several_labels(spark, z):
     assert got[2] == pytest.approx(np.eye(6)[1])
 
 
+@pytest.mark.parametrize("cells", [0, 1000])
+def test_ridge_prototypes_of_many_coupled_labels(spark, monkeypatch, cells):
+    monkeypatch.setattr(metrics, "DENSE_CELLS", cells)
+    rng = np.random.default_rng(5)
+    z, mask = rng.normal(size=(300, 5)), rng.random((300, 9)) < 0.25
+    mask[:, 8] = mask[:, 7]  # two labels on the same rows: only eps tells them apart
+    m = spark.createDataFrame([(int(i), f"c{j:02}") for i, j in zip(*np.nonzero(mask))] * 2 + [(999, "c00")], "id long, label string")
+    L = mask.astype(float)
+    a = L.T @ L + 1e-3 * np.eye(9)
+    a[0, 0] += 1  # a member without a vector counts as a row of its label
+    want = np.linalg.solve(a, L.T @ z)
+    got = {r["label"]: r["v"] for r in metrics.ridge_solution(frame(spark, z), m).collect()}
+    assert sorted(got) == [f"c{j:02}" for j in range(9)]
+    assert np.array([got[k] for k in sorted(got)]) == pytest.approx(want, abs=1e-8)
+    assert metrics.ridge_solution(frame(spark, z), m.limit(0)) is None
+    old = spark.createDataFrame([("x", [3.0, 4.0])], "label string, v array<double>")
+    assert [tuple(r) for r in metrics.ridge_prototypes(frame(spark, z), m.limit(0), previous=old).collect()] == [("x", [0.6, 0.8])]
+    assert metrics.ridge_prototypes(frame(spark, z), m.limit(0)).collect() == []
+
+
+def test_folds_fitted_without_their_file(spark):
+    rng = np.random.default_rng(6)
+    z, label, file = rng.normal(size=(60, 4)), rng.integers(0, 4, 60), rng.integers(0, 3, 60)
+    label[:3], file[:3] = 7, 2  # label 7 is in one file only
+    rows = [(i, f"f{file[i]}", int(label[i]), [float(x) for x in z[i]]) for i in range(60)] + [(60, "f0", 1, None)]
+    df = spark.createDataFrame(rows, "id long, file string, label int, v array<double>")
+    proto = score.fold_prototypes(df)
+    got = {(r["fold"], r["label"]): r["v"] for r in proto.collect()}
+    want = {(f"f{f}", int(k)): z[(file != f) & (label == k)].mean(axis=0) for f in range(3) for k in set(label) if ((file != f) & (label == k)).any()}
+    assert sorted(got) == sorted(want) and ("f2", 7) not in got
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    hits = {f: [0, 0] for f in range(3)}
+    for i in range(60):
+        mine = {k: float(unit(z[i]) @ unit(v)) for (f, k), v in want.items() if f == f"f{file[i]}"}
+        hits[file[i]][0] += 1
+        hits[file[i]][1] += max(mine, key=mine.get) == label[i]
+    acc = score.fold_accuracy(score.score_folds(df.filter("v IS NOT NULL"), proto), df).collect()
+    assert {r["fold"]: [r["n"], r["n_correct"]] for r in acc} == {f"f{f}": n for f, n in hits.items()}
+    assert score.fold_prototypes(df.limit(0)).collect() == []
+
+
 SCORES = [("a", "x", 0.9, 1), ("a", "y", 0.9, 0), ("a", "w", 0.1, 1), ("b", "x", 0.2, 0), ("b", "y", 0.3, 0), ("b", "w", 0.4, 0), ("c", "x", 0.2, 1), ("c", "y", 0.3, 1), ("c", "w", 0.4, 1)]
 
 
@@ -126,6 +167,35 @@ def test_stratified_split(spark):
     assert all(v == {"train", "test"} for k, v in sides.items() if k != "single")
 
 
+def literal_stratified(ids, members, min_test, place):
+    of, by_label = {}, {}
+    for i, k in members:
+        of.setdefault(i, set()).add(k)
+        by_label.setdefault(k, set()).add(i)
+    got, picked = dict.fromkeys(by_label, 0), set()
+    for k in sorted(by_label):
+        for i in sorted(by_label[k], key=place.get):
+            if got[k] >= min(min_test, len(by_label[k]) - 1):
+                break
+            if i not in picked:
+                picked.add(i)
+                for other in of[i]:
+                    got[other] += 1
+    fill = sorted(ids, key=lambda i: (i not in picked, place[i]))[: max(1, int(len(ids) * 0.2))]
+    return picked | set(fill)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_stratified_split_as_label_by_label(spark, seed):
+    rng = np.random.default_rng(seed)
+    members = [(i, f"t{k}") for i in range(40) for k in range(12) if rng.random() < (0.6 if k == 3 else 0.12)]
+    df, m = spark.range(40), spark.createDataFrame(members, "id long, label string")
+    place = {r["id"]: (r["_h"], r["id"]) for r in splits.hashed(df, "id").collect()}
+    for min_test in (1, 3):
+        got = splits.stratified_split(df, m, min_test=min_test).filter("split = 'test'").collect()
+        assert {r["id"] for r in got} == literal_stratified(range(40), members, min_test, place)
+
+
 def test_batches_and_pairs(spark):
     df, m = entries(spark)
     batch = splits.stratified_batch(m, 3)

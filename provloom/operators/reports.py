@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.operators import ordered, score
+from provloom.session import cut_lineage
 from provloom.sources import lines
 
 RULE = 100
@@ -22,9 +23,8 @@ def ranked_reports(rows: DataFrame, columns: DataFrame, top: int = 2, pool: int
     ties by key; only the ``top`` reports of a sequence are explained by their best sentence pairs.
 
     ranking: id, ref, score, rank. explanations: id, ref, report_rank, rank, row_text, ref_text, score."""
-    every = rows.select("id").distinct().join(F.broadcast(columns.select("ref").distinct()))  # the result has a row for each
-    scored = score.late_interaction(rows, columns, every).withColumn("_worst", -F.round("score", 6))
-    ranking = ordered.scan(scored, ["id"], ["_worst", "ref"], index="rank").drop("_worst")
+    scored = score.late_interaction(rows, columns).withColumn("_worst", -F.round("score", 6))
+    ranking = cut_lineage(ordered.scan(cut_lineage(scored), ["id"], ["_worst", "ref"], index="rank").drop("_worst"))
     best = ranking.filter(F.col("rank") <= top).select("id", "ref", F.col("rank").alias("report_rank"))
     found = score.best_sentence_pairs(rows, columns, best, pool, pairs, digits=9)
     return ranking, found.join(best, ["id", "ref"]).select("id", "ref", "report_rank", "rank", "row_text", "ref_text", "score")

@@ -2,32 +2,30 @@
 
 Text encoders are a pluggable column producer; everything here starts at the vector. Scores are dot
 products of unit vectors, computed as matrix products inside Arrow batches. A reference set is sent
-to every task only after its size was counted; a larger one is cut into blocks that meet blocks of
-texts, and only the best few of each block pair leave the task."""
+to every task only after its size was counted; larger ones are cut into tiles (:mod:`tiles`), and only the
+best few of a partition of tiles leave the task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from provloom.functions import vectors as vec
-from provloom.operators import ordered
-from provloom.session import cut_lineage, no_rows, own_columns
+from provloom.operators import ordered, tiles
+from provloom.session import cut_lineage
 
-MAX_BROADCAST_FLOATS = 20_000_000
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return m / np.maximum(n, 1e-12)
+MAX_BROADCAST_FLOATS = 2_000_000
+#: scores that a task holds at once for references that were sent to it
+CELLS = 1 << 21
 
 
 def _matrix(vectors) -> np.ndarray:
-    return _unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in vectors]))
+    return tiles.unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in vectors]))
 
 
 def _small(refs: DataFrame) -> bool:
@@ -35,6 +33,18 @@ def _small(refs: DataFrame) -> bool:
     return (row["n"] or 0) * (row["d"] or 0) <= MAX_BROADCAST_FLOATS
 
 
+def _pieces(batch: pa.RecordBatch, n_refs: int):
+    """Ids and unit vectors of a batch, few enough rows for the bound on scores."""
+    step = max(1, CELLS // max(1, n_refs))
+    for i in range(0, batch.num_rows, step):
+        part = batch.slice(i, step)
+        yield part.column("id"), tiles.matrix(part.column("v"))
+
+
+def _take(column: pa.Array, at: np.ndarray) -> pa.Array:
+    return column.take(pa.array(at, pa.int64()))
+
+
 def score_labels(texts: DataFrame, refs: DataFrame, id_type: str = "long") -> DataFrame:
     """(id, label, score): best cosine of each text over the references of each label.
 
@@ -43,69 +53,62 @@ def score_labels(texts: DataFrame, refs: DataFrame, id_type: str = "long") -> Da
     if not _small(refs):
         pairs = _block_best(texts, refs, id_type, per_label=True, k=1)
         return pairs.groupBy("id", "label").agg(F.max("score").alias("score"))
-    rows = refs.select("label", "v").collect()  # size checked above
-    labels = sorted({r["label"] for r in rows})
-    groups = [_matrix([r["v"] for r in rows if r["label"] == lab]).T for lab in labels]
-    shared = texts.sparkSession.sparkContext.broadcast((labels, groups))
+    label_type = refs.schema["label"].dataType.simpleString()
+    rows = sorted(refs.select("label", "v").collect(), key=lambda r: r["label"])  # size checked above
+    ddl = f"id {id_type}, label {label_type}, score double"
+    if not rows:
+        return texts.sparkSession.createDataFrame([], ddl)
+    labels, kind = sorted({r["label"] for r in rows}), to_arrow_type(refs.schema["label"].dataType)
+    starts = np.searchsorted([labels.index(r["label"]) for r in rows], np.arange(len(labels)))
+    shared = texts.sparkSession.sparkContext.broadcast((labels, starts, tiles.unit_rows(np.array([r["v"] for r in rows], np.float64)).T))
 
     def run(batches):
-        names, mats = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            z = _matrix(pdf["v"])
-            best = np.stack([(z @ m).max(axis=1) for m in mats], axis=1)
-            yield pd.DataFrame(
-                {
-                    "id": np.repeat(pdf["id"].to_numpy(), len(names)),
-                    "label": np.tile(np.array(names, dtype=object), len(pdf)),
-                    "score": best.ravel(),
-                }
-            )
+        names, first, m = shared.value
+        for batch in batches:
+            for ids, z in _pieces(batch, m.shape[1]):
+                best = tiles.segment_max(z @ m, first)
+                yield pa.RecordBatch.from_arrays(
+                    [_take(ids, np.repeat(np.arange(len(z)), len(names))), _take(pa.array(names, kind), np.tile(np.arange(len(names)), len(z))), pa.array(best.ravel())],
+                    ["id", "label", "score"],
+                )
 
-    label_type = refs.schema["label"].dataType.simpleString()
-    return texts.select("id", "v").mapInPandas(run, f"id {id_type}, label {label_type}, score double")
-
-
-def _top_rows(ids, sims: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k per row, ties to the smaller name; names come sorted."""
-    k = min(k, sims.shape[1])
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame(
-        {
-            "id": np.repeat(np.asarray(ids), k),
-            "ref": names[order].ravel(),
-            "score": np.take_along_axis(sims, order, axis=1).ravel(),
-        }
-    )
+    return texts.select("id", "v").mapInArrow(run, ddl)
 
 
-def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool, k: int, rows_per_block: int = 20_000):
-    n_t = max(1, -(-texts.count() // rows_per_block))
-    n_r = max(1, -(-refs.count() // rows_per_block))
-    t = texts.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_t)).alias("tb")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)))
-    )
-    rkey = [c for c in ("ref", "label") if c in refs.columns]
-    r = refs.select(*rkey, "v", F.pmod(F.xxhash64(*rkey), F.lit(n_r)).cast("int").alias("rb")).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_t - 1).cast("long")))
-    )
+def _top_rows(ids: pa.Array, best: tiles.Best, names: pa.Array, column: str = "ref") -> pa.RecordBatch:
+    """Rows of the best references; ``names`` are those of all columns that were seen."""
+    row, place = np.nonzero(best.at >= 0)
+    return pa.RecordBatch.from_arrays([_take(ids, row), _take(names, best.at[row, place]), pa.array(best.score[row, place])], ["id", column, "score"])
+
+
+def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool, k: int, rows_per_block: int | None = None):
     name = "label" if per_label else "ref"
-    ref_type = refs.schema[name].dataType.simpleString()
+    parts, rows, ref_parts, ref_rows = tiles.shapes(texts, refs, rows_per_block)
+    left, right = tiles.packed(texts.select("id", "v"), "id", parts, rows), tiles.packed(refs.select(name, "v"), name, ref_parts, ref_rows)
+    ddl = f"id {id_type}, {name} {refs.schema[name].dataType.simpleString()}, score double"
 
-    def meet(tp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if not len(tp) or not len(rp):
-            return no_rows("id", name, "score")
-        rp = rp.sort_values(name, kind="stable")
-        sims = _matrix(tp["v"]) @ _matrix(rp["v"]).T
-        if per_label:
-            labels, starts = np.unique(rp[name].to_numpy(), return_index=True)
-            sims = np.maximum.reduceat(sims, starts, axis=1)
-            return _top_rows(tp["id"], sims, labels, len(labels)).rename(columns={"ref": name})
-        return _top_rows(tp["id"], sims, rp[name].to_numpy(), k)
+    def add_best(tile, other, state, ask):
+        state["best"].add(tile.m @ other.m.T)
+        state["names"].append(_take(other.keys, other.segment()))
+        yield from ()
 
-    met = own_columns(t).groupBy("tb", "rb").cogroup(own_columns(r).groupBy("tb", "rb"))
-    return met.applyInPandas(meet, f"id {id_type}, {name} {ref_type}, score double")
+    def give_best(tile, state):
+        yield _top_rows(_take(tile.keys, tile.segment()), state["best"], pa.concat_arrays(state["names"]))
+
+    def add_labels(tile, other, state, ask):
+        best = tiles.segment_max(tile.m @ other.m.T, other.starts)
+        for j, label in enumerate(other.keys.to_pylist()):
+            state[label] = other.keys, j, np.maximum(state[label][2], best[:, j]) if label in state else best[:, j]
+        yield from ()
+
+    def give_labels(tile, state):
+        ids = _take(tile.keys, tile.segment())
+        for keys, j, best in state.values():
+            yield pa.RecordBatch.from_arrays([ids, _take(keys, np.full(len(best), j)), pa.array(best)], ["id", name, "score"])
+
+    if per_label:
+        return tiles.met(left, right, ddl, lambda tile: {}, add_labels, give_labels)
+    return tiles.met(left, right, ddl, lambda tile: {"best": tiles.Best(len(tile.m), k), "names": []}, add_best, give_best)
 
 
 def top_references(texts: DataFrame, refs: DataFrame, k: int = 3, id_type: str = "long") -> DataFrame:
@@ -113,50 +116,79 @@ def top_references(texts: DataFrame, refs: DataFrame, k: int = 3, id_type: str =
     ref_type = refs.schema["ref"].dataType.simpleString()
     if _small(refs):
         rows = sorted(refs.select("ref", "v").collect(), key=lambda r: r["ref"])  # size checked above
-        names = np.array([r["ref"] for r in rows], dtype=object)
-        shared = texts.sparkSession.sparkContext.broadcast((names, _matrix([r["v"] for r in rows]).T))
+        if not rows:
+            return ordered.top_k(texts.sparkSession.createDataFrame([], f"id {id_type}, ref {ref_type}, score double"), ["id"], [F.desc("score"), F.asc("ref")], k)
+        m = tiles.unit_rows(np.array([r["v"] for r in rows], np.float64)).T
+        shared, kind = texts.sparkSession.sparkContext.broadcast(([r["ref"] for r in rows], m)), to_arrow_type(refs.schema["ref"].dataType)
 
         def run(batches):
-            ref_names, m = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    yield _top_rows(pdf["id"], _matrix(pdf["v"]) @ m, ref_names, k)
-
-        best = texts.select("id", "v").mapInPandas(run, f"id {id_type}, ref {ref_type}, score double")
+            names, m = shared.value
+            names = pa.array(names, kind)
+            for batch in batches:
+                for ids, z in _pieces(batch, m.shape[1]):
+                    best = tiles.Best(len(z), k)
+                    best.add(z @ m)
+                    yield _top_rows(ids, best, names)
+
+        best = texts.select("id", "v").mapInArrow(run, f"id {id_type}, ref {ref_type}, score double")
     else:
         best = _block_best(texts, refs, id_type, per_label=False, k=k)
     return ordered.top_k(best, ["id"], [F.desc("score"), F.asc("ref")], k)
 
 
-def late_interaction(rows: DataFrame, columns: DataFrame, pairs: DataFrame) -> DataFrame:
+def _tiled(rows: DataFrame, columns: DataFrame, pairs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Tiles of a text's rows and of the references' columns, the rows' with the wanted pairs."""
+    parts, n, ref_parts, ref_n = tiles.shapes(rows, columns)
+    left, right = tiles.packed(rows, "id", parts, n), tiles.packed(columns, "ref", ref_parts, ref_n)
+    return (left if pairs is None else tiles.with_wanted(left, pairs, parts)), right
+
+
+def late_interaction(rows: DataFrame, columns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(id, ref, score): mean over the text's row vectors of the best match among the reference's
-    column vectors, for the wanted (id, ref) pairs.
-
-    ``rows`` (id, pos, v), ``columns`` (ref, pos, v). Each row vector meets one reference's columns in
-    chunks; only its best value leaves a chunk."""
-    chunk = 512
-    col = columns.withColumn("chunk", F.floor(F.col("pos") / F.lit(chunk)).cast("long"))
-    chunks = col.select("ref", "chunk").distinct()
-    want = rows.join(pairs.select("id", "ref").distinct(), "id")
-    want = want.join(chunks, "ref").withColumn("share", F.pmod(F.xxhash64("id", "pos"), F.lit(16)))
-    cols = col.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    column vectors, for the wanted (id, ref) pairs, or for all.
+
+    ``rows`` (id, pos, v), ``columns`` (ref, pos, v). Tiles of rows meet tiles of columns; of a reference that lies in
+    one tile only a text's sum leaves it, of one that does not the best value of a row over the tiles of a partition."""
+    left, right = _tiled(rows.select("id", "pos", "v"), columns.select("ref", "pos", "v"), pairs)
     id_t, ref_t = rows.schema["id"].dataType.simpleString(), columns.schema["ref"].dataType.simpleString()
 
-    def best(rp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if not len(rp) or not len(cp):
-            return no_rows("id", "pos", "ref", "best")
-        m = _matrix(cp["v"]).T
-        step = 4096
-        out = np.concatenate([(_matrix(rp["v"].iloc[i : i + step]) @ m).max(axis=1) for i in range(0, len(rp), step)])
-        return rp[["id", "pos", "ref"]].assign(best=out)
-
-    per_chunk = (
-        own_columns(want).groupBy("ref", "chunk", "share")
-        .cogroup(own_columns(cols).groupBy("ref", "chunk", "share"))
-        .applyInPandas(best, f"id {id_t}, pos long, ref {ref_t}, best double")
-    )
-    per_row = per_chunk.groupBy("id", "pos", "ref").agg(F.max("best").alias("best"))
-    return per_row.groupBy("id", "ref").agg(F.avg("best").alias("score"))
+    def found(ids, refs, pos, whole, total, n):
+        size = len(total)
+        return pa.RecordBatch.from_arrays(
+            [ids, refs, pa.array(pos, pa.int64()), pa.array(np.full(size, whole)), pa.array(total), pa.array(n, pa.int64())], ["id", "ref", "pos", "whole", "total", "n"]
+        )
+
+    def step(tile, other, state, ask):
+        if ask is not None and not ask.any():
+            return
+        s = tiles.segment_max(tile.m @ other.m.T, other.starts)
+        if len(tile.runs) < len(s):
+            s = np.maximum.reduceat(s, tile.runs, axis=0)  # rows of one place count once
+        for j in np.flatnonzero(other.cut).tolist():
+            key = other.keys[j].as_py()
+            best = np.maximum(state[key][2], s[:, j]) if key in state else s[:, j].copy()
+            state[key] = other.keys, j, best, None if ask is None else ask[:, j]
+        whole = np.flatnonzero(~other.cut)
+        if len(whole):
+            first = np.searchsorted(tile.runs, tile.starts)
+            total = np.add.reduceat(s[:, whole], first, axis=0)
+            size = np.diff(np.append(first, len(s)))
+            i, j = np.nonzero(np.ones(total.shape, bool) if ask is None else ask[:, whole])
+            yield found(_take(tile.keys, i), _take(other.keys, whole[j]), np.zeros(len(i), np.int64), True, total[i, j], size[i])
+
+    def finish(tile, state):
+        segment = tile.segment()[tile.runs]
+        for keys, j, best, asked in state.values():
+            at = np.arange(len(best)) if asked is None else np.flatnonzero(asked[segment])
+            if len(at):
+                refs = _take(keys, np.full(len(at), j))
+                yield found(_take(tile.keys, segment[at]), refs, tile.pos[tile.runs][at], False, best[at], np.ones(len(at), np.int64))
+
+    out = tiles.met(left, right, f"id {id_t}, ref {ref_t}, pos long, whole boolean, total double, n long", lambda tile: {}, step, finish)
+    total = F.when(F.col("whole"), F.sum("total")).otherwise(F.max("total"))
+    n = F.when(F.col("whole"), F.sum("n")).otherwise(F.lit(1).cast("long"))
+    per_row = out.groupBy("id", "ref", "whole", "pos").agg(total.alias("total"), n.alias("n"))
+    return per_row.groupBy("id", "ref").agg((F.sum("total") / F.sum("n")).alias("score"))
 
 
 def two_stage(
@@ -182,42 +214,34 @@ def best_sentence_pairs(
     rows: DataFrame, columns: DataFrame, pairs: DataFrame, pool: int = 10, top: int = 3, digits: int | None = None
 ) -> DataFrame:
     """Per (id, ref): the ``pool`` best cells of the sentence matrix, equal text pairs once, first
-    ``top``. With ``digits`` cells are rounded before they are compared. ``rows`` (id, pos, text, v), ``columns`` (ref, pos, text, v). Row and column blocks meet
-    in a task and only the pool of each block pair leaves it."""
-    share = 256
-    r = rows.withColumn("rb", F.floor(F.col("pos") / F.lit(share)).cast("long"))
-    c = columns.withColumn("cb", F.floor(F.col("pos") / F.lit(share)).cast("long"))
-    # which row blocks of a text meet which column blocks of a reference
-    met = (
-        pairs.select("id", "ref").distinct()
-        .join(r.select("id", "rb").distinct(), "id")
-        .join(c.select("ref", "cb").distinct(), "ref")
-    )
-    r = r.join(met, ["id", "rb"])
-    c = c.join(met, ["ref", "cb"])
-    keys = ["id", "ref", "rb", "cb"]
+    ``top``. With ``digits`` cells are rounded before they are compared. ``rows`` (id, pos, text, v), ``columns`` (ref, pos, text, v). Tiles of rows
+    and columns meet in a task and only the pool of each pair of tiles leaves it."""
+    left, right = _tiled(rows.select("id", "pos", "text", "v"), columns.select("ref", "pos", "text", "v"), pairs)
     id_t, ref_t = rows.schema["id"].dataType.simpleString(), columns.schema["ref"].dataType.simpleString()
 
-    def cells(rp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if not len(rp) or not len(cp):
-            return no_rows("id", "ref", "row_text", "ref_text", "score", "row_pos", "ref_pos")
-        rp, cp = rp.sort_values("pos"), cp.sort_values("pos")
-        sims = _matrix(rp["v"]) @ _matrix(cp["v"]).T
-        if digits is not None:
-            sims = np.round(sims, digits)
-        flat = np.argsort(-sims, axis=None, kind="stable")[:pool]
-        i, j = np.unravel_index(flat, sims.shape)
-        return pd.DataFrame(
-            {
-                "id": rp["id"].iloc[0], "ref": rp["ref"].iloc[0],
-                "row_text": rp["text"].to_numpy()[i], "ref_text": cp["text"].to_numpy()[j], "score": sims[i, j],
-                "row_pos": rp["pos"].to_numpy()[i], "ref_pos": cp["pos"].to_numpy()[j],
-            }
-        )
+    def cells(tile, other, state, ask):
+        ends, other_ends = np.append(tile.starts[1:], len(tile.m)), np.append(other.starts[1:], len(other.m))
+        at = []
+        for i, j in zip(*np.nonzero(ask), strict=True):
+            a, b = tile.starts[i], other.starts[j]
+            sims = tile.m[a : ends[i]] @ other.m[b : other_ends[j]].T
+            if digits is not None:
+                sims = np.round(sims, digits)
+            flat = sims.ravel()
+            low = np.partition(flat, -pool)[-pool] if len(flat) > pool else -np.inf
+            near = np.flatnonzero(flat >= low)
+            near = near[np.argsort(-flat[near], kind="stable")[:pool]]  # ties by place, as rows are sorted by it
+            r, c = np.unravel_index(near, sims.shape)
+            at.append((np.full(len(near), i), np.full(len(near), j), a + r, b + c, flat[near]))
+        if at:
+            i, j, r, c, found = (np.concatenate(x) for x in zip(*at, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [_take(tile.keys, i), _take(other.keys, j), _take(tile.texts, r), _take(other.texts, c), pa.array(found), pa.array(tile.pos[r]), pa.array(other.pos[c])],
+                ["id", "ref", "row_text", "ref_text", "score", "row_pos", "ref_pos"],
+            )
 
-    best = own_columns(r).groupBy(*keys).cogroup(own_columns(c).groupBy(*keys)).applyInPandas(
-        cells, f"id {id_t}, ref {ref_t}, row_text string, ref_text string, score double, row_pos long, ref_pos long"
-    )
+    ddl = f"id {id_t}, ref {ref_t}, row_text string, ref_text string, score double, row_pos long, ref_pos long"
+    best = tiles.met(left, right, ddl, lambda tile: None, cells, lambda tile, state: iter(()))
     pooled = ordered.top_k(best, ["id", "ref"], [F.desc("score"), F.asc("row_pos"), F.asc("ref_pos")], pool, "_r")
     once = pooled.groupBy("id", "ref", "row_text", "ref_text").agg(F.min("_r").alias("_r"), F.max("score").alias("score"))
     return ordered.top_k(once, ["id", "ref"], [F.asc("_r")], top).drop("_r")

@@ -205,3 +205,10 @@ def test_graph_sink(spark, tmp_path):
     e = spark.createDataFrame([(0, 0, "a", "a")], "src_id long, dst_id long, src string, dst string")
     lines.write_graph(n, e, str(tmp_path / "g"))
     assert sorted(spark.read.json(str(tmp_path / "g" / "edges")).columns) == ["dst", "src"]
+
+
+def test_rebuilt_graphs_send_no_names_to_the_driver(spark):
+    docs = spark.createDataFrame([('{"dep_id":1,"nodes":[["7",{"uuid":"o7","name":"n"}]],"edges":[["o7","8",{"edge_type":"E","ts":3}]]}',)], "value string")
+    edges = lines.rebuild_graph(lines.parse_subgraphs(docs), ["dep_id"])[1]
+    assert [(r["src_name"], r["dst_name"], r["ts_ns"]) for r in edges.collect()] == [("n", "8", 3)]
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()

@@ -48,6 +48,8 @@ class Encoder:
 
     #: distinct words kept per worker
     MOST_WORDS = 2_000_000
+    #: words that the library encodes in one call
+    AT_ONCE = 4096
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,10 +70,13 @@ class Encoder:
         """Adds words, given by their hashes, in rising order."""
         if len(self.known) + len(new) > self.MOST_WORDS:
             self.forget()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        count = np.array([len(i) for i in found], np.int64)
+        found, count = [self.ids], np.zeros(len(words), np.int64)
+        for i in range(0, len(words), self.AT_ONCE):  # the library's results take far more room than the ids
+            some = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + self.AT_ONCE], add_special_tokens=False)]
+            count[i : i + len(some)] = [len(x) for x in some]
+            found.append(np.array([y for x in some for y in x], self.ids.dtype))
         first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.array([x for i in found for x in i], self.ids.dtype)])
+        self.ids = np.concatenate(found)
         at = np.searchsorted(self.known, new)
         self.known, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.known, new), (self.first, first), (self.count, count)))
 
@@ -128,8 +133,8 @@ def _kinds() -> np.ndarray:
     """Kind of every code point, by the classes that the vocabulary's splitting pattern uses."""
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    code = np.frombuffer(every.encode("utf-32-le"), np.uint32)
+    code = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    every = code.tobytes().decode("utf-32-le")
     kinds = np.full(0x110000, _OTHER, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
@@ -329,9 +334,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32, found_by_key (the perfect hash leads to a
     document of this key)."""
 
+    small = ["shard", "block", "low", "keys", "sizes", "levels", "level_bits", "slots"]
+
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one block at a time, its ids where the batch has them
+                r = {c: v[0].as_py() for c, v in zip(small, batch.select(small).slice(i, 1).columns, strict=True)}
                 k, n = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], "<i8")
                 there, start, count = find(open_index(r["levels"], r["level_bits"], r["slots"]), k)
                 own = np.cumsum(n) - n
@@ -339,7 +347,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 use_key = np.zeros(len(k), bool)
                 use_key[first] = there[first]
                 start, count = np.where(use_key, start, own), np.where(use_key, count, n)
-                ids = memoryview(r["ids"])
+                ids = memoryview(batch.column("ids")[i].as_buffer())
                 crc = [zlib.crc32(ids[4 * a : 4 * (a + c)]) for a, c in zip(start.tolist(), count.tolist(), strict=True)]
                 nulls = np.zeros(len(k), bool) if r["low"] is not None else np.ones(len(k), bool)
                 yield pa.RecordBatch.from_arrays(

@@ -196,3 +196,25 @@ def test_pipeline_by_stages(spark, documents, tmp_path):
         start += len(ids_of(texts[i])) + 1
     assert ids[4] == ids[3] and max(r.start + r.n_tokens for r in kept[4]) == start
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, kept[4]))
+
+
+def test_words_are_encoded_a_few_at_a_time(monkeypatch):
+    from provloom.llm import tokenfiles
+    from provloom.llm.registered import VOCABULARY
+
+    enc, calls = tokenfiles.Encoder(VOCABULARY), []
+    whole = enc.encode([" ".join(f"w{i}x" for i in range(20_000))])
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, words, **more):
+            calls.append(len(words))
+            return tokenizer.encode_batch_fast(words, **more)
+
+    tokenizer, enc.tokenizer = enc.tokenizer, Counting()
+    monkeypatch.setattr(enc, "AT_ONCE", 1000, raising=False)
+    enc.forget()
+    again = enc.encode([" ".join(f"w{i}x" for i in range(20_000))])
+    assert max(calls) <= 1000 and all((a == b).all() for a, b in zip(whole, again, strict=True))

@@ -13,7 +13,7 @@ from provloom.plans.source_queries import _AUDIT_SQL, _HOST_SQL, _MERGED, audit_
 from provloom.plans.text_queries import _LABEL_SQL, near_duplicate_sentences
 from provloom.plans.views import query, view
 from provloom.sources import audit, lines
-from provloom.session import cut_lineage, shared_folder
+from provloom.session import cut_lineage, shared_folder, written
 
 
 @named(
@@ -28,12 +28,14 @@ from provloom.session import cut_lineage, shared_folder
 def generalised_sequences(spark, sf):
     """Cascade and strip, names generalised, verbs stripped, sentences in adjacency order."""
     nodes, edges, _, shared = walk_merges(spark, sf)
+    edges = edges.select("src_id", "dst_id", "edge_type", "ts_ns", "line_no", "pair_ts", "pair_line")
     nodes, edges = reduce.cascade_strip(nodes, edges, shared)
-    gen = catalog.generalize_nodes(nodes).select("node_id", "uuid", F.col("new_name").alias("name"))
+    # both ends read the names, and the scan reads the sentences twice
+    gen = written(catalog.generalize_nodes(nodes).select("node_id", "uuid", F.col("new_name").alias("name")))
     s = gen.select(F.col("node_id").alias("src_id"), F.col("uuid").alias("seq_id"), F.col("name").alias("src_name"))
     d = gen.select(F.col("node_id").alias("dst_id"), F.col("name").alias("dst_name"))
     bare = edges.join(s, "src_id").join(d, "dst_id").withColumn("edge_type", F.regexp_replace("edge_type", "^EVENT_", ""))
-    return sequences.adjacency_sentences(bare, ["seq_id"])
+    return sequences.adjacency_sentences(written(bare), ["seq_id"])
 
 
 @named(

@@ -47,6 +47,34 @@ def test_build_graph(spark, seed, target):
     assert sorted((r["line_no"], r["edge_key"]) for r in edges.collect()) == sorted(kept)
 
 
+def test_edges_with_kinds_say_which_files_processes_touch(spark):
+    """Edges that carry the types of their nodes need no join for them, and give the same pairs."""
+    rows = edge_rows(3)
+    nodes, edges = build.build_graph(spark.createDataFrame(rows, EDGE), kinds=True)
+    kind = {r["node_id"]: r["type"] for r in nodes.collect()}
+    assert all((r["src_kind"], r["dst_kind"]) == (kind[r["src_id"]], kind[r["dst_id"]]) for r in edges.collect())
+    files = nodes.filter("type like '%FILE%'").select("node_id", "ts_ns")
+    for more in (None, files):
+        fast, slow = (reduce.process_files(nodes, e, files=more) for e in (edges, edges.drop("src_kind", "dst_kind")))
+        got = sorted(tuple(r) for r in fast.select(*slow.columns).collect())
+        assert got and got == sorted(tuple(r) for r in slow.collect())
+    assert "Join" not in reduce.process_files(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cascade_steps_read_written_tables(spark, monkeypatch):
+    """The steps after the merges do not run them, or the search for touched files, again."""
+    from provloom.plans import reduce_queries
+
+    searches = []
+    plain = reduce.process_files
+    monkeypatch.setattr(reduce, "process_files", lambda *a, **k: searches.append(1) or plain(*a, **k))
+    nodes, edges, _, shared = reduce_queries.walk_merges(spark, "/root/testdata/sf0.001")
+    assert len(searches) == 1
+    kept = reduce.cascade_strip(nodes, edges, shared)[1]
+    for table in (shared, kept):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
 def literal_components(rows, theta, mins):
     ids, kept = literal_graph(rows)
     kind = {}

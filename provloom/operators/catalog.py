@@ -90,10 +90,11 @@ def count_totals(counts: DataFrame) -> DataFrame:
 
 
 def unresolved_paths(nodes: DataFrame, file_type: str = "FILE") -> DataFrame:
-    """(path, n): file nodes no lifting rule changes."""
-    unchanged = F.coalesce(paths.lift_path(F.col("name")), F.col("name")) == F.col("name")
-    f = nodes.filter((F.col("type") == file_type) & unchanged)
-    return f.groupBy(F.col("name").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    """(path, n): file nodes no lifting rule changes. Names are counted first, so the rules run once per name."""
+    names = nodes.filter((F.col("type") == file_type) & F.col("name").isNotNull()).groupBy(F.col("name").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    unchanged = F.coalesce(paths.lift_path(F.col("path")), F.col("path")) == F.col("path")
+    # names the count, always above 0, so that the rules stay behind the aggregate
+    return names.filter(F.when(F.col("n") > 0, unchanged))
 
 
 def most_frequent(counts: DataFrame, k: int = 30) -> DataFrame:

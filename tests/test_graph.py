@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +364,14 @@ def test_cycles_and_self_loops_settle(spark):
     ids = {r["node_id"]: r["uuid"] for r in nodes.collect()}
     got = {ids[r["node_id"]]: ids[r["owner"]] for r in partition.owners(nodes, edges).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+def test_parents_in_small_blocks_as_in_large_ones():
+    rng = random.Random(5)
+    for n in (1, 2, 9, 23):
+        for _ in range(40):
+            ts = sorted(rng.randrange(90) for _ in range(n))
+            base = [rng.choice(["item_1.tmp", "item_12.tmp", "daemon7.log", "daemon71.log", "a.lock", "", "zz"]) for _ in range(n)]
+            halo = [rng.random() < 0.2 for _ in range(n)]
+            many = reduce.many_parents(np.array(ts), np.array(base, object), np.array(halo), 30, 0.7)
+            assert reduce.few_parents(ts, base, halo, 30, 0.7) == many.tolist()

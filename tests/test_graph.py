@@ -375,3 +375,36 @@ def test_parents_in_small_blocks_as_in_large_ones():
             halo = [rng.random() < 0.2 for _ in range(n)]
             many = reduce.many_parents(np.array(ts), np.array(base, object), np.array(halo), 30, 0.7)
             assert reduce.few_parents(ts, base, halo, 30, 0.7) == many.tolist()
+
+
+def test_edges_travel_once_for_each_end(spark):
+    """The parallel-edge rule runs on the rows as the join with the targets has dealt them; only named columns are kept."""
+    rows = edge_rows(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, edges = build.build_graph(spark.createDataFrame(rows, EDGE), stage=False, keep=["line_no", "edge_key"])
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4  # edges and nodes at each of two joins
+        ids, kept = literal_graph(rows)
+        assert {r["uuid"]: r["node_id"] for r in nodes.collect()} == ids
+        ends = {r[6]: (ids[r[0]], ids[r[2]]) for r in rows}
+        got = sorted((r["line_no"], r["edge_key"], r["src_id"], r["dst_id"]) for r in edges.collect())
+        assert edges.columns == ["line_no", "edge_key", "src_id", "dst_id"]
+        assert got == sorted((line, key, *ends[line]) for line, key in kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_neighbourhood_shuffles_no_pairs_of_edges(spark):
+    """A step reaches distinct nodes; the edges themselves need not be made distinct first."""
+    edges = spark.createDataFrame([(0, 1), (0, 1), (1, 2), (2, 1), (3, 2), (4, 3)], "src_id long, dst_id long")
+    seen = []
+    real = partition.cut_lineage
+    try:
+        partition.cut_lineage = lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1]
+        got = partition.neighbourhood(edges, spark.createDataFrame([(0,)], "node_id long"), 2)
+    finally:
+        partition.cut_lineage = real
+    assert {(r["node_id"], r["hop"]) for r in got.collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert not any("Aggregate [src_id" in p for p in seen)

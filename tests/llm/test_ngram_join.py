@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -155,3 +156,17 @@ def test_words_on_which_polynomial_hashes_collide(documents):
     other = one.translate({97: 98, 98: 97})
     got = ngramjoin.join_components(documents([(1, one), (2, other), (3, one), (4, f"x {other}"), (5, f"x {one}")])).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_partners_of_a_large_subtree_in_little_memory():
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 400, 6000)
+    pos, label = rng.integers(0, 300, 6000) % n, rng.integers(0, 3, 6000)
+    tracemalloc.start()
+    got = ngramjoin.have_partner(n, pos, label, 75)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20  # 6,000 rows against blocks of 1,024 would be 49 MB for one array
+    for i in rng.integers(0, 6000, 40).tolist():
+        need = -(-75 * (n[i] + n) // 175)
+        assert got[i] == ((np.minimum(n[i] - pos[i], n - pos) >= need) & (label != label[i])).any()

@@ -13,7 +13,7 @@ the next, smaller array; the slot is the number of bits set before the key's bit
 Defined results: a null text is empty and has its end id only; documents with one doc_id stand in (text) order
 and the key leads to the first of them; a null doc_id comes first and has no key; an empty table gives a file
 set without blocks; extra columns are not written. The folder is one that executors share. A shard is
-streamed, a task holds one Arrow batch and one block."""
+streamed, a task holds one Arrow batch, one block and one row group of its file."""
 
 from __future__ import annotations
 
@@ -31,6 +31,10 @@ from provloom.llm.shared import shared_path
 
 END_ID = 0
 BLOCK_IDS = 1 << 18
+#: bytes of text that are encoded at a time; the arrays made for a byte take some 30 bytes
+ENCODE_BYTES = 1 << 19
+#: bytes of a row group of the files; writer and reader hold one
+GROUP_BYTES = 8 << 20
 #: bits of an array per key that enters it, in percent
 ROOM = 200
 
@@ -62,8 +66,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
 
     def learn(self, new: np.ndarray, words: list[str]) -> None:
@@ -118,8 +122,8 @@ class Encoder:
                 fresh = np.arange(len(distinct))
             self.learn(distinct[fresh], [joined[starts[i] : ends[i]] for i in where[fresh]])
             at = np.searchsorted(self.known, distinct)
-        count = self.count[at][back]
-        first = self.first[at][back]
+        count = self.count[at][back].astype(np.int64)
+        first = self.first[at][back].astype(np.int64)
         total = np.cumsum(count)
         pick = np.arange(total[-1]) - np.repeat(total - count, count) + np.repeat(first, count)
         sizes = np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
@@ -295,7 +299,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, block_ids: int = BLOCK_ID
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", ENCODE_BYTES):
                 found, count = enc.encode(part.column("text").to_pylist())
                 cut = np.cumsum(count)
                 for key, a, b in zip(part.column("doc_id").to_pylist(), cut - count, cut, strict=True):
@@ -310,7 +314,9 @@ def write(docs: DataFrame, vocabulary: str, path: str, block_ids: int = BLOCK_ID
         if keys:
             yield flush()
 
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
+    # sizes are looked at after every row, as a row has up to some MB
+    limits = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    ordered.mapInArrow(run, BLOCKS).write.option("compression", "zstd").options(**limits).parquet(path)
 
 
 _ARROW = pa.schema(

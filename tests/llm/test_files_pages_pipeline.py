@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -48,6 +49,21 @@ def test_added_tokens_and_forgetting(monkeypatch):
         assert ids.tolist() == ids_of(t) * 2 and sizes.tolist() == [len(ids_of(t))] * 2
 
 
+def test_a_row_group_holds_few_blocks(documents, spark, tmp_path, monkeypatch):
+    """The reader holds a row group, so it must not grow with the shard."""
+    monkeypatch.setattr(tokenfiles, "GROUP_BYTES", 20_000)
+    rng = random.Random(3)
+    path = tmp_path / "files"
+    texts = {i: prose(rng, 400) for i in range(400)}
+    tokenfiles.write(documents(texts.items()), VOCABULARY, str(path), block_ids=1000)
+    files = [pq.ParquetFile(f).metadata for f in path.glob("*.parquet")]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 1_000_000
+    assert max(g.total_byte_size for g in groups) < 60_000
+    got = {r.doc_id: r.ids_crc32 for r in tokenfiles.read(spark, str(path)).collect()}
+    assert got == {i: zlib.crc32(np.array([*ids_of(t), 0], "<u4").tobytes()) for i, t in texts.items()}
+
+
 def test_files_round_trip(documents, spark, tmp_path):
     rng = random.Random(1)
     texts = {i * 7 - 50: t for i, t in enumerate(corpus(5, 80))} | {900: "it's 'll <|endoftext|> ok", 901: prose(rng, 5000)}

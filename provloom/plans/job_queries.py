@@ -27,8 +27,9 @@ from provloom.session import cut_lineage, shared_folder, written
 )
 def generalised_sequences(spark, sf):
     """Cascade and strip, names generalised, verbs stripped, sentences in adjacency order."""
-    nodes, edges, _, shared = walk_merges(spark, sf)
-    edges = edges.select("src_id", "dst_id", "edge_type", "ts_ns", "line_no", "pair_ts", "pair_line")
+    pair = ["pair_ts", "pair_line"]  # sentences are in the order of their pairs' first edges
+    nodes, edges, _, shared = walk_merges(spark, sf, pair)
+    edges = edges.select("src_id", "dst_id", "edge_type", "ts_ns", "line_no", *pair)
     nodes, edges = reduce.cascade_strip(nodes, edges, shared)
     # both ends read the names, and the scan reads the sentences twice
     gen = written(catalog.generalize_nodes(nodes).select("node_id", "uuid", F.col("new_name").alias("name")))

@@ -19,6 +19,7 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """L2-normalised vector; a zero vector stays zero."""
+    """L2-normalised vector; a zero vector stays zero. The norm is a variable of its own: an expression within the
+    function of the elements would be computed for each of them."""
     n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x / n)
+    return F.element_at(F.transform(F.array(n), lambda m: F.transform(a, lambda x: x / m)), 1)

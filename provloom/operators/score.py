@@ -22,6 +22,8 @@ from provloom.session import cut_lineage
 MAX_BROADCAST_FLOATS = 2_000_000
 #: scores that a task holds at once for references that were sent to it
 CELLS = 1 << 21
+#: texts of a tile that meets labelled references; their products are made piece by piece
+LABELLED_ROWS = 8192
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -83,7 +85,7 @@ def _top_rows(ids: pa.Array, best: tiles.Best, names: pa.Array, column: str = "r
 
 def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool, k: int, rows_per_block: int | None = None):
     name = "label" if per_label else "ref"
-    parts, rows, ref_parts, ref_rows = tiles.shapes(texts, refs, rows_per_block)
+    parts, rows, ref_parts, ref_rows = tiles.shapes(texts, refs, rows_per_block, *([LABELLED_ROWS] if per_label else []))
     left, right = tiles.packed(texts.select("id", "v"), "id", parts, rows), tiles.packed(refs.select(name, "v"), name, ref_parts, ref_rows)
     ddl = f"id {id_type}, {name} {refs.schema[name].dataType.simpleString()}, score double"
 
@@ -96,9 +98,19 @@ def _block_best(texts: DataFrame, refs: DataFrame, id_type: str, per_label: bool
         yield _top_rows(_take(tile.keys, tile.segment()), state["best"], pa.concat_arrays(state["names"]))
 
     def add_labels(tile, other, state, ask):
-        best = tiles.segment_max(tile.m @ other.m.T, other.starts)
-        for j, label in enumerate(other.keys.to_pylist()):
-            state[label] = other.keys, j, np.maximum(state[label][2], best[:, j]) if label in state else best[:, j]
+        labels = other.keys.to_pylist()
+        known = [label in state for label in labels]
+        best = np.full((len(tile.m), len(labels)), -np.inf)
+        for j in np.flatnonzero(known):
+            best[:, j] = state[labels[j]][2]
+        if all(known):
+            tiles.raise_max(tile, other, best)
+        else:
+            for i in range(0, len(tile.m), tiles.PIECE_ROWS):
+                rows = slice(i, i + tiles.PIECE_ROWS)
+                np.maximum(best[rows], tiles.segment_max(tile.m[rows] @ other.m.T, other.starts), out=best[rows])
+        for j, label in enumerate(labels):
+            state[label] = other.keys, j, best[:, j]
         yield from ()
 
     def give_labels(tile, state):

@@ -2,7 +2,8 @@
 
 :func:`packed` sorts vectors by key and place and writes them as tiles: one row holds a few thousand unit vectors as one
 matrix. :func:`met` joins the tiles of two sets by Spark's nested loop over the written partitions: the tiles are
-read again, nothing is shuffled or written per pair of tiles, and a task holds two tiles and their product. What a left tile has
+read again, nothing is shuffled or written per pair of tiles, and a task holds two tiles and their product. A left tile's
+matrix goes to the worker with the first tile of a right partition only. What a left tile has
 found so far goes along the right tiles of a partition, which come in rising order of their keys, so that a task
 hands on the best few of a partition and not of every pair of tiles."""
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from provloom.session import cut_lineage
 
 TILE_ROWS = 2048
+#: rows of a tile that are multiplied at a time, so that the product stays in a core's cache
+PIECE_ROWS = 256
 #: of the right tiles that a task reads
 PART_BYTES = 64 << 20
 
@@ -105,6 +108,7 @@ class Tile:
     texts: pa.Array
     m: np.ndarray
     cut: np.ndarray  #: segments whose key may have rows in another tile
+    half: np.ndarray | None = None  #: the matrix in half the precision, if it was made
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int, side: str, keep: bool) -> Tile:
@@ -127,14 +131,15 @@ class Tile:
         return np.repeat(np.arange(len(self.keys)), np.diff(np.append(self.starts, len(self.m))))
 
 
-def shapes(left: DataFrame, right: DataFrame, rows: int | None = None) -> tuple[int, int, int, int]:
-    """Partitions and rows of a tile of the left side, and of the right side."""
+def shapes(left: DataFrame, right: DataFrame, rows: int | None = None, left_rows: int = TILE_ROWS) -> tuple[int, int, int, int]:
+    """Partitions and rows of a tile of the left side, and of the right side. The right side goes to the workers once for
+    each left tile, so large left tiles (``left_rows``) suit steps that multiply them piece by piece."""
     one = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
     a, b = one(left), one(right)
     cores = left.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-b["n"] * b["d"] * 8 // PART_BYTES))
     wanted = max(1, -(-3 * cores // parts))
-    lr = rows or min(TILE_ROWS, max(64, -(-a["n"] // wanted)))
+    lr = rows or min(left_rows, max(64, -(-a["n"] // wanted)))
     more = max(1, min(max(wanted, -(-a["n"] * a["d"] * 8 // PART_BYTES)), -(-a["n"] // lr)))
     return more, lr, parts, rows or TILE_ROWS
 
@@ -155,7 +160,11 @@ def met(
     some = "want" in left.columns
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).hint("shuffle_replicate_nl")
-    both = a.join(b, F.arrays_overlap(F.col("l_want")["ref"], F.col("r_keys"))) if some else a.crossJoin(b)
+    if some:
+        both = a.join(b, F.arrays_overlap(F.col("l_want")["ref"], F.col("r_keys")))
+    else:  # a left tile meets all right tiles of a partition, in their order
+        first = F.col("r_tile").bitwiseAND(F.lit(0xFFFFFFFF)) == 0
+        both = a.crossJoin(b).withColumn("l_m", F.when(first, F.col("l_m")))
 
     def run(batches):
         tile, state, rows = None, None, {}
@@ -190,6 +199,27 @@ def segment_max(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([s[:, a:b].max(axis=1) for a, b in zip(starts, [*starts[1:], s.shape[1]], strict=True)], axis=1)
 
 
+def raise_max(tile: Tile, other: Tile, best: np.ndarray) -> None:
+    """Raises ``best``, a column for each segment of ``other``, to the largest product of each row of ``tile``. Products of
+    halved precision, whose error is bounded for unit vectors, tell which ones can be above; these are made in full."""
+    d = tile.m.shape[1]
+    error = np.float32((d + 8) * 2.0**-23)
+    if tile.half is None:
+        tile.half = tile.m.astype(np.float32)
+    half = other.m.astype(np.float32).T
+    ends = [*other.starts[1:].tolist(), len(other.m)]
+    for i in range(0, len(tile.m), PIECE_ROWS):
+        s = tile.half[i : i + PIECE_ROWS] @ half
+        floor = best[i : i + PIECE_ROWS].astype(np.float32) - error
+        for j, (a, z) in enumerate(zip(other.starts.tolist(), ends, strict=True)):
+            some = np.flatnonzero(s[:, a:z].max(axis=1) > floor[:, j])
+            if len(some):
+                row, column = np.nonzero(s[some, a:z] > floor[some, j, None])
+                row = i + some[row]
+                exact = np.einsum("ij,ij->i", tile.m[row], other.m[a + column])
+                np.maximum.at(best[:, j], row, exact)
+
+
 class Best:
     """Best ``k`` columns of every row over blocks of columns; of equal ones the first stays."""
 

@@ -70,3 +70,42 @@ def test_scores_held_at_once_are_bounded(monkeypatch):
 def test_vectors_of_two_lengths_are_refused():
     with pytest.raises(ValueError):
         tiles.matrix(pa.array([[1.0], [1.0, 2.0], [1.0, 2.0, 3.0]]))
+
+
+def test_raised_maxima_are_those_of_full_precision():
+    """Near copies, whose products differ by less than halved precision tells, and rows that are best already."""
+    rng = np.random.default_rng(8)
+    m = np.repeat(unit(rng.normal(size=(40, 16))), 8, axis=0)
+    m = unit(m + rng.normal(scale=1e-7, size=m.shape))
+    other = unit(np.concatenate([m[rng.permutation(320)], rng.normal(size=(30, 16))]))
+    starts = np.array([0, 50, 51, 200])
+    tile = tiles.Tile(0, None, None, None, None, None, m, None)
+    right = tiles.Tile(1, None, starts, None, None, None, other, None)
+    want = tiles.segment_max(m @ other.T, starts)
+    for floor in (-1.0, 0.5):
+        best = np.full(want.shape, floor)
+        tiles.raise_max(tile, right, best)
+        assert best == pytest.approx(np.maximum(want, floor), abs=1e-15)
+
+
+def test_a_left_matrix_goes_to_the_worker_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in unit(rng.normal(size=4))]) for i in range(40)]
+    left = tiles.packed(spark.createDataFrame(rows, "id long, v array<double>"), "id", 2, 7)
+    right = tiles.packed(spark.createDataFrame(rows, "ref long, v array<double>"), "ref", 2, 5)
+    met = tiles.met(left, right, "n long", lambda tile: [0], lambda tile, other, state, ask: iter(state.append(len(other.m)) or ()), lambda tile, state: iter(
+        [pa.RecordBatch.from_arrays([pa.array([sum(state) * len(tile.m)])], ["n"])]
+    ))
+    assert met.agg({"n": "sum"}).head()[0] == 40 * 40
+    assert "CASE WHEN" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_norm_is_computed_once_for_a_vector(spark):
+    from pyspark.sql import functions as F
+
+    from provloom.functions import vectors
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(vectors.unit(F.col("v")).alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+    divisions = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(") if " / " in line]
+    assert divisions and all("aggregate" not in line.split(" / ")[1].split(")")[0] for line in divisions)
